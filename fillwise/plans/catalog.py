@@ -37,4 +37,4 @@ def load_ev(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Importing the query modules fills QUERIES / ORACLE.
-from fillwise.plans import q_analytics, q_decode, q_io, q_lifecycle  # noqa: E402,F401
+from fillwise.plans import q_analytics, q_decode, q_io, q_lifecycle, q_telemetry  # noqa: E402,F401

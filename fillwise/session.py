@@ -49,7 +49,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     Only when the session names none (local tests) a fresh scratch folder is
     created and registered, so ``DataFrame.checkpoint()`` works everywhere.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None)
+    current = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if current:
         spark.sparkContext.setCheckpointDir(current)
         return current
