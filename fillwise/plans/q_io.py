@@ -53,12 +53,12 @@ _NORMALISED = """SELECT order_id, event_type, signature, slot, date_trunc('secon
   nullif(give_token_symbol, '') AS give_token_symbol, CASE WHEN give_amount != 0 THEN give_amount END AS give_amount,
   CASE WHEN NOT isnan(give_amount_usd) AND give_amount_usd != 0 THEN give_amount_usd END AS give_amount_usd,
   CASE WHEN CAST(give_chain_id AS DECIMAL(20,0)) BETWEEN 0 AND 18446744073709551615
-       THEN CAST(give_chain_id AS DECIMAL(20,0)) END AS give_chain_id,
+       THEN TRY_CAST(CAST(give_chain_id AS DECIMAL(20,0)) AS BIGINT) END AS give_chain_id,
   nullif(take_token_address, '') AS take_token_address, nullif(take_token_symbol, '') AS take_token_symbol,
   CASE WHEN take_amount != 0 THEN take_amount END AS take_amount,
   CASE WHEN NOT isnan(take_amount_usd) AND take_amount_usd != 0 THEN take_amount_usd END AS take_amount_usd,
   CASE WHEN CAST(take_chain_id AS DECIMAL(20,0)) BETWEEN 0 AND 18446744073709551615
-       THEN CAST(take_chain_id AS DECIMAL(20,0)) END AS take_chain_id,
+       THEN TRY_CAST(CAST(take_chain_id AS DECIMAL(20,0)) AS BIGINT) END AS take_chain_id,
   nullif(receiver, '') AS receiver, nullif(taker, '') AS taker,
   CASE WHEN fulfilled_amount != 0 THEN fulfilled_amount END AS fulfilled_amount,
   CASE WHEN NOT isnan(fulfilled_amount_usd) AND fulfilled_amount_usd != 0 THEN fulfilled_amount_usd END

@@ -59,8 +59,11 @@ def normalise_events(df: DataFrame) -> DataFrame:
         elif name in USD_FIELDS:
             cols.append(_falsy_to_null(name, "double").alias(name))
         elif name in ("give_chain_id", "take_chain_id"):
+            # u64 range check as in the source system; the table column is
+            # BIGINT, so ids between 2^63 and 2^64-1 also become NULL.
             c = F.col(name).cast("decimal(20,0)")
-            cols.append(F.when((c >= 0) & (c <= F.lit(str(U64_MAX)).cast("decimal(20,0)")), c).alias(name))
+            in_range = (c >= 0) & (c <= F.lit(str(U64_MAX)).cast("decimal(20,0)"))
+            cols.append(F.when(in_range, c.try_cast("bigint")).alias(name))
         elif name == "block_time":
             cols.append(F.date_trunc("second", F.col(name)).cast(df.schema[name].dataType).alias(name))
         else:
@@ -105,7 +108,9 @@ def dedup_insert(spark: SparkSession, batch: DataFrame, path: str, batch_id: int
     """
     from pyspark.sql import Observation
     try:
-        stored = spark.read.parquet(path).drop("batch_id")
+        # Rows of earlier batches only: a replayed batch must not see its own
+        # first attempt as "already stored".
+        stored = spark.read.parquet(path).where(F.col("batch_id") < batch_id).drop("batch_id")
     except Exception:  # noqa: BLE001 — first batch: nothing stored yet
         stored = None
     seen, kept = Observation(f"batch_{batch_id}"), Observation(f"insert_{batch_id}")
