@@ -31,6 +31,14 @@ def money_avg(c: Column) -> Column:
     return F.round(F.try_divide(money_sum(c), F.count(c)), 4)
 
 
+def is_created() -> Column:
+    return F.col("event_type") == "created"
+
+
+def is_fulfilled() -> Column:
+    return F.col("event_type") == "fulfilled"
+
+
 def non_blank(c: str | Column) -> Column:
     """P5 ``non_blank``: ``c IS NOT NULL AND c != ''``."""
     col = F.col(c) if isinstance(c, str) else c

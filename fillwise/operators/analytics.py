@@ -13,21 +13,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fillwise.functions.core import (DEFAULT_AS_OF, check_limit, money_avg, money_sum, non_blank,
-                                     period_hours, since_days, since_hours)
+from fillwise.functions.core import (DEFAULT_AS_OF, check_limit, is_created, is_fulfilled, money_avg, money_sum,
+                                     non_blank, period_hours, since_days, since_hours)
 from fillwise.schema import chains_df
 
-CREATED = F.col("event_type") == "created"
-FULFILLED = F.col("event_type") == "fulfilled"
-
 
 def _created_fulfilled_measures(created_vol: str = "give_amount_usd",
                                 fulfilled_vol: str = "take_amount_usd"):
     return [
-        F.count_if(CREATED).alias("created_count"),
-        F.coalesce(money_sum(F.when(CREATED, F.col(created_vol))), F.lit(0.0)).alias("created_volume_usd"),
-        F.count_if(FULFILLED).alias("fulfilled_count"),
-        F.coalesce(money_sum(F.when(FULFILLED, F.col(fulfilled_vol))), F.lit(0.0)).alias("fulfilled_volume_usd"),
+        F.count_if(is_created()).alias("created_count"),
+        F.coalesce(money_sum(F.when(is_created(), F.col(created_vol))), F.lit(0.0)).alias("created_volume_usd"),
+        F.count_if(is_fulfilled()).alias("fulfilled_count"),
+        F.coalesce(money_sum(F.when(is_fulfilled(), F.col(fulfilled_vol))), F.lit(0.0)).alias("fulfilled_volume_usd"),
     ]
 
 
@@ -50,7 +47,7 @@ def daily_volumes(ev: DataFrame, days: int = 30, as_of: str = DEFAULT_AS_OF) ->
 def top_tokens(ev: DataFrame, limit: int = 10) -> DataFrame:
     """A3: created orders per give-token symbol, by USD volume."""
     limit = check_limit(limit, 10, 50)
-    return (ev.where(CREATED & non_blank("give_token_symbol"))
+    return (ev.where(is_created() & non_blank("give_token_symbol"))
             .groupBy(F.col("give_token_symbol").alias("symbol"))
             .agg(F.count(F.lit(1)).alias("order_count"),
                  F.coalesce(money_sum(F.col("give_amount_usd")), F.lit(0.0)).alias("volume_usd"))
@@ -72,7 +69,7 @@ def chain_names(df: DataFrame, spark: SparkSession, id_col: str = "chain_id") ->
 
 
 def _chain_side(ev: DataFrame, spark: SparkSession, chain_col: str, usd_col: str) -> DataFrame:
-    agg = (ev.where(CREATED & F.col(chain_col).isNotNull())
+    agg = (ev.where(is_created() & F.col(chain_col).isNotNull())
            .groupBy(F.col(chain_col).alias("chain_id"))
            .agg(F.count(F.lit(1)).alias("order_count"),
                 F.coalesce(money_sum(F.col(usd_col)), F.lit(0.0)).alias("volume_usd")))
@@ -98,7 +95,7 @@ def chain_breakdown(ev: DataFrame, spark: SparkSession) -> DataFrame:
     Both sides come from one scan: the rows are expanded to (side, chain, usd)
     by ``stack`` and aggregated once.
     """
-    sides = ev.where(CREATED).select(F.expr(
+    sides = ev.where(is_created()).select(F.expr(
         "stack(2, 'source', give_chain_id, give_amount_usd, "
         "'destination', take_chain_id, take_amount_usd) AS (side, chain_id, usd)"))
     agg = (sides.where(F.col("chain_id").isNotNull())
@@ -114,12 +111,12 @@ def chain_breakdown(ev: DataFrame, spark: SparkSession) -> DataFrame:
 def period_stats(ev: DataFrame, period: str = "24h", as_of: str = DEFAULT_AS_OF) -> DataFrame:
     """Counts, volume, fill rate and order size (mean, median) over a period."""
     hours = period_hours(period)
-    sized = CREATED & (F.col("give_amount_usd") > 0)
+    sized = is_created() & (F.col("give_amount_usd") > 0)
     size = F.when(sized, F.col("give_amount_usd"))
     agg = since_hours(ev, hours, as_of).agg(
-        F.count_if(CREATED).alias("total_created"),
-        F.count_if(FULFILLED).alias("total_fulfilled"),
-        F.coalesce(money_sum(F.when(CREATED, F.col("give_amount_usd"))), F.lit(0.0)).alias("total_volume_usd"),
+        F.count_if(is_created()).alias("total_created"),
+        F.count_if(is_fulfilled()).alias("total_fulfilled"),
+        F.coalesce(money_sum(F.when(is_created(), F.col("give_amount_usd"))), F.lit(0.0)).alias("total_volume_usd"),
         F.coalesce(money_avg(size), F.lit(0.0)).alias("avg_order_size"),
         F.coalesce(F.round(F.median(size), 4), F.lit(0.0)).alias("median_order_size"),
     )
@@ -134,7 +131,7 @@ def period_stats(ev: DataFrame, period: str = "24h", as_of: str = DEFAULT_AS_OF)
 def top_makers(ev: DataFrame, limit: int = 10) -> DataFrame:
     """Makers of created orders, by USD volume."""
     limit = check_limit(limit, 10, 50)
-    return (ev.where(CREATED & non_blank("maker"))
+    return (ev.where(is_created() & non_blank("maker"))
             .groupBy(F.col("maker").alias("address"))
             .agg(F.count(F.lit(1)).alias("order_count"),
                  F.coalesce(money_sum(F.col("give_amount_usd")), F.lit(0.0)).alias("volume_usd"))
@@ -145,7 +142,7 @@ def top_makers(ev: DataFrame, limit: int = 10) -> DataFrame:
 def top_takers(ev: DataFrame, limit: int = 10) -> DataFrame:
     """Takers of fulfilled orders, by order count; volume from fulfilled USD."""
     limit = check_limit(limit, 10, 50)
-    return (ev.where(FULFILLED & non_blank("taker"))
+    return (ev.where(is_fulfilled() & non_blank("taker"))
             .groupBy(F.col("taker").alias("address"))
             .agg(F.count(F.lit(1)).alias("order_count"),
                  F.coalesce(money_sum(F.col("fulfilled_amount_usd")), F.lit(0.0)).alias("volume_usd"))
@@ -165,7 +162,7 @@ def leaderboard(board: DataFrame, order_by: str) -> DataFrame:
 def token_pairs(ev: DataFrame, limit: int = 20) -> DataFrame:
     """(give symbol, take symbol) pairs of created orders, by count."""
     limit = check_limit(limit, 20, 50)
-    return (ev.where(CREATED & non_blank("give_token_symbol") & non_blank("take_token_symbol"))
+    return (ev.where(is_created() & non_blank("give_token_symbol") & non_blank("take_token_symbol"))
             .groupBy(F.col("give_token_symbol").alias("give_token"),
                      F.col("take_token_symbol").alias("take_token"))
             .agg(F.count(F.lit(1)).alias("order_count"),
@@ -183,7 +180,7 @@ def unique_order_count(ev: DataFrame, event_type: str | None = None) -> DataFram
 
 def order_counts(ev: DataFrame) -> DataFrame:
     """Created, fulfilled and total in one row (one pass)."""
-    return ev.agg(F.count_if(CREATED).alias("created"), F.count_if(FULFILLED).alias("fulfilled"),
+    return ev.agg(F.count_if(is_created()).alias("created"), F.count_if(is_fulfilled()).alias("fulfilled"),
                   F.count(F.lit(1)).alias("total"))
 
 
@@ -212,7 +209,7 @@ def collection_rate_eta(ev: DataFrame, target: int = 50000) -> DataFrame:
 
 def token_usd_coverage(ev: DataFrame, limit: int = 20) -> DataFrame:
     """Created rows per (address, symbol) incl. null groups; USD sum stays NULL if none."""
-    return (ev.where(CREATED)
+    return (ev.where(is_created())
             .groupBy("give_token_address", "give_token_symbol")
             .agg(F.count(F.lit(1)).alias("cnt"), money_sum(F.col("give_amount_usd")).alias("total_usd"))
             .orderBy(F.desc("cnt"), F.asc_nulls_last("give_token_address"),
@@ -225,14 +222,14 @@ SAMPLE_COLUMNS = ["order_id", "give_token_address", "give_token_symbol", "give_a
 
 def usd_present(ev: DataFrame, n: int = 5) -> DataFrame:
     """P10: a sample of created rows with a positive USD value (ordered for determinism)."""
-    return (ev.where(CREATED & (F.col("give_amount_usd") > 0)).select(*SAMPLE_COLUMNS, "signature")
+    return (ev.where(is_created() & (F.col("give_amount_usd") > 0)).select(*SAMPLE_COLUMNS, "signature")
             .orderBy("signature").limit(n).drop("signature"))
 
 
 def usd_missing(ev: DataFrame, n: int = 5) -> DataFrame:
     """P10: a sample of created rows whose USD value is NULL or 0."""
     missing = F.col("give_amount_usd").isNull() | (F.col("give_amount_usd") == 0)
-    return (ev.where(CREATED & missing).select(*SAMPLE_COLUMNS, "signature")
+    return (ev.where(is_created() & missing).select(*SAMPLE_COLUMNS, "signature")
             .orderBy("signature").limit(n).drop("signature"))
 
 

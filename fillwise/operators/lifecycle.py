@@ -12,10 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fillwise.functions.core import check_limit
+from fillwise.functions.core import check_limit, is_created, is_fulfilled
 
-CREATED = F.col("event_type") == "created"
-FULFILLED = F.col("event_type") == "fulfilled"
 
 LIFECYCLE_COLUMNS = ["order_id", "created_at", "created_signature", "fulfilled_at",
                      "fulfilled_signature", "maker", "taker", "give_token", "take_token",
@@ -37,17 +35,17 @@ def _fill_seconds(created_at: str, fulfilled_at: str) -> Column:
 def lifecycles(ev: DataFrame) -> DataFrame:
     """A10 over every order: first create / first fill time and signature, parties, fill time."""
     agg = ev.groupBy("order_id").agg(
-        F.min(F.when(CREATED, F.col("block_time"))).alias("created_at"),
-        F.min_by(F.col("signature"), F.when(CREATED, F.struct("block_time", "signature")))
+        F.min(F.when(is_created(), F.col("block_time"))).alias("created_at"),
+        F.min_by(F.col("signature"), F.when(is_created(), F.struct("block_time", "signature")))
          .alias("created_signature"),
-        F.min(F.when(FULFILLED, F.col("block_time"))).alias("fulfilled_at"),
-        F.min_by(F.col("signature"), F.when(FULFILLED, F.struct("block_time", "signature")))
+        F.min(F.when(is_fulfilled(), F.col("block_time"))).alias("fulfilled_at"),
+        F.min_by(F.col("signature"), F.when(is_fulfilled(), F.struct("block_time", "signature")))
          .alias("fulfilled_signature"),
-        _first_of("maker", CREATED).alias("maker"),
-        _first_of("taker", FULFILLED).alias("taker"),
-        _first_of("give_token_symbol", CREATED).alias("give_token"),
-        _first_of("take_token_symbol", CREATED).alias("take_token"),
-        _first_of("give_amount_usd", CREATED).alias("amount_usd"),
+        _first_of("maker", is_created()).alias("maker"),
+        _first_of("taker", is_fulfilled()).alias("taker"),
+        _first_of("give_token_symbol", is_created()).alias("give_token"),
+        _first_of("take_token_symbol", is_created()).alias("take_token"),
+        _first_of("give_amount_usd", is_created()).alias("amount_usd"),
     )
     return (agg.withColumn("amount_usd", F.when(F.col("amount_usd") != 0, F.col("amount_usd")))
                .withColumn("time_to_fill_seconds", _fill_seconds("created_at", "fulfilled_at"))
@@ -98,10 +96,10 @@ def lifecycle_join(ev: DataFrame) -> DataFrame:
                 _first_of(party, F.lit(True)).alias(party)]
         cols += [_first_of(src, F.lit(True)).alias(dst) for dst, src in extra.items()]
         return ev.where(cond).groupBy("order_id").agg(*cols)
-    c = side(CREATED, "maker", {"give_token": "give_token_symbol", "take_token": "take_token_symbol",
+    c = side(is_created(), "maker", {"give_token": "give_token_symbol", "take_token": "take_token_symbol",
                                 "amount_usd": "give_amount_usd"})
     c = c.withColumnsRenamed({"at": "created_at", "sig": "created_signature"})
-    f = side(FULFILLED, "taker", {}).withColumnsRenamed({"at": "fulfilled_at", "sig": "fulfilled_signature"})
+    f = side(is_fulfilled(), "taker", {}).withColumnsRenamed({"at": "fulfilled_at", "sig": "fulfilled_signature"})
     j = c.join(f, "order_id", "full_outer")
     return (j.withColumn("amount_usd", F.when(F.col("amount_usd") != 0, F.col("amount_usd")))
              .withColumn("time_to_fill_seconds", _fill_seconds("created_at", "fulfilled_at"))

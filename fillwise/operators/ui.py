@@ -11,7 +11,11 @@ from pyspark.sql import functions as F
 from fillwise.operators.analytics import RECENT_COLUMNS
 
 SEARCH_COLUMNS = ("order_id", "signature", "maker", "taker", "give_token_symbol", "take_token_symbol")
-RECENT_ORDER = [F.desc("block_time"), F.asc("signature"), F.asc("event_type")]
+
+
+def recent_order():
+    """Display order of event rows: newest first, key as tie-breaker."""
+    return [F.desc("block_time"), F.asc("signature"), F.asc("event_type")]
 
 
 def search_predicate(q: str, columns=SEARCH_COLUMNS) -> Column:
@@ -65,7 +69,7 @@ def page_orders(rows: DataFrame, page: int = 1, size: int = 10) -> DataFrame:
     """
     if page < 1 or size < 1:
         raise ValueError("page and size must be >= 1")
-    part = (rows.select(*RECENT_COLUMNS).orderBy(*RECENT_ORDER)
+    part = (rows.select(*RECENT_COLUMNS).orderBy(*recent_order())
             .offset((page - 1) * size).limit(size).withColumn("_k", F.lit(1)))
     total = rows.agg(F.count(F.lit(1)).alias("n")).select(
         F.lit(1).alias("_k"), F.ceil(F.col("n") / F.lit(size)).cast("bigint").alias("total_pages"))
@@ -76,7 +80,7 @@ def page_after(rows: DataFrame, cursor_time, cursor_signature: str, size: int =
     """Keyset page: rows strictly older than the cursor ``(block_time, signature)``."""
     older = ((F.col("block_time") < F.lit(cursor_time)) |
              ((F.col("block_time") == F.lit(cursor_time)) & (F.col("signature") > cursor_signature)))
-    return rows.where(older).select(*RECENT_COLUMNS).orderBy(*RECENT_ORDER).limit(size)
+    return rows.where(older).select(*RECENT_COLUMNS).orderBy(*recent_order()).limit(size)
 
 
 def merge_live(update: DataFrame, snapshot: DataFrame, key: str = "order_id", keep: int = 20) -> DataFrame:
@@ -96,5 +100,5 @@ def merge_live(update: DataFrame, snapshot: DataFrame, key: str = "order_id", ke
 def with_position(rows: DataFrame, order=None) -> DataFrame:
     """Number a bounded (already limited) list 1..n in display order."""
     from pyspark.sql import Window
-    w = Window.orderBy(*(order or RECENT_ORDER))
+    w = Window.orderBy(*(order or recent_order()))
     return rows.withColumn("position", F.row_number().over(w))

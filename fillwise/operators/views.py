@@ -13,20 +13,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fillwise.functions.core import MONEY, non_blank
+from fillwise.functions.core import MONEY, is_created, is_fulfilled, non_blank
 from fillwise.operators import analytics as A
 
-CREATED = F.col("event_type") == "created"
-FULFILLED = F.col("event_type") == "fulfilled"
-
 
 def daily_partials(ev: DataFrame, batch_col: str = "batch_id") -> DataFrame:
     """A20 partials: per batch and day, counts and DECIMAL volume sums."""
     return (ev.groupBy(batch_col, F.to_date("block_time").alias("date"))
-            .agg(F.count_if(CREATED).alias("created_count"),
-                 F.sum(F.when(CREATED, F.col("give_amount_usd").cast(MONEY))).alias("created_volume"),
-                 F.count_if(FULFILLED).alias("fulfilled_count"),
-                 F.sum(F.when(FULFILLED, F.col("take_amount_usd").cast(MONEY))).alias("fulfilled_volume")))
+            .agg(F.count_if(is_created()).alias("created_count"),
+                 F.sum(F.when(is_created(), F.col("give_amount_usd").cast(MONEY))).alias("created_volume"),
+                 F.count_if(is_fulfilled()).alias("fulfilled_count"),
+                 F.sum(F.when(is_fulfilled(), F.col("take_amount_usd").cast(MONEY))).alias("fulfilled_volume")))
 
 
 def read_daily_view(partials: DataFrame) -> DataFrame:
@@ -40,7 +37,7 @@ def read_daily_view(partials: DataFrame) -> DataFrame:
 
 def token_partials(ev: DataFrame, batch_col: str = "batch_id") -> DataFrame:
     """A21 partials: per batch and give-token symbol of created orders."""
-    return (ev.where(CREATED & non_blank("give_token_symbol"))
+    return (ev.where(is_created() & non_blank("give_token_symbol"))
             .groupBy(batch_col, F.col("give_token_symbol").alias("symbol"))
             .agg(F.count(F.lit(1)).alias("order_count"),
                  F.sum(F.col("give_amount_usd").cast(MONEY)).alias("volume")))
