@@ -312,3 +312,24 @@ def camel_project(df: DataFrame, zero_fill: Sequence[str] = ()) -> DataFrame:
             col = F.coalesce(F.nanvl(col.cast("double"), F.lit(0.0)), F.lit(0.0))
         cols.append(col.alias(camel(c)))
     return df.select(*cols)
+
+
+def read_events_since(spark: SparkSession, path: str, hours: int, as_of: str,
+                      immutable_time: bool = False) -> DataFrame:
+    """P6 over the stored table with month pruning when it is exact.
+
+    Default: dedup first, then the time filter (a newer version of a key may
+    carry another ``block_time``, so filtering first could resurrect an old
+    version).  With ``immutable_time=True`` (chain data: a key's block time
+    never changes) the filter — plus the derived ``ym`` partition predicate —
+    is applied to the scan, so Spark reads only the months in range.
+    """
+    import datetime as dt
+
+    from fillwise.functions.core import since_hours
+    raw = spark.read.parquet(path).drop("batch_id")
+    if not immutable_time:
+        return since_hours(latest(raw), hours, as_of)
+    bound = dt.datetime.fromisoformat(as_of) - dt.timedelta(hours=int(hours))
+    pruned = raw.where(F.col("ym") >= bound.year * 100 + bound.month)
+    return latest(since_hours(pruned, hours, as_of))

@@ -148,10 +148,12 @@ def collect_until_target(spark: SparkSession, source: str, paths: IngestPaths, t
             return report
         q, report = start_ingest(spark, source, paths, max_files_per_trigger=max_files_per_trigger,
                                  report=report, **kw)
-        # Stop after the batch that reaches the target (pause semantics, ST9).
+        # Pause (ST9) once the target is reached, between triggers where possible.
+        # Stopping inside a batch is still safe: the batch is not committed and
+        # is replayed under the same batch_id, which overwrites its own rows.
         while q.isActive:
             q.awaitTermination(1)
-            if _stored_count(spark, paths.table) >= target:
+            if not q.status.get("isTriggerActive", False) and _stored_count(spark, paths.table) >= target:
                 q.stop()
         if not report.batches or _stored_count(spark, paths.table) == stored:
             return report          # nothing new landed
