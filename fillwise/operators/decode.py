@@ -53,24 +53,22 @@ def order_id_from_logs(logs: Column, payloads: Column | None = None) -> Column:
 def dest_chain_from_logs(logs: Column, payloads: Column | None = None) -> Column:
     """D6 + W4: in the 2nd and later payloads, the first known non-Solana chain id at any byte offset.
 
-    Offsets run 0 … len-9 (the last full window is not read).  The u64 test
-    compares the window's hex text with the ids' little-endian hex, which
-    avoids a numeric conversion per offset.
+    Offsets run 0 … len-9 (the last full 8-byte window is not read).  One
+    regular expression over the payload's hex text finds the earliest
+    byte-aligned window equal to a known id's little-endian bytes
+    (``^(?:..)*?`` keeps byte alignment and takes the earliest offset; the
+    trailing ``..`` demands a byte after the window).  Solana's id is not in
+    the pattern, so it is skipped as in the source rule.
     """
-    patterns = F.create_map(*[x for cid in DEST_CHAIN_IDS
-                              for x in (F.lit(le_bytes_hex(cid, 8).upper()), F.lit(cid).cast("bigint"))])
+    ids = {le_bytes_hex(cid, 8).upper(): cid for cid in DEST_CHAIN_IDS}
+    pattern = "^(?:..)*?(" + "|".join(ids) + ")(?:..)"
+    lookup = F.create_map(*[x for h, cid in ids.items() for x in (F.lit(h), F.lit(cid).cast("bigint"))])
     payloads = program_data_payloads(logs) if payloads is None else payloads
     later = F.slice(payloads, 2, 1 << 20)
-
-    def first_in(p: Column) -> Column:
-        h = F.hex(p)
-        offsets = F.when(F.octet_length(p) >= 9, F.sequence(F.lit(0), F.octet_length(p) - 9))\
-                   .otherwise(F.array().cast("array<int>"))
-        hits = F.transform(offsets, lambda o: F.try_element_at(patterns, F.substring(h, o * 2 + 1, 16)))
-        return F.get(F.filter(hits, lambda x: x.isNotNull()), 0)
-
-    found = F.transform(F.filter(later, lambda p: p.isNotNull()), first_in)
-    return F.get(F.filter(found, lambda x: x.isNotNull()), 0)
+    hits = F.transform(F.filter(later, lambda p: p.isNotNull()),
+                       lambda p: F.regexp_extract(F.hex(p), pattern, 1))
+    first = F.get(F.filter(hits, lambda h: h != ""), 0)
+    return F.try_element_at(lookup, first)
 
 
 def first_signer(keys: Column) -> Column:

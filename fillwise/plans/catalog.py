@@ -38,4 +38,4 @@ def load_ev(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Importing the query modules fills QUERIES / ORACLE.
 from fillwise.plans import q_analytics, q_decode, q_io, q_lifecycle, q_telemetry, q_views  # noqa: E402,F401
-from fillwise.plans import q_streaming  # noqa: E402,F401
+from fillwise.plans import q_landing, q_streaming  # noqa: E402,F401
