@@ -39,15 +39,12 @@ def _backfill(spark, sf):
 
 
 def _by_year(spark, sf):
-    """A live tail in event-time order: deduped events landed one file per year, oldest first."""
+    """A live tail in event-time order: deduped events in time-ranged files, oldest first."""
     key = ("by_year", id(spark), sf)
     if key not in _RUNS:
         root = I.scratch_dir(spark, "tail")
-        ev = load_ev(spark, sf).withColumn("_y", F.year("block_time"))
-        years = [r[0] for r in ev.select("_y").distinct().orderBy("_y").collect()]
-        for y in years:
-            ev.where(F.col("_y") == y).drop("_y").coalesce(1).write.mode("overwrite").json(f"{root}/y{y}")
-        _RUNS[key] = f"{root}/y*"
+        I.land_files(load_ev(spark, sf), f"{root}/t", 8, ["block_time"], newest_first=False)
+        _RUNS[key] = f"{root}/t/*.json"
     return _RUNS[key]
 
 
@@ -55,10 +52,8 @@ def _log_tail(spark, sf):
     key = ("log_tail", id(spark), sf)
     if key not in _RUNS:
         root = I.scratch_dir(spark, "logtail")
-        log = tpch.request_log(spark, sf).withColumn("_d", F.floor(F.dayofmonth("ts") / 10))
-        for d in [r[0] for r in log.select("_d").distinct().orderBy("_d").collect()]:
-            log.where(F.col("_d") == d).drop("_d").coalesce(1).write.mode("overwrite").json(f"{root}/d{d}")
-        _RUNS[key] = f"{root}/d*"
+        I.land_files(tpch.request_log(spark, sf), f"{root}/t", 4, ["ts"], newest_first=False, time_col="ts")
+        _RUNS[key] = f"{root}/t/*.json"
     return _RUNS[key]
 
 

@@ -199,32 +199,46 @@ def two_streams(spark: SparkSession, sources: dict[str, str], root: str, paralle
     return reports
 
 
+def land_files(df: DataFrame, landing: str, files: int, by: list[str], newest_first: bool = False,
+               time_col: str = "block_time", arrive_after: float | None = None) -> float:
+    """Land ``df`` as ``files`` JSON files in one parallel write and fix their arrival order.
+
+    Rows are range-partitioned on ``by`` (rows sharing those values share a
+    file).  The file source picks files up in modification-time order, so
+    after the write every file gets a modification time ranked by its newest
+    ``time_col`` value (descending for a newest-first backfill, ascending for
+    a live tail).  Only one row per *file* reaches the driver.  Returns the
+    last arrival time used, so a later landing can arrive after this one.
+    """
+    spark = df.sparkSession
+    df.repartitionByRange(files, *[F.col(c) for c in by]).write.mode("overwrite").json(landing)
+    per_file = (spark.read.schema(df.schema).json(landing)
+                .groupBy(F.input_file_name().alias("f")).agg(F.max(time_col).alias("t")).collect())
+    ordered = sorted(per_file, key=lambda r: (r["t"] is None, r["t"]), reverse=newest_first)
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    start = arrive_after if arrive_after is not None else 1_600_000_000_000.0
+    t = start
+    for r in ordered:
+        path = jvm.org.apache.hadoop.fs.Path(r["f"])
+        t += 1000
+        path.getFileSystem(conf).setTimes(path, int(t), -1)
+    return t
+
+
 def land_event_files(events: DataFrame, landing: str, parts: int = 10, replay_part: int | None = 3,
-                     newest_first: bool = True) -> list[str]:
-    """Fixture landing (FIXTURES §4): rows split by ``slot % parts`` into one JSON file each,
-    written newest-first, plus one part delivered a second time (at-least-once replay).
+                     newest_first: bool = True) -> float:
+    """Backfill fixture (FIXTURES §4): ``parts`` files split by slot, newest first, plus the rows of
+    one ``slot % parts`` class delivered a second time (at-least-once replay).
 
     Every duplicate of a key shares its slot, so a key never spans two files.
     """
-    spark = events.sparkSession
-    tagged = events.withColumn("_part", (F.col("slot") % parts).cast("int"))
-    order = (tagged.groupBy("_part").agg(F.max("block_time").alias("t")).orderBy(
-        F.desc("t") if newest_first else F.asc("t")).collect())
-    written = []
-    for row in order:
-        p = row["_part"]
-        out = f"{landing}/p{p:02d}"
-        (tagged.where(F.col("_part") == p).drop("_part").coalesce(1)
-         .write.mode("overwrite").json(out))
-        written.append(out)
+    last = land_files(events, f"{landing}/main", parts, ["slot"], newest_first=newest_first)
     if replay_part is not None:
-        out = f"{landing}/p{replay_part:02d}r"
-        (tagged.where(F.col("_part") == replay_part).drop("_part").coalesce(1)
-         .write.mode("overwrite").json(out))
-        written.append(out)
-    _ = spark
-    return written
+        again = events.where((F.col("slot") % parts) == replay_part)
+        last = land_files(again, f"{landing}/replay", max(1, parts // 5), ["slot"], arrive_after=last)
+    return last
 
 
 def landing_glob(landing: str) -> str:
-    return os.path.join(landing, "*")
+    return os.path.join(landing, "*", "*.json")
