@@ -101,11 +101,19 @@ def primary_transfer(meta: Column) -> Column:
     outflows = F.transform(pre_sol, lambda a, i: F.struct((a - F.get(post_sol, i)).alias("change"),
                                                           (-i).alias("neg_pos")))
     sol = F.array_max(F.filter(outflows, lambda g: g["change"] > MIN_SOL_TRANSFER_LAMPORTS))
-    return (F.when(best.isNotNull(), F.struct(best["mint"].alias("mint"),
-                                               best["change"].alias("amount"), best["owner"].alias("owner")))
-            .when(sol.isNotNull(), F.struct(F.lit(NATIVE_SOL_MINT).alias("mint"),
-                                            sol["change"].cast("decimal(38,0)").alias("amount"),
-                                            F.lit("").alias("owner"))))
+
+    # Bind both candidates once (a one-element array's lambda variable): the
+    # choice below reads each several times, and higher-order functions get
+    # no common-subexpression elimination.
+    def choose(c: Column) -> Column:
+        b, s = c["best"], c["sol"]
+        return (F.when(b.isNotNull(), F.struct(b["mint"].alias("mint"), b["change"].alias("amount"),
+                                               b["owner"].alias("owner")))
+                .when(s.isNotNull(), F.struct(F.lit(NATIVE_SOL_MINT).alias("mint"),
+                                              s["change"].cast("decimal(38,0)").alias("amount"),
+                                              F.lit("").alias("owner"))))
+
+    return F.get(F.transform(F.array(F.struct(best.alias("best"), sol.alias("sol"))), choose), 0)
 
 
 def all_instructions(tx: Column) -> Column:
