@@ -283,7 +283,11 @@ def decode_events(spark: SparkSession, raw: DataFrame, encoding: str = "base58")
     src = F.col("ix.programId") == SOURCE_PROGRAM_ID
     kind = (F.when(src & is_create(F.col("bytes")), F.lit("created"))
             .when(~src & is_fulfill(F.col("bytes")), F.lit("fulfilled")))
-    ev = ix.withColumn("event_type", kind).where(F.col("event_type").isNotNull() & F.col("order_id").isNotNull())
+    # One non-splittable predicate over a per-instruction column: Catalyst can
+    # then not push ``order_id IS NOT NULL`` below the explode, where it would
+    # inline (and evaluate twice) the whole log-scanning expression.
+    keep = F.when(F.col("event_type").isNotNull(), F.col("order_id").isNotNull()).otherwise(F.lit(False))
+    ev = ix.withColumn("event_type", kind).where(keep)
     ev = resolve_tokens(ev.withColumn("mint", F.col("transfer.mint")), spark)
     created = F.col("event_type") == "created"
     give_amount = u_le(F.col("bytes"), 8, 8)
@@ -344,8 +348,9 @@ def unknown_tokens(spark: SparkSession, raw: DataFrame, encoding: str = "base58"
     """Mints of primary transfers that the registry does not know, with occurrence counts."""
     ix = decoded_instructions(raw, encoding)
     src = F.col("ix.programId") == SOURCE_PROGRAM_ID
-    ev = ix.where(F.col("order_id").isNotNull() & F.col("transfer").isNotNull()
-                  & F.when(src, is_create(F.col("bytes"))).otherwise(is_fulfill(F.col("bytes"))))
+    decodes = F.when(src, is_create(F.col("bytes"))).otherwise(is_fulfill(F.col("bytes")))
+    ev = ix.where(F.when(decodes, F.col("order_id").isNotNull() & F.col("transfer").isNotNull())
+                  .otherwise(F.lit(False)))
     known = tokens_df(spark)
     sol = F.broadcast(known.where(F.col("family") == "solana").select(F.col("address").alias("mint")))
     evm = F.broadcast(known.where(F.col("family") == "evm").select(F.col("address").alias("lmint")))
