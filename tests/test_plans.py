@@ -50,3 +50,13 @@ def test_time_filter_prunes_months_when_times_are_immutable(spark, tmp_path):
     assert "PartitionFilters: []" in plan(full)
     assert pruned.count() == full.count()
     _ = dt
+
+
+def test_init_schema_is_idempotent(spark, tmp_path):
+    """CREATE DATABASE / TABLE IF NOT EXISTS, twice, then the tables accept the schemas."""
+    loc = str(tmp_path / "wh")
+    IO.init_schema(spark, "fillwise_t", loc)
+    IO.init_schema(spark, "fillwise_t", loc)
+    cols = [c.name for c in spark.catalog.listColumns("order_events", "fillwise_t")]
+    assert cols[:3] == ["order_id", "event_type", "signature"] and "ym" in cols
+    assert spark.table("fillwise_t.collection_progress").count() == 0
