@@ -97,7 +97,8 @@ SELECT 'c-' || CAST(o_orderkey AS VARCHAR) AS signature, sha256(CAST(o_orderkey
 FROM orders WHERE o_orderpriority != '5-LOW' AND o_orderstatus != 'P' AND o_orderkey % 17 != 0""")
 def q_decode_create(spark, sf):
     ix = X.decoded_instructions(R.created_transactions(spark, sf, "hex"), "hex")
-    return (ix.where(X.is_create(F.col("bytes")) & F.col("order_id").isNotNull())
+    keep = F.when(X.is_create(F.col("bytes")), F.col("order_id").isNotNull()).otherwise(F.lit(False))
+    return (ix.where(keep)
             .select("signature", "order_id", B.u_le(F.col("bytes"), 8, 8).alias("give_amount")))
 
 
