@@ -17,6 +17,12 @@ PERIOD_HOURS = {"1h": 1, "24h": 24, "7d": 24 * 7, "30d": 24 * 30, "all": 24 * 36
 MONEY = T.DecimalType(28, 6)
 
 
+
+def epoch_ntz() -> Column:
+    """The Unix epoch as a TIMESTAMP_NTZ literal: epoch seconds <-> wall-clock UTC, no session zone."""
+    return F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'")
+
+
 def money_sum(c: Column) -> Column:
     """Exact, order-independent sum of a USD column (DECIMAL sum reported as DOUBLE).
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from fillwise.functions.base58 import base58_decode
 from fillwise.functions.binary import bytes_at, hex_at, le_bytes_hex, u_le, u_le_long
+from fillwise.functions.core import epoch_ntz
 from fillwise.schema import (CHAINS, CREATE_ORDER_DISCRIMINATOR_HEX, DESTINATION_PROGRAM_ID,
                              MIN_SOL_TRANSFER_LAMPORTS, NATIVE_SOL_MINT, SOLANA_CHAIN_ID, SOURCE_PROGRAM_ID,
                              STABLECOIN_SYMBOLS, tokens_df)
@@ -298,7 +299,8 @@ def decode_events(spark: SparkSession, raw: DataFrame, encoding: str = "base58")
     solana = F.lit(SOLANA_CHAIN_ID).cast("bigint")
     null_s, null_d, null_a = (F.lit(None).cast("string"), F.lit(None).cast("double"),
                               F.lit(None).cast("decimal(38,0)"))
-    block_time = F.timestamp_seconds(F.col("blockTime")).cast("timestamp_ntz")
+    # blockTime is UTC epoch seconds; add it to the NTZ epoch (no session-zone conversion).
+    block_time = F.timestamp_add("SECOND", F.col("blockTime"), epoch_ntz())
     return ev.select(
         "order_id", "event_type", "signature", "slot",
         F.coalesce(block_time, F.current_timestamp().cast("timestamp_ntz")).alias("block_time"),

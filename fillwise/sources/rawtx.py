@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from fillwise.functions.base58 import base58_encode
 from fillwise.functions.binary import le_hex_of
+from fillwise.functions.core import epoch_ntz
 from fillwise.schema import (CREATE_ORDER_DISCRIMINATOR_HEX, DESTINATION_PROGRAM_ID, EVM_TOKENS, RAW_TX,
                              SOLANA_TOKENS, SOURCE_PROGRAM_ID)
 from fillwise.sources.tpch import CHAIN_ID_CYCLE, read_table
@@ -151,7 +152,7 @@ def created_transactions(spark: SparkSession, sf_dir: str, encoding: str = "base
     return df.select(
         F.concat(F.lit("c-"), k.cast("string")).alias("signature"),
         k.alias("slot"),
-        F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("blockTime"),
+        F.timestamp_diff("SECOND", epoch_ntz(), F.col("o_orderdate")).alias("blockTime"),
         F.struct(F.when(F.col("o_orderstatus") == "P", F.lit(ERR_JSON)).alias("err"),
                  logs.alias("logMessages"), inner.alias("innerInstructions"),
                  pre_tb.alias("preTokenBalances"), post_tb.alias("postTokenBalances"),
@@ -194,7 +195,7 @@ def fulfilled_transactions(spark: SparkSession, sf_dir: str, encoding: str = "ba
     return df.select(
         F.concat(F.lit("f-"), k.cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")).alias("signature"),
         k.alias("slot"),
-        F.unix_seconds(F.col("l_shipdate").cast("timestamp")).alias("blockTime"),
+        F.timestamp_diff("SECOND", epoch_ntz(), F.col("l_shipdate")).alias("blockTime"),
         F.struct(F.lit(None).cast("string").alias("err"), logs.alias("logMessages"), inner.alias("innerInstructions"),
                  pre_tb.alias("preTokenBalances"), post_tb.alias("postTokenBalances"),
                  pre_sol.alias("preBalances"), post_sol.alias("postBalances")).alias("meta"),

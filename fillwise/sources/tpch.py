@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fillwise.functions.core import epoch_ntz
+
 # Chain ids handed out by ``key % 12`` (11 -> NULL, 999999 is unknown).
 CHAIN_ID_CYCLE = [1, 10, 56, 100, 137, 250, 8453, 42161, 43114, 7565164, 999999, None]
 
@@ -118,7 +120,7 @@ def signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(
         F.concat(F.lit("c-"), F.col("o_orderkey").cast("string")).alias("signature"),
         F.col("o_orderkey").alias("slot"),
-        F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("blockTime"),
+        F.timestamp_diff("SECOND", epoch_ntz(), F.col("o_orderdate")).alias("blockTime"),
         (F.col("o_orderstatus") == "P").alias("err"),
     )
 
