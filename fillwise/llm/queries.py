@@ -23,3 +23,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fillwise.llm.quality import quality
     return quality(table(spark, sf_dir, "documents"))
+
+
+@register
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fillwise.llm.langid import identify
+    return identify(table(spark, sf_dir, "documents"))
