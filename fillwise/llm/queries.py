@@ -29,3 +29,9 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fillwise.llm.langid import identify
     return identify(table(spark, sf_dir, "documents"))
+
+
+@register
+def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fillwise.llm.simhash import near_duplicates
+    return near_duplicates(table(spark, sf_dir, "documents"))
