@@ -35,3 +35,25 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fillwise.llm.simhash import near_duplicates
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@register
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as P
+    from pyspark.sql import functions as F
+
+    from fillwise.llm.bpe import decode, encode
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    out = decode(encode(table(spark, sf_dir, "documents"), path, P.PATTERN), path, P.PATTERN)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                      F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@register
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as P
+    from pyspark.sql import functions as F
+
+    from fillwise.llm.packing import pack
+    out = pack(table(spark, sf_dir, "documents"), P.path("word_bpe_49k.json"))
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
