@@ -67,3 +67,9 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup(table(spark, sf_dir, "documents"))
     gone = F.aggregate("removed", F.lit(0).cast("long"), lambda n, x: n + x["e"] - x["s"])
     return out.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@register
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fillwise.llm.embed_dedup import near_duplicates
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
