@@ -111,8 +111,8 @@ def _ids_array(rows: list[list[int]]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat))
 
 
-def encode(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK) -> DataFrame:
-    """One row per row of ``docs``: doc_id and ids (array<int>) of the whole text."""
+def encode(docs: DataFrame, path: str, pattern: str, chunk: int | None = CHUNK) -> DataFrame:
+    """One row per row of ``docs``: doc_id and ids (array<int>) of the whole text. ``chunk`` None: no text is cut."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
@@ -153,11 +153,14 @@ def encode(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK) -> Data
         ids = stitch([(r["ids"], list(zip(r["at"], r["before"]))) for r in rows[::n]])
         return pa.table({"doc_id": t.column("doc_id").slice(0, 1).combine_chunks().take(pa.array([0] * n)), "ids": _ids_array([ids] * n)})
 
-    short = rows.filter(F.length("text") <= chunk).mapInArrow(whole, f"doc_id {id_type}, ids array<int>")
+    schema = f"doc_id {id_type}, ids array<int>"
+    if chunk is None:
+        return rows.mapInArrow(whole, schema)
+    short = rows.filter(F.length("text") <= chunk).mapInArrow(whole, schema)
     cuts = (rows.filter(F.length("text") > chunk).withColumn("h", F.xxhash64("text"))
             .mapInArrow(cut, f"doc_id {id_type}, h bigint, no int, start bigint, head bigint, tail bigint, last boolean, text string"))
     done = cuts.repartition("h", "no").mapInArrow(pieces, f"doc_id {id_type}, h bigint, no int, ids array<int>, at array<int>, before array<int>")
-    return short.union(done.groupBy("doc_id", "h").applyInArrow(join, f"doc_id {id_type}, ids array<int>"))
+    return short.union(done.groupBy("doc_id", "h").applyInArrow(join, schema))
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -73,3 +73,31 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fillwise.llm.embed_dedup import near_duplicates
     return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@register
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fillwise.llm.common import shared_folder
+    from fillwise.llm.warc import read, write
+    folder = shared_folder(spark, "warc")
+    return read(write(table(spark, sf_dir, "pages"), folder), folder).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@register
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as P
+
+    from fillwise.llm.bpe import encode
+    from fillwise.llm.common import shared_folder
+    from fillwise.llm.token_scan import files, named, scan, write
+    folder = shared_folder(spark, "tokens")
+    encoded = encode(table(spark, sf_dir, "documents"), P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN, chunk=None)
+    order = write(encoded, folder, end_id=50_256)
+    return named(scan(files(spark, folder, names=order.select("file").distinct()), folder, end_id=50_256), order).select("doc_id", "n_tokens", "start", "terminated")
+
+
+@register
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fillwise.llm.license_scan import scan
+    return scan(table(spark, sf_dir, "documents"))
