@@ -50,14 +50,18 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    Only when the session names none (local tests) a fresh scratch folder is
-    created and registered, so ``DataFrame.checkpoint()`` works everywhere.
+    It is registered once per context (each registration adds a folder level).
+    Only a local session that names none (tests, benches) gets a fresh scratch
+    folder; on a cluster executors would not see it, so that raises.
     """
-    current = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    current = sc.getCheckpointDir()
     if current:
-        spark.sparkContext.setCheckpointDir(current)
         return current
-    local = tempfile.mkdtemp(prefix="fillwise-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", local)
-    spark.sparkContext.setCheckpointDir(local)
-    return local
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        configured = tempfile.mkdtemp(prefix="fillwise-ckpt-")
+    sc.setCheckpointDir(configured)
+    return sc.getCheckpointDir()
