@@ -192,8 +192,11 @@ def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _cells(pdf: pd.DataFrame) -> pd.DataFrame:
     """One pair of cells -> (id, more)."""
     x, y = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+    itself = pdf["lo"].iloc[0] == pdf["hi"].iloc[0]
+    if not len(x) or not len(y) and not itself:
+        return pd.DataFrame({"id": np.zeros(0, np.int64), "more": np.zeros(0, np.int64)})
     ux = unit(np.stack(x["v"].to_numpy()).astype(np.float64))
-    if not len(y):                                                  # a cell with itself
+    if itself:
         n = x["n"].to_numpy()
         return pd.DataFrame({"id": x["id"], "more": (ux @ ux.T >= COSINE) @ n - n})
     near = ux @ unit(np.stack(y["v"].to_numpy()).astype(np.float64)).T >= COSINE

@@ -188,7 +188,10 @@ def _block_pair(pdf: pd.DataFrame) -> pd.DataFrame:
     """One pair of blocks of a large bucket."""
     x = pdf[pdf["side"] == 0]["fp"].to_numpy().view(np.uint64)
     y = pdf[pdf["side"] == 1]["fp"].to_numpy().view(np.uint64)
-    y = x if not len(y) else y
+    if pdf["lo"].iloc[0] == pdf["hi"].iloc[0]:
+        y = x
+    if not len(x) or not len(y):
+        return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
     fps = np.unique(np.concatenate([x, y]))
     us, vs = [], []
     for s in range(0, len(x), BLOCK):

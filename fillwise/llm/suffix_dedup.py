@@ -42,7 +42,7 @@ LENGTH = 400
 K = 64
 REACH = LENGTH - K                 # an anchor lies at most so far into a window
 BLOCK = 1 << 19                    # bytes of text hashed at once
-HOT = 100_000                      # distinct pieces of one anchor, beyond which it is split
+HOT = 20_000                       # distinct pieces of one anchor, beyond which it is split
 COLLECTION = 8_192                 # pieces ordered together, at least one whole anchor
 SPOOL = 64 << 20
 POS_BITS = 22
@@ -331,7 +331,7 @@ def repeats(docs: DataFrame) -> DataFrame:
              .mapInArrow(_order, "k1 bigint, k2 bigint, s bigint, e bigint"))
     parts = done.union(copies).union(found)
     if hot:
-        w = pinned(cut.filter(F.col("dn") > HOT).mapInArrow(_windows, "mh bigint, w bigint, n bigint, k1 bigint, k2 bigint, s bigint, e bigint"))
+        w = cut.filter(F.col("dn") > HOT).mapInArrow(_windows, "mh bigint, w bigint, n bigint, k1 bigint, k2 bigint, s bigint, e bigint")
         twice = w.groupBy("mh", "w").agg(F.sum("n").alias("all")).filter("all > 1").select("mh", "w")
         parts = parts.union(w.filter("n = 1").join(twice, ["mh", "w"], "left_semi").select("k1", "k2", "s", "e"))
     return parts.groupBy("k1", "k2").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
