@@ -41,17 +41,35 @@ class Codec:
         # White space as Unicode defines it, which is what the tiktoken library's engine takes \s for.
         self.pattern = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
         self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.bytes_of = {i: b for b, i in ranks.items()}
-
-    def boundaries(self, text: str) -> list[int]:
-        return [m.start() for m in self.pattern.finditer(text)]
-
-    def encode(self, text: str) -> list[int]:
-        """Ids of a text that starts and ends at pre-token boundaries."""
-        return self.encoding.encode_ordinary(text)
-
-    def decode(self, ids) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+        tokens = [b""] * (max(ranks.values(), default=-1) + 1)
+        for b, i in ranks.items():
+            tokens[i] = b
+        self.sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.table = np.frombuffer(b"".join(tokens), np.uint8)
+
+    def boundaries(self, text: str, start: int, lo: int, hi: int) -> list[int]:
+        """Boundaries from ``lo`` to before ``hi`` of the pre-tokens from ``start`` on; those from ``lo`` on need a start
+        that is a boundary only, so matching begins at the last seam before ``lo``."""
+        seam = max((m.start() for m in SEAM.finditer(text, max(start, lo - 4 * OVERLAP), lo)), default=start)
+        out = []
+        for m in self.pattern.finditer(text, seam):
+            if m.start() >= hi:
+                break
+            if m.start() >= lo:
+                out.append(m.start())
+        return out
+
+    def encode(self, text: str) -> bytes:
+        """Ids (little-endian 32-bit) of a text that starts and ends at pre-token boundaries."""
+        return np.array(self.encoding.encode_ordinary(text), "<i4").tobytes()
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        """The bytes of the ids, in order."""
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes)
+        at = np.repeat(self.starts[ids] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+        return self.table[at].tobytes()
 
 
 _codecs: dict[tuple[str, str], Codec] = {}
@@ -74,40 +92,43 @@ def chunk_spans(text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[t
         start = max(start + 1, seam.start() - overlap // 2)
 
 
-def encode_chunk(c: Codec, text: str, start: int, head: int, tail: int, last: bool) -> tuple[list[int], list[tuple[int, int]]]:
+def encode_chunk(c: Codec, text: str, start: int, head: int, tail: int, last: bool) -> tuple[bytes, list[tuple[int, int]]]:
     """Ids of a chunk that starts at ``start`` of its text, and (position, ids before it) of its boundaries in both overlaps.
 
     ``head`` and ``tail``: positions before and from which boundaries may be shared with a neighbour.
     """
-    at = c.boundaries(text)
-    if not last:
-        at = [p for p in at if p + 3 <= len(text)]    # what follows may still turn "'r" into "'re"
+    head, tail = head - start, tail - start
+    at = c.boundaries(text, 0, 0, min(head, tail))
+    if not last:        # not too near the end: what follows may still turn "'r" into "'re"
+        at += c.boundaries(text, 0, max(head, tail) if head <= tail else tail, len(text) - 2)
     # Not behind white space: a piece that ends in white space could be matched otherwise without what follows it.
-    shared = [p for p in at if (start + p < head or start + p >= tail) and (p == 0 or not text[p - 1].isspace())]
-    ids: list[int] = []
+    shared = [p for p in at if p == 0 or not text[p - 1].isspace()]
+    parts: list[bytes] = []
     marks: list[tuple[int, int]] = []
+    before = 0
     for p, q in zip(shared, [*shared[1:], len(text) if last else shared[-1]]):
-        marks.append((start + p, len(ids)))
-        ids += c.encode(text[p:q])
-    return ids, marks
+        marks.append((start + p, before))
+        parts.append(c.encode(text[p:q]))
+        before += len(parts[-1]) // 4
+    return b"".join(parts), marks
 
 
-def stitch(chunks: list[tuple[list[int], list[tuple[int, int]]]]) -> list[int]:
+def stitch(chunks: list[tuple[bytes, list[tuple[int, int]]]]) -> bytes:
     """Ids of the text from its chunks in order."""
-    out: list[int] = []
+    out: list[bytes] = []
     frm = chunks[0][1][0][0] if chunks[0][1] else 0
     for (ids, marks), (_, after) in zip(chunks, chunks[1:]):
         place = dict(marks)
         to = min(p for p, _ in after if p in place and p >= frm)
-        out += ids[place[frm]:place[to]]
+        out.append(ids[4 * place[frm]:4 * place[to]])
         frm = to
     ids, marks = chunks[-1]
-    return out + (ids[dict(marks)[frm]:] if marks else [])
+    return b"".join([*out, ids[4 * dict(marks)[frm]:] if marks else b""])
 
 
-def _ids_array(rows: list[list[int]]) -> pa.Array:
-    sizes = np.fromiter(map(len, rows), np.int64, len(rows))
-    flat = np.fromiter((i for r in rows for i in r), np.int32, int(sizes.sum()))
+def _ids_array(rows: list[bytes]) -> pa.Array:
+    sizes = np.fromiter(map(len, rows), np.int64, len(rows)) // 4
+    flat = np.frombuffer(b"".join(rows), np.int32)
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat))
 
 
@@ -144,7 +165,7 @@ def encode(docs: DataFrame, path: str, pattern: str, chunk: int | None = CHUNK)
                 ids, marks = encode_chunk(c, r["text"], r["start"], r["head"], r["tail"], r["last"])
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": pa.array([r["doc_id"]], b.schema.field("doc_id").type), "h": pa.array([r["h"]], pa.int64()), "no": pa.array([r["no"]], pa.int32()),
-                    "ids": _ids_array([ids]), "at": _ids_array([[p for p, _ in marks]]), "before": _ids_array([[n for _, n in marks]])})
+                    "ids": pa.array([ids], pa.binary()), "at": pa.array([[p for p, _ in marks]], pa.list_(pa.int64())), "before": pa.array([[n for _, n in marks]], pa.list_(pa.int64()))})
 
     def join(t: pa.Table) -> pa.Table:
         """One document's chunks; a repeated row has each chunk as often as it occurs."""
@@ -159,7 +180,7 @@ def encode(docs: DataFrame, path: str, pattern: str, chunk: int | None = CHUNK)
     short = rows.filter(F.length("text") <= chunk).mapInArrow(whole, schema)
     cuts = (rows.filter(F.length("text") > chunk).withColumn("h", F.xxhash64("text"))
             .mapInArrow(cut, f"doc_id {id_type}, h bigint, no int, start bigint, head bigint, tail bigint, last boolean, text string"))
-    done = cuts.repartition("h", "no").mapInArrow(pieces, f"doc_id {id_type}, h bigint, no int, ids array<int>, at array<int>, before array<int>")
+    done = cuts.repartition("h", "no").mapInArrow(pieces, f"doc_id {id_type}, h bigint, no int, ids binary, at array<bigint>, before array<bigint>")
     return short.union(done.groupBy("doc_id", "h").applyInArrow(join, schema))
 
 
@@ -168,12 +189,14 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = codec(path, pattern).bytes_of
-        for b in batches:
-            ids = b.column("ids")
-            flat, offsets = ids.flatten().to_pylist(), ids.offsets.to_pylist()
-            lo = offsets[0]
-            out = [b"".join(map(table.__getitem__, flat[s - lo:e - lo])) for s, e in zip(offsets, offsets[1:])]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], names=[*b.schema.names, "decoded"])
+        c = codec(path, pattern)
+        for whole in batches:
+            for i in range(0, whole.num_rows, 256):
+                b = whole.slice(i, 256)
+                ids = b.column("ids")
+                flat, cuts = ids.flatten().to_numpy(), np.asarray(ids.offsets) - ids.offsets[0].as_py()
+                data, ends = c.decode(flat), np.concatenate([[0], np.cumsum(c.sizes[flat])])[cuts].tolist()
+                out = [data[s:e] for s, e in zip(ends, ends[1:])]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], names=[*b.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, f"{fields}, decoded binary")
