@@ -16,51 +16,94 @@ Null texts are empty: their one token is the end mark. Repeated rows are packed
 
 from __future__ import annotations
 
+import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from fillwise.llm.common import utf8
-
 CAPACITY = 2_048
 END_ID = 1
-#: Words a worker remembers the ids of; it starts anew beyond that.
-REMEMBERED = 400_000
+#: Words, and pre-tokens, a worker remembers the ids of; it starts anew beyond that.
+REMEMBERED = 600_000
+#: Texts encoded together.
+BATCH = 2_048
+
+
+#: Text of ASCII and precomposed Latin letters, which normalising only puts into lower case ...
+PLAIN = re.compile(r"[!-~À-ÖØ-öø-þ \t\n\r\x0b\x0c]*")
+#: ... and the pre-tokens of such a text, as the tokenizer file's pattern has them.
+PIECE = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|'s|'t|'re|'ve|'m|'ll|'d|[^a-zß-öø-ÿ0-9 \t\n\r\x0b\x0c]+")
+
+
+def byte_letters() -> list[str]:
+    """The byte-level alphabet: printable Latin-1 bytes are themselves, the others follow from U+0100 on."""
+    kept = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = iter(range(0x100, 0x200))
+    return [chr(b) if b in kept else chr(next(others)) for b in range(256)]
 
 
 class WordEncoder:
-    """Ids of texts for tokenizers that drop white space and treat the words between on their own.
+    """Ids of texts for a tokenizer that lower-cases, drops white space and encodes each pre-token on its own.
 
-    Each different word is encoded by the tokenizer once (several at a time) and remembered.
+    Pre-tokens of plain texts are encoded by the tokenizer's model, each different one once. Other texts go through
+    the whole tokenizer.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-
-    def learn(self, words: list[bytes]) -> None:
-        got = self.tokenizer.encode([w.decode("utf-8") for w in words], is_pretokenized=True, add_special_tokens=False)
-        ids, word = np.array(got.ids, "<u4"), np.array(got.word_ids, np.int64)
-        ends = np.searchsorted(word, np.arange(len(words)), side="right").tolist()
-        start = 0
-        for w, end in zip(words, ends):
-            self.known[w] = ids[start:end].tobytes()
-            start = end
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        split = [utf8(t).split() for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = list(set().union(*split).difference(self.known))
-        for i in range(0, len(new), 4_096):
-            self.learn(new[i:i + 4_096])
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        self.model = self.tokenizer.model
+        self.letters = byte_letters()
+        self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    def piece(self, piece: str) -> bytes:
+        mapped = piece if piece.isascii() else "".join(self.letters[b] for b in piece.encode())
+        return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+
+    def word(self, word: str) -> bytes:
+        """Ids of a plain word in lower case."""
+        out = []
+        for piece in PIECE.findall(word):
+            ids = self.known.get(piece)
+            if ids is None:
+                if len(self.known) > REMEMBERED:
+                    self.known.clear()
+                ids = self.known[piece] = self.piece(piece)
+            out.append(ids)
+        return b"".join(out)
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text; nulls are empty. Each different word is looked up once."""
+        plain = [t is not None and "<|" not in t and PLAIN.fullmatch(t) is not None for t in texts.to_pylist()]
+        lower = pc.utf8_lower(pc.if_else(pa.array(plain), texts, ""))
+        split = pc.ascii_split_whitespace(lower)
+        words = split.flatten().dictionary_encode()
+        different = words.dictionary.to_pylist()
+        ids = list(map(self.words.get, different))
+        if None in ids:
+            if len(self.words) > REMEMBERED:
+                self.words.clear()
+            for k, found in enumerate(ids):
+                if found is None:
+                    ids[k] = self.words[different[k]] = self.word(different[k])
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        of = words.indices.to_numpy()
+        taken, starts = sizes[of], (np.cumsum(sizes) - sizes)[of]
+        ends = np.cumsum(taken)
+        data = flat[np.repeat(starts - ends + taken, taken) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+        cuts = (4 * np.concatenate([[0], ends])[np.asarray(split.offsets) - split.offsets[0].as_py()]).tolist()
+        out = [data[s:e] for s, e in zip(cuts, cuts[1:])]
+        for k in [k for k, ok in enumerate(plain) if not ok]:
+            text = texts[k].as_py()
+            out[k] = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes() if text else b""
+        return out
 
 
 class Packer:
@@ -149,10 +192,9 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END
 
         for b in batches:
             kind = b.schema.field("doc_id").type
-            for i in range(0, b.num_rows, 256):
-                part = b.slice(i, 256)
-                encoded = encoder.encode([t or "" for t in part.column("text").to_pylist()])
-                for doc_id, ids in zip(part.column("doc_id").to_pylist(), encoded):
+            for i in range(0, b.num_rows, BATCH):
+                part = b.slice(i, BATCH)
+                for doc_id, ids in zip(part.column("doc_id").to_pylist(), encoder.encode(part.column("text"))):
                     packer.add(doc_id, ids + end)
                 if len(packer.done) >= 512:
                     yield flush()
