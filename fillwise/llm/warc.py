@@ -50,7 +50,8 @@ INDEX = "record_id string, page_id bigint, bundle string, frame int, offset bigi
 class BundleWriter:
     """Appends records to frames of one bundle file."""
 
-    def __init__(self, sink):
+    def __init__(self, sink, frame_bytes: int = FRAME):
+        self.frame_bytes = frame_bytes
         self.sink, self.frame, self.table, self.written = sink, bytearray(), [], 0
         self.zstd = zstandard.ZstdCompressor(level=LEVEL)
 
@@ -58,7 +59,7 @@ class BundleWriter:
         """-> (frame, offset within it)."""
         at = len(self.table), len(self.frame)
         self.frame += record
-        if len(self.frame) >= FRAME:
+        if len(self.frame) >= self.frame_bytes:
             self.flush()
         return at
 
@@ -144,7 +145,7 @@ def parse(data: bytes) -> dict:
             "payload_bytes": size, "refers_to": number("WARC-Refers-To"), "payload": payload if kind == "response" else None}
 
 
-def write(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
+def write(pages: DataFrame, folder: str, min_bytes: int = 0, frame_bytes: int = FRAME) -> DataFrame:
     """Archive ``pages`` (page_id, url, html) below ``folder``; returns the index, which is stored there too."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     keyed = rows.withColumn("sha", F.sha2("html", 256))
@@ -166,7 +167,7 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
                     if bundle is not None:
                         bundle.close()
                     path = f"bundle-{task.partitionId():05d}-{number:03d}-{task.taskAttemptId()}.warc.zst"
-                    bundle, number = BundleWriter(fs.open_output_stream(f"{base}/{path}", compression=None)), number + 1
+                    bundle, number = BundleWriter(fs.open_output_stream(f"{base}/{path}", compression=None), frame_bytes), number + 1
                 rid = f"urn:page:{r['page_id']}:{task.partitionId()}:{serial}"     # repeated and null ids stay apart
                 serial += 1
                 data = record(rid, r["url"], utf8(r["html"]), r["refers_to"])

@@ -55,12 +55,18 @@ def test_links_and_components_against_brute_force(spark, monkeypatch, cell):
     assert run(spark, rows) == brute(rows)
 
 
-def test_windows_narrower_than_a_group_still_connect_it(spark, monkeypatch):
-    monkeypatch.setattr(M, "NEIGHBOURS", 4)
-    rows = [(i, v) for i, v in enumerate(vectors(2))]
-    got, want = run(spark, rows), brute(rows)
-    assert sum(g == w for g, w in zip(got, want)) >= 0.98 * len(rows)
-    assert all(g[1] <= w[1] for g, w in zip(got, want))              # never a link below the threshold
+def test_neighbour_windows(monkeypatch):
+    monkeypatch.setattr(M, "NEIGHBOURS", 3)
+    x = M.unit(np.random.default_rng(1).standard_normal((40, 2)))
+    lane = np.repeat([0, 1], 20)
+    i, j = M.neighbour_links(x, lane, 5)
+    want = {(a, b) for b in range(5, 40) for a in range(max(0, b - 3), b) if lane[a] == lane[b] and x[a] @ x[b] >= 0.9}
+    assert set(zip(i.tolist(), j.tolist())) == want
+
+
+def test_number_of_passes_grows_with_the_logarithm():
+    assert [M.passes(n) for n in (10, 10**4, 10**6)] == sorted(M.passes(n) for n in (10, 10**4, 10**6))
+    assert M.passes(10**6) < 20 * M.passes(100)
 
 
 def test_odd_vectors(spark):

@@ -47,7 +47,7 @@ def check(spark, rows):
     assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
 
 
-@pytest.mark.parametrize("settings", [{}, {"HOT": 2}, {"COLLECTION": 3}, {"BLOCK": 700}])
+@pytest.mark.parametrize("settings", [{}, {"HOT": 2}])
 def test_matches_brute_force(spark, monkeypatch, settings):
     for k, v in settings.items():
         monkeypatch.setattr(S, k, v)
@@ -80,5 +80,53 @@ def test_cut_repeats_keeps_columns_and_whole_characters(spark):
     assert sum(1 for g in got if g[0] in (4, 5) and g[1] == "") == 2          # the long text and its copy go whole
 
 
+@pytest.mark.parametrize("block", [S.BLOCK, 700])
+def test_every_window_is_in_one_piece_and_equal_windows_align(monkeypatch, block):
+    monkeypatch.setattr(S, "BLOCK", block)
+    datas = [(r[1] or "").encode() for r in corpus(4)]
+    place, count = {}, {}
+    for i, start, windows, reps, mh, _ in S.text_runs(datas).tolist():
+        for k in range(windows * reps):
+            at = start + k
+            window = datas[i][at:at + S.LENGTH]
+            h = S.gram_hashes(np.frombuffer(window, np.uint8))
+            anchor = int(np.argmin(h >> np.uint64(S.POS_BITS)))
+            assert len(window) == S.LENGTH and int(h[anchor].view(np.int64)) == mh
+            assert place.setdefault(window, (mh, anchor)) == (mh, anchor)
+            count[i, at] = count.get((i, at), 0) + 1
+    assert count == {(i, k): 1 for i, d in enumerate(datas) for k in range(len(d) - S.LENGTH + 1)}
+
+
+@pytest.mark.parametrize("collection", [S.COLLECTION, 3])
+def test_suffix_order_of_pieces_against_plain_comparison(monkeypatch, collection):
+    import pyarrow as pa
+    monkeypatch.setattr(S, "COLLECTION", collection)
+    rnd, rows = random.Random(6), []
+    for g in range(12):
+        core = bytes(rnd.choices(b"ab", k=S.REACH * 2 + S.K))
+        for _ in range(rnd.choice([1, 2, 5])):
+            piece = bytearray(core)
+            for _ in range(rnd.choice([0, 1, 3])):
+                piece[rnd.randrange(len(piece))] = rnd.choice(b"abc")
+            s = rnd.randint(0, S.REACH)
+            e = rnd.randint(s + S.LENGTH, S.REACH + S.LENGTH) if s + S.LENGTH <= S.REACH + S.LENGTH else S.REACH + S.LENGTH
+            rows.append((g, S.REACH - s, bytes(piece[s:e])))
+    texts, left, group = [t for _, _, t in rows], np.array([x for _, x, _ in rows]), np.array([g for g, _, _ in rows])
+    found = S.repeated_windows(texts, left, group)
+    want = np.zeros_like(found)
+    for i, (g, x, t) in enumerate(rows):
+        for j, (h, y, u) in enumerate(rows):
+            for c in range(S.REACH + 1) if i != j and g == h else ():
+                a, b = c - S.REACH + x, c - S.REACH + y
+                if a >= 0 and b >= 0 and len(t[a:a + S.LENGTH]) == S.LENGTH and t[a:a + S.LENGTH] == u[b:b + S.LENGTH]:
+                    want[c, i] = True
+    assert want.any() and (found == want).all()
+    cols = {"k1": np.arange(len(rows)), "k2": np.zeros(len(rows), int), "start": np.full(len(rows), 1000), "run": np.zeros(len(rows), int), "mh": group, "ph": np.arange(len(rows)),
+            "n": np.ones(len(rows), int), "dn": np.ones(len(rows), int), "left": left}
+    batch = pa.RecordBatch.from_pydict({**{k: pa.array(v, pa.int64()) for k, v in cols.items()}, "piece": pa.array(texts, pa.binary())})
+    spans = {(r["k1"], r["s"], r["e"]) for b in S._order(iter([batch.slice(i, 4) for i in range(0, len(rows), 4)])) for r in b.to_pylist()}
+    assert spans == {(i, 1000 - (S.REACH - x) + s, 1000 - (S.REACH - x) + e + S.LENGTH - 1) for i, (_, x, _) in enumerate(rows) for s, e in S.true_runs(want[:, i])}
+
+
 def test_empty_table(spark):
     assert S.dedup(frame(spark, [])).count() == 0 and S.cut_repeats(frame(spark, [])).count() == 0
