@@ -15,11 +15,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fillwise.schema import DEDUP_KEY
+from fillwise.schema import DEDUP_KEY, DEDUP_ORDER
 
-# Version first, then the tie-breakers that separate rows sharing a version.
-LATEST_ORDER = ("_version", "take_amount_usd", "fulfilled_amount_usd", "taker",
-                "take_token_symbol", "take_chain_id", "block_time")
+# Version first, then every other column: a total order, so equal versions
+# resolve alike on every run and in every engine.
+LATEST_ORDER = DEDUP_ORDER
 
 
 def _order_cols(order: Sequence[str]) -> list[Column]:

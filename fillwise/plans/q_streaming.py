@@ -17,7 +17,8 @@ from fillwise.plans.oracle import money_sum_sql as ms, with_ev
 from fillwise.plans.q_io import _NORMALISED
 from fillwise.plans.q_lifecycle import LIFECYCLE_CTE
 from fillwise.plans.q_telemetry import LOG
-from fillwise.schema import EVENT_COLUMNS
+from fillwise.schema import EVENT_COLUMNS, EVENT_DOC, STORED_PROGRESS
+from fillwise.sources import io as IO
 from fillwise.sources import tpch
 from fillwise.streaming import ingest as I
 from fillwise.streaming import live as L
@@ -58,7 +59,7 @@ def _log_tail(spark, sf):
 
 
 def _tail_stream(spark, sf):
-    return (spark.readStream.schema(I.EVENT_DOC).option("maxFilesPerTrigger", 1).json(_by_year(spark, sf)))
+    return (spark.readStream.schema(EVENT_DOC).option("maxFilesPerTrigger", 1).json(_by_year(spark, sf)))
 
 
 def _run_update(df, path, key, spark, checkpoint):
@@ -83,18 +84,75 @@ SELECT d.delivered, i.inserted, d.delivered - i.inserted AS duplicates
 FROM (SELECT count(*) + count_if(slot % 10 = 3) AS delivered FROM ev_raw) d, (SELECT count(*) AS inserted FROM ev) i"""))
 def q_stream_dedup_counts(spark, sf):
     """ST2 / S5 counters of the backfill: delivered rows, inserted once, duplicates skipped."""
-    _, report = _backfill(spark, sf)
-    delivered = sum(b["batch_rows"] for b in report.batches)
-    return spark.createDataFrame([(delivered, report.inserted, report.duplicates)],
-                                 "delivered BIGINT, inserted BIGINT, duplicates BIGINT")
+    paths, _ = _backfill(spark, sf)
+    return IO.stored(spark, paths.progress, STORED_PROGRESS).agg(
+        F.sum("delivered").alias("delivered"), F.sum("inserted").alias("inserted"),
+        (F.sum("delivered") - F.sum("inserted")).alias("duplicates"))
 
 
 @register("progress_after_ingest", with_ev("SELECT 'fillwise' AS program_id, count(*) AS total_collected FROM ev"))
 def q_progress_after_ingest(spark, sf):
     """S6 + ST12: the newest checkpoint row after the backfill equals the stored count."""
-    from fillwise.operators.dedup import latest_progress
     paths, _ = _backfill(spark, sf)
-    return latest_progress(spark.read.parquet(paths.progress)).select("program_id", "total_collected")
+    return IO.progress_totals(IO.stored(spark, paths.progress, STORED_PROGRESS)).select("program_id", "total_collected")
+
+
+@register("replayed_batch_progress", with_ev("""
+SELECT 'fillwise' AS program_id, count(*) AS total_collected, count(*) AS stored FROM ev"""))
+def q_replayed_batch_progress(spark, sf):
+    """S5 + S6: each of two batches is delivered twice under its id; total and table count once."""
+    raw, paths, report = tpch.raw_order_events(spark, sf), I.IngestPaths.under(I.scratch_dir(spark, "replay")), I.IngestReport()
+    for batch_id in (0, 0, 1, 1):
+        I.store_batch(spark, raw.where(F.col("slot") % 2 == batch_id), batch_id, paths, "fillwise", report)
+    stored = IO.stored(spark, paths.table).agg(F.count(F.lit(1)).alias("stored"))
+    return IO.progress_totals(IO.stored(spark, paths.progress, STORED_PROGRESS)).select("program_id", "total_collected").crossJoin(stored)
+
+
+@register("append_then_dedup_insert", with_ev("""
+SELECT (SELECT count(*) FROM ev_raw) AS appended, 0 AS inserted, (SELECT count(*) FROM ev) AS latest"""))
+def q_append_then_dedup_insert(spark, sf):
+    """S4 then S5 on the same table: nothing is inserted again, and the table still reads."""
+    root, raw = f"{I.scratch_dir(spark, 'append-insert')}/t", tpch.raw_order_events(spark, sf)
+    IO.append_events(raw, root)
+    IO.dedup_insert(spark, raw, root, 1)
+    batches = IO.stored(spark, root).agg(F.count_if(F.col("batch_id") == IO.APPENDED).alias("appended"),
+                                         F.count_if(F.col("batch_id") == 1).cast("int").alias("inserted"))
+    return batches.crossJoin(IO.read_events(spark, root).agg(F.count(F.lit(1)).alias("latest")))
+
+
+@register("stream_mv_tokens", with_ev(f"""
+SELECT give_token_symbol AS symbol, count(*) AS order_count, coalesce({ms("give_amount_usd")}, 0.0) AS volume_usd
+FROM ev WHERE event_type = 'created' AND give_token_symbol IS NOT NULL AND give_token_symbol != ''
+GROUP BY 1"""))
+def q_stream_mv_tokens(spark, sf):
+    """ST6 + A21: token partials written by the ingest sink, re-summed."""
+    paths, _ = _backfill(spark, sf)
+    return V.read_token_view(spark.read.parquet(paths.token_view))
+
+
+@register("collect_until_target", with_ev("SELECT count(*) >= 1000 AS reached, (SELECT count(*) FROM ev) AS resumed FROM ev"))
+def q_collect_until_target(spark, sf):
+    """ST8 + ST9 + L4: collection stops at its target and, resumed, ends with every event once."""
+    root = I.scratch_dir(spark, "target")
+    I.land_event_files(tpch.raw_order_events(spark, sf), f"{root}/landing", parts=6, replay_part=1)
+    paths, source = I.IngestPaths.under(root), I.landing_glob(f"{root}/landing")
+    I.collect_until_target(spark, source, paths, 1000)
+    reached = I.collected(spark, paths.progress) >= 1000
+    I.run_ingest(spark, source, paths, max_files_per_trigger=3)
+    return IO.stored(spark, paths.table).agg(F.lit(reached).alias("reached"), F.count(F.lit(1)).alias("resumed"))
+
+
+@register("stream_dedup", with_ev("SELECT event_type, count(*) AS events FROM ev GROUP BY 1"))
+def q_stream_dedup(spark, sf):
+    """ST2: a tail whose files are each delivered twice, deduplicated within the watermark."""
+    root = I.scratch_dir(spark, "wmdedup")
+    again = load_ev(spark, sf)
+    I.land_files(again.unionByName(again), f"{root}/t", 6, ["block_time"], newest_first=False)
+    stream = spark.readStream.schema(EVENT_DOC).option("maxFilesPerTrigger", 2).json(f"{root}/t/*.json")
+    q = (L.stream_dedup(stream).writeStream.outputMode("append").format("parquet").option("path", f"{root}/out")
+         .option("checkpointLocation", f"{root}/_ck").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(f"{root}/out").groupBy("event_type").agg(F.count(F.lit(1)).alias("events"))
 
 
 @register("stream_mv_daily", with_ev(f"""
@@ -109,25 +167,40 @@ def q_stream_mv_daily(spark, sf):
     return V.read_daily_view(spark.read.parquet(paths.daily_view))
 
 
-@register("live_stats", with_ev(f"""
+_LIVE_STATS_SQL = with_ev(f"""
 SELECT count_if(event_type = 'created') AS total_created, count_if(event_type = 'fulfilled') AS total_fulfilled,
        coalesce({ms("CASE WHEN event_type = 'created' THEN give_amount_usd END")}, 0.0) AS total_created_volume_usd,
        coalesce({ms("CASE WHEN event_type = 'fulfilled' THEN take_amount_usd END")}, 0.0) AS total_fulfilled_volume_usd
-FROM ev"""))
+FROM ev""")
+
+
+@register("live_stats", _LIVE_STATS_SQL)
 def q_live_stats(spark, sf):
-    """ST3: running totals over the stream of the ingest table's new files (complete mode)."""
+    """ST3: totals kept current over the stream of the ingest table's new files."""
     paths, _ = _backfill(spark, sf)
-    root = I.scratch_dir(spark, "livestats")
-    out = f"{root}/out"
+    return _live_stats(spark, paths)
 
-    def keep_latest(batch, batch_id):
-        batch.write.mode("overwrite").parquet(out)
 
-    q = (L.live_stats(L.table_stream(spark, paths.table)).writeStream.outputMode("complete")
-         .foreachBatch(keep_latest).option("checkpointLocation", f"{root}/_ck")
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.parquet(out)
+def _live_stats(spark, paths, rounds=1, between=lambda: None):
+    root = I.scratch_dir(spark, "livestats")
+    for n in range(rounds):
+        if n:
+            between()
+        q = (L.table_stream(spark, paths.table).writeStream
+             .foreachBatch(L.live_stats_sink(spark, paths.table, f"{root}/out"))
+             .option("checkpointLocation", f"{root}/_ck").trigger(availableNow=True).start())
+        q.awaitTermination()
+    return L.read_live_stats(spark.read.parquet(f"{root}/out"))
+
+
+@register("replayed_live_stats", _LIVE_STATS_SQL)
+def q_replayed_live_stats(spark, sf):
+    """ST3: an ingest batch is replayed after the live totals saw it; they count it once."""
+    raw, paths, report = tpch.raw_order_events(spark, sf), I.IngestPaths.under(I.scratch_dir(spark, "replaylive")), I.IngestReport()
+    store = lambda b: I.store_batch(spark, raw.where(F.col("slot") % 2 == b), b, paths, "fillwise", report)
+    store(0)
+    store(1)
+    return _live_stats(spark, paths, 2, lambda: store(1))
 
 
 @register("live_daily", with_ev(f"""

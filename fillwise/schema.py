@@ -35,6 +35,18 @@ ORDER_EVENTS = T.StructType([
     T.StructField("_version", T.LongType(), False),
 ])
 
+CHAIN_ID = T.DecimalType(20, 0)     # unsigned 64-bit ids
+
+# The stored table: event rows with wall-clock UTC times and unsigned chain
+# ids, always in folders ``batch_id=N/ym=yyyyMM``.
+EVENT_DOC = T.StructType([
+    T.StructField(f.name, T.TimestampNTZType() if isinstance(f.dataType, T.TimestampType)
+                  else CHAIN_ID if f.name.endswith("_chain_id") else f.dataType, True)
+    for f in ORDER_EVENTS.fields])
+TABLE_PARTITIONS = ("batch_id", "ym")
+STORED_EVENTS = T.StructType(EVENT_DOC.fields + [T.StructField("batch_id", T.LongType(), True),
+                                                 T.StructField("ym", T.IntegerType(), True)])
+
 EVENT_COLUMNS = [f.name for f in ORDER_EVENTS.fields]
 EVENT_TYPES = ("created", "fulfilled")
 
@@ -59,11 +71,13 @@ COLLECTION_PROGRESS = T.StructType([
     T.StructField("updated_at", T.TimestampType(), False),
 ])
 
-SIGNATURES = T.StructType([
-    T.StructField("signature", T.StringType(), False),
-    T.StructField("slot", T.LongType(), False),
-    T.StructField("blockTime", T.LongType(), True),
-    T.StructField("err", T.BooleanType(), True),
+# Stored progress: one row per program and ingest batch; the total is the sum of ``inserted``.
+STORED_PROGRESS = T.StructType([
+    T.StructField(f.name, T.TimestampType() if f.name == "updated_at" else f.dataType, True)
+    for f in COLLECTION_PROGRESS.fields] + [
+    T.StructField("delivered", T.LongType(), True),
+    T.StructField("inserted", T.LongType(), True),
+    T.StructField("batch_id", T.LongType(), True),
 ])
 
 # ---------------------------------------------------------------------------

@@ -1,9 +1,10 @@
 """Landing, normalising and serialising event rows.
 
-Writes are partitioned by ``ym`` (month of ``block_time``) and made
-replay-safe: a batch writes under its own ``batch_id=N`` folder with dynamic
-partition overwrite, so a retried batch replaces exactly what it wrote
-before.  Readers always go through ``dedup.latest``.
+The stored table has one layout, ``batch_id=N/ym=yyyyMM``.  A batch writes
+under its own id with dynamic partition overwrite, so a retried batch
+replaces exactly what it wrote before; plain appends and compacted rows are
+batch ``APPENDED``.  Readers always go through ``dedup.latest``.  Only a
+missing folder counts as "nothing stored"; any other failure is raised.
 """
 
 from __future__ import annotations
@@ -14,8 +15,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fillwise.operators.dedup import latest, new_events
-from fillwise.schema import DEDUP_KEY, EVENT_COLUMNS
+from fillwise.schema import (CHAIN_ID, DEDUP_KEY, EVENT_COLUMNS, STORED_EVENTS, STORED_PROGRESS,
+                             TABLE_PARTITIONS)
 
+APPENDED = -1
 U64_MAX = 18446744073709551615
 STRING_FIELDS = ("maker", "give_token_address", "give_token_symbol", "take_token_address",
                  "take_token_symbol", "receiver", "taker")
@@ -59,11 +62,10 @@ def normalise_events(df: DataFrame) -> DataFrame:
         elif name in USD_FIELDS:
             cols.append(_falsy_to_null(name, "double").alias(name))
         elif name in ("give_chain_id", "take_chain_id"):
-            # u64 range check as in the source system; the table column is
-            # BIGINT, so ids between 2^63 and 2^64-1 also become NULL.
-            c = F.col(name).cast("decimal(20,0)")
-            in_range = (c >= 0) & (c <= F.lit(str(U64_MAX)).cast("decimal(20,0)"))
-            cols.append(F.when(in_range, c.try_cast("bigint")).alias(name))
+            # u64 range check as in the source system.
+            c = F.col(name).cast(CHAIN_ID)
+            in_range = (c >= 0) & (c <= F.lit(str(U64_MAX)).cast(CHAIN_ID))
+            cols.append(F.when(in_range, c).alias(name))
         elif name == "block_time":
             cols.append(F.date_trunc("second", F.col(name)).cast(df.schema[name].dataType).alias(name))
         else:
@@ -76,30 +78,75 @@ def with_month(df: DataFrame) -> DataFrame:
     return df.withColumn("ym", F.date_format("block_time", "yyyyMM").cast("int"))
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a table folder was created yet, in whatever file system ``path`` names."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def stored(spark: SparkSession, path: str, schema=STORED_EVENTS) -> DataFrame:
+    """The rows stored under ``path``; no rows while the folder does not exist.  Read failures raise."""
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
+
+
+def table_rows(batch: DataFrame) -> DataFrame:
+    """Normalised rows in the stored column types."""
+    return with_month(normalise_events(batch)).select(
+        *[F.col(f.name).cast(f.dataType).alias(f.name) for f in STORED_EVENTS.fields if f.name != "batch_id"])
+
+
+def write_batch(rows: DataFrame, path: str, batch_id: int, mode: str) -> None:
+    """Write ``rows`` (with ``ym``) under one batch id.
+
+    ``rebalance`` gathers a month's rows for few files but lets AQE split a
+    month that holds most of them, so a live tail is not one writer task.
+    """
+    w = (rows.withColumn("batch_id", F.lit(int(batch_id)).cast("bigint")).hint("rebalance", "ym")
+         .sortWithinPartitions("ym", "signature", "event_type").write.mode(mode))
+    if mode == "overwrite":
+        w = w.option("partitionOverwriteMode", "dynamic")
+    w.partitionBy(*TABLE_PARTITIONS).parquet(path)
+
+
 def append_events(batch: DataFrame, path: str, batch_id: int | None = None) -> None:
-    """Normalise and append a batch under ``path`` partitioned by ``ym``.
+    """Normalise and append a batch under ``path``.
 
-    With a ``batch_id`` the batch lands in ``batch_id=N/ym=…`` using dynamic
-    partition overwrite, so replaying the same batch replaces its own files
-    (idempotent on retry) instead of adding copies.
+    With a ``batch_id`` replaying the same batch replaces its own files
+    (idempotent on retry) instead of adding copies; without one the rows are
+    added to batch ``APPENDED``.
     """
-    rows = with_month(normalise_events(batch))
-    # One writer task per month keeps file counts bounded at scale.
-    rows = rows.repartition("ym").sortWithinPartitions("signature", "event_type")
     if batch_id is None:
-        rows.write.mode("append").partitionBy("ym").parquet(path)
-        return
-    (rows.withColumn("batch_id", F.lit(int(batch_id)))
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("batch_id", "ym").parquet(path))
+        write_batch(table_rows(batch), path, APPENDED, "append")
+    else:
+        write_batch(table_rows(batch), path, batch_id, "overwrite")
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     """S3: the stored table through keep-latest dedup (``FROM orders FINAL``)."""
-    return latest(spark.read.parquet(path).drop("batch_id"))
+    return latest(stored(spark, path).drop("batch_id"))
+
+
+def stored_before(spark: SparkSession, path: str, batch_id: int, batch: DataFrame | None = None,
+                  immutable_time: bool = False) -> DataFrame:
+    """Rows of earlier batches.
+
+    With ``immutable_time`` (chain data: a key's block time never changes)
+    only the months that ``batch`` touches are read, so a batch costs its own
+    months and not the whole history.  The month list is one value per
+    calendar month.
+    """
+    rows = stored(spark, path).where(F.col("batch_id") < batch_id)
+    if immutable_time and batch is not None:
+        months = [r["ym"] for r in with_month(batch).select("ym").distinct().collect()]
+        rows = rows.where(F.col("ym").isin([m for m in months if m is not None]))
+    return rows.drop("batch_id")
 
 
-def dedup_insert(spark: SparkSession, batch: DataFrame, path: str, batch_id: int) -> dict:
+def dedup_insert(spark: SparkSession, batch: DataFrame, path: str, batch_id: int,
+                 immutable_time: bool = False) -> dict:
     """Insert only keys not stored yet; return batch / inserted / duplicate counts.
 
     Rows of this batch land in ``batch_id=N`` (dynamic partition overwrite),
@@ -107,23 +154,15 @@ def dedup_insert(spark: SparkSession, batch: DataFrame, path: str, batch_id: int
     looks at *earlier* batches for the same reason.  ``inserted`` is counted
     from what was actually written.
     """
-    try:
-        stored = spark.read.parquet(path).where(F.col("batch_id") < batch_id).drop("batch_id")
-    except Exception:  # noqa: BLE001 — first batch: nothing stored yet
-        stored = None
     total = batch.count()
-    fresh = latest(batch) if stored is None else new_events(batch, stored)
-    append_events(fresh, path, batch_id)
+    append_events(new_events(batch, stored_before(spark, path, batch_id, batch, immutable_time)), path, batch_id)
     inserted = batch_rows_written(spark, path, batch_id)
     return {"batch_rows": total, "inserted": inserted, "duplicates": total - inserted}
 
 
 def batch_rows_written(spark: SparkSession, path: str, batch_id: int) -> int:
     """Rows stored under ``batch_id=N`` (0 when the batch wrote nothing)."""
-    try:
-        return spark.read.parquet(path).where(F.col("batch_id") == batch_id).count()
-    except Exception:  # noqa: BLE001 — table not created yet
-        return 0
+    return stored(spark, path).where(F.col("batch_id") == batch_id).count()
 
 
 def insert_counts(batch: DataFrame, stored: DataFrame) -> DataFrame:
@@ -136,31 +175,42 @@ def insert_counts(batch: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def compact_events(spark: SparkSession, path: str, out: str) -> None:
-    """Physically drop superseded rows — W1 per month, written aside.
+    """Write the table without superseded rows to ``out``, in the same layout.
 
-    The caller swaps ``out`` in for ``path`` afterwards (single writer).
     Since the dedup key does not contain the month, dedup runs over the whole
-    table; the output is then one partition set per month.
+    table.  ``swap_table`` puts the copy in place afterwards (single writer).
+    """
+    write_batch(read_events(spark, path), out, APPENDED, "overwrite")
+
+
+def swap_table(spark: SparkSession, path: str, compacted: str, retired: str) -> None:
+    """Rename ``path`` to ``retired`` and ``compacted`` to ``path``.
+
+    If the second rename fails the first is undone, so readers find a table.
     """
-    compacted = read_events(spark, path)
-    (compacted.repartition("ym").sortWithinPartitions("signature", "event_type")
-     .write.mode("overwrite").partitionBy("ym").parquet(out))
+    jvm = spark.sparkContext._jvm
+    table, copy, old = (jvm.org.apache.hadoop.fs.Path(x) for x in (path, compacted, retired))
+    fs = table.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(copy):
+        raise ValueError(f"nothing compacted at {compacted}")
+    if not fs.rename(table, old):
+        raise RuntimeError(f"cannot retire {path}")
+    if not fs.rename(copy, table):
+        fs.rename(old, table)
+        raise RuntimeError(f"cannot move {compacted} to {path}")
+
+
+def _ddl(schema) -> str:
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.fields)
 
 
 def init_schema(spark: SparkSession, database: str, location: str) -> None:
-    """``CREATE DATABASE/TABLE IF NOT EXISTS`` for the two tables."""
+    """``CREATE DATABASE/TABLE IF NOT EXISTS`` for the two tables, in the layout that ingest writes."""
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
-    spark.sql(f"""CREATE TABLE IF NOT EXISTS {database}.order_events (
-        order_id STRING, event_type STRING, signature STRING, slot BIGINT, block_time TIMESTAMP,
-        maker STRING, give_token_address STRING, give_token_symbol STRING, give_amount DECIMAL(38,0),
-        give_amount_usd DOUBLE, give_chain_id BIGINT, take_token_address STRING, take_token_symbol STRING,
-        take_amount DECIMAL(38,0), take_amount_usd DOUBLE, take_chain_id BIGINT, receiver STRING,
-        taker STRING, fulfilled_amount DECIMAL(38,0), fulfilled_amount_usd DOUBLE,
-        created_at TIMESTAMP, _version BIGINT, ym INT)
-        USING parquet PARTITIONED BY (ym) LOCATION '{location}/order_events'""")
-    spark.sql(f"""CREATE TABLE IF NOT EXISTS {database}.collection_progress (
-        program_id STRING, event_type STRING, last_signature STRING, total_collected BIGINT,
-        updated_at TIMESTAMP) USING parquet LOCATION '{location}/collection_progress'""")
+    for name, schema, parts in (("order_events", STORED_EVENTS, ", ".join(TABLE_PARTITIONS)),
+                                ("collection_progress", STORED_PROGRESS, "batch_id")):
+        spark.sql(f"""CREATE TABLE IF NOT EXISTS {database}.{name} ({_ddl(schema)})
+            USING parquet PARTITIONED BY ({parts}) LOCATION '{location}/{name}'""")
 
 
 # ---------------------------------------------------------------------------
@@ -173,14 +223,32 @@ def progress_read(latest_progress: DataFrame, keys: DataFrame) -> DataFrame:
                     F.coalesce(F.col("total_collected"), F.lit(0).cast("bigint")).alias("total_collected")))
 
 
-def progress_upsert(spark: SparkSession, path: str, program_id: str, event_type: str,
-                    last_signature: str, total_collected: int) -> None:
-    """S6 write: append one checkpoint row; readers keep the newest per key."""
+def progress_write(spark: SparkSession, path: str, batch_id: int, program_id: str, event_type: str,
+                   last_signature: str | None, delivered: int, inserted: int) -> int:
+    """S6 write: this batch's checkpoint row; returns the running total.
+
+    The total is what earlier batches inserted plus this one, and the row
+    replaces an earlier attempt of the same batch: a replay counts once.
+    """
+    before = (stored(spark, path, STORED_PROGRESS)
+              .where((F.col("batch_id") < batch_id) & (F.col("program_id") == program_id)
+                     & (F.col("event_type") == event_type))
+              .agg(F.coalesce(F.sum("inserted"), F.lit(0)).alias("n")).first()["n"])
     row = spark.createDataFrame(
-        [(program_id, event_type, last_signature, int(total_collected))],
-        "program_id STRING, event_type STRING, last_signature STRING, total_collected BIGINT",
-    ).withColumn("updated_at", F.current_timestamp())
-    row.write.mode("append").parquet(path)
+        [(program_id, event_type, last_signature, int(before) + inserted, delivered, inserted, batch_id)],
+        "program_id STRING, event_type STRING, last_signature STRING, total_collected BIGINT, "
+        "delivered BIGINT, inserted BIGINT, batch_id BIGINT").withColumn("updated_at", F.current_timestamp())
+    (row.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("batch_id").parquet(path))
+    return int(before) + inserted
+
+
+def progress_totals(progress: DataFrame) -> DataFrame:
+    """S6 + ST12: newest checkpoint per (program, event type) of the stored progress."""
+    newest = F.max_by(F.struct("last_signature", "updated_at"), F.col("batch_id"))
+    return (progress.groupBy("program_id", "event_type")
+            .agg(newest.alias("p"), F.sum("inserted").cast("bigint").alias("total_collected"))
+            .select("program_id", "event_type", "p.last_signature", "total_collected", "p.updated_at"))
 
 
 def page_signatures(sigs: DataFrame, limit: int = 1000, before: tuple | None = None) -> DataFrame:
@@ -327,7 +395,7 @@ def read_events_since(spark: SparkSession, path: str, hours: int, as_of: str,
     import datetime as dt
 
     from fillwise.functions.core import since_hours
-    raw = spark.read.parquet(path).drop("batch_id")
+    raw = stored(spark, path).drop("batch_id")
     if not immutable_time:
         return since_hours(latest(raw), hours, as_of)
     bound = dt.datetime.fromisoformat(as_of) - dt.timedelta(hours=int(hours))

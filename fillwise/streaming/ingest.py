@@ -22,21 +22,13 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from fillwise.operators import views as V
 from fillwise.operators.decode import decode_events
-from fillwise.schema import EVENT_COLUMNS, ORDER_EVENTS, RAW_TX
+from fillwise.schema import EVENT_COLUMNS, EVENT_DOC, RAW_TX, STORED_PROGRESS
 from fillwise.session import checkpoint_dir
 from fillwise.sources import io as IO
 
-# Landed event documents carry the decoded event row (NTZ times, like the adapter output).
-EVENT_DOC = T.StructType([
-    T.StructField(f.name, T.TimestampNTZType() if isinstance(f.dataType, T.TimestampType) else f.dataType, True)
-    for f in ORDER_EVENTS.fields
-])
-
-
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint folder (never a machine-local temp dir)."""
     base = checkpoint_dir(spark).rstrip("/")
@@ -60,16 +52,25 @@ class IngestPaths:
 
 @dataclass
 class IngestReport:
-    """ST12: per-batch counters collected by the sink (also exported through ``df.observe``)."""
-    batches: list = field(default_factory=list)
-
-    @property
-    def inserted(self) -> int:
-        return sum(b["inserted"] for b in self.batches)
+    """ST12: running counters of this process and the last batch's numbers.
 
-    @property
-    def duplicates(self) -> int:
-        return sum(b["duplicates"] for b in self.batches)
+    The stored progress table is the record; this keeps a fixed number of
+    values however long the stream runs.
+    """
+    batches: int = 0
+    delivered: int = 0
+    inserted: int = 0
+    duplicates: int = 0
+    total: int = 0
+    last: dict = field(default_factory=dict)
+
+    def add(self, batch_id: int, counts: dict, total: int) -> None:
+        self.batches += 1
+        self.delivered += counts["batch_rows"]
+        self.inserted += counts["inserted"]
+        self.duplicates += counts["duplicates"]
+        self.total = total
+        self.last = {"batch_id": batch_id, **counts, "total": total}
 
 
 def _events_sink(spark: SparkSession, paths: IngestPaths, program_id: str, report: IngestReport,
@@ -78,31 +79,25 @@ def _events_sink(spark: SparkSession, paths: IngestPaths, program_id: str, repor
         events = decode_events(spark, batch, encoding).drop("ix_pos") if decode else batch
         events = events.select(*[c for c in EVENT_COLUMNS if c in events.columns]).persist()
         try:
-            _store_batch(spark, events, batch_id, paths, program_id, report)
+            store_batch(spark, events, batch_id, paths, program_id, report)
         finally:
             events.unpersist()
     return sink
 
 
-def _store_batch(spark: SparkSession, events: DataFrame, batch_id: int, paths: IngestPaths, program_id: str,
-                 report: IngestReport) -> None:
+def store_batch(spark: SparkSession, events: DataFrame, batch_id: int, paths: IngestPaths, program_id: str,
+                report: IngestReport) -> None:
+    """Insert a batch, its view partials and its progress row; doing it again changes nothing."""
     counts = IO.dedup_insert(spark, events, paths.table, batch_id)
+    inserted = IO.stored(spark, paths.table).where(F.col("batch_id") == batch_id)
     # ST6: partial view aggregates of exactly the rows this batch inserted.
-    if counts["inserted"] == 0:
-        report.batches.append({"batch_id": batch_id, **counts,
-                               "total": _last_total(spark, paths.progress, program_id)})
-        return
-    inserted = spark.read.parquet(paths.table).where(F.col("batch_id") == batch_id)
     V.write_partials(V.daily_partials(inserted), paths.daily_view)
     V.write_partials(V.token_partials(inserted), paths.token_view)
-    # Running total = previous checkpoint + rows this batch inserted.  Exact,
-    # because dedup_insert never inserts a stored key; no full-table recount.
-    total = _last_total(spark, paths.progress, program_id) + counts["inserted"]
     last = (inserted.orderBy(F.desc("block_time"), F.desc("signature")).select("signature").limit(1)
             .collect())
-    IO.progress_upsert(spark, paths.progress, program_id, "all",
-                       last[0]["signature"] if last else None, total)
-    report.batches.append({"batch_id": batch_id, **counts, "total": total})
+    total = IO.progress_write(spark, paths.progress, batch_id, program_id, "all",
+                              last[0]["signature"] if last else None, counts["batch_rows"], counts["inserted"])
+    report.add(batch_id, counts, total)
 
 
 def start_ingest(spark: SparkSession, source: str, paths: IngestPaths, *, raw: bool = False,
@@ -139,12 +134,13 @@ def collect_until_target(spark: SparkSession, source: str, paths: IngestPaths, t
 
     Already at target → returns at once.  Each round is an ``availableNow`` run
     of at most ``max_files_per_trigger`` files per batch, so the remainder
-    resumes from the checkpoint on the next call.
+    resumes from the checkpoint on the next call.  The stored count is the
+    sum of the progress rows, one per batch, not a scan of the table.
     """
     report = IngestReport()
     while True:
-        stored = _stored_count(spark, paths.table)
-        if stored >= target:
+        before = collected(spark, paths.progress)
+        if before >= target:
             return report
         q, report = start_ingest(spark, source, paths, max_files_per_trigger=max_files_per_trigger,
                                  report=report, **kw)
@@ -153,27 +149,18 @@ def collect_until_target(spark: SparkSession, source: str, paths: IngestPaths, t
         # is replayed under the same batch_id, which overwrites its own rows.
         while q.isActive:
             q.awaitTermination(1)
-            if not q.status.get("isTriggerActive", False) and _stored_count(spark, paths.table) >= target:
+            if not q.status.get("isTriggerActive", False) and report.total >= target:
                 q.stop()
-        if not report.batches or _stored_count(spark, paths.table) == stored:
+        if q.exception() is not None:
+            raise q.exception()
+        if collected(spark, paths.progress) == before:
             return report          # nothing new landed
 
 
-def _last_total(spark: SparkSession, progress: str, program_id: str) -> int:
-    from fillwise.operators.dedup import latest_progress
-    try:
-        rows = (latest_progress(spark.read.parquet(progress).where(F.col("program_id") == program_id))
-                .select("total_collected").collect())
-    except Exception:  # noqa: BLE001 — no checkpoint yet
-        return 0
-    return int(rows[0][0]) if rows else 0
-
-
-def _stored_count(spark: SparkSession, table: str) -> int:
-    try:
-        return spark.read.parquet(table).count()
-    except Exception:  # noqa: BLE001 — table not created yet
-        return 0
+def collected(spark: SparkSession, progress: str) -> int:
+    """Events inserted so far, by the progress rows."""
+    rows = IO.stored(spark, progress, STORED_PROGRESS)
+    return int(rows.agg(F.coalesce(F.sum("inserted"), F.lit(0)).alias("n")).first()["n"])
 
 
 def two_streams(spark: SparkSession, sources: dict[str, str], root: str, parallel: bool = True,

@@ -58,5 +58,8 @@ def test_init_schema_is_idempotent(spark, tmp_path):
     IO.init_schema(spark, "fillwise_t", loc)
     IO.init_schema(spark, "fillwise_t", loc)
     cols = [c.name for c in spark.catalog.listColumns("order_events", "fillwise_t")]
-    assert cols[:3] == ["order_id", "event_type", "signature"] and "ym" in cols
+    assert cols[:3] == ["order_id", "event_type", "signature"] and cols[-2:] == ["batch_id", "ym"]
+    IO.append_events(tpch.raw_order_events(spark, "/root/testdata/sf0.001"), f"{loc}/order_events", 0)
+    spark.sql("MSCK REPAIR TABLE fillwise_t.order_events")
+    assert spark.table("fillwise_t.order_events").count() == tpch.raw_order_events(spark, "/root/testdata/sf0.001").count()
     assert spark.table("fillwise_t.collection_progress").count() == 0
