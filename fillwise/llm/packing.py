@@ -30,9 +30,9 @@ from tokenizers import Tokenizer
 CAPACITY = 2_048
 END_ID = 1
 #: Words, and pre-tokens, a worker remembers the ids of; it starts anew beyond that.
-REMEMBERED = 600_000
+REMEMBERED = 200_000
 #: Texts encoded together.
-BATCH = 2_048
+BATCH = 512
 
 
 #: Text of ASCII and precomposed Latin letters, which normalising only puts into lower case ...
@@ -62,6 +62,10 @@ class WordEncoder:
         self.known: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        self.known.clear()
+        self.words.clear()
+
     def piece(self, piece: str) -> bytes:
         mapped = piece if piece.isascii() else "".join(self.letters[b] for b in piece.encode())
         return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
@@ -201,6 +205,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END
         if kind is not None:
             packer.finish()
             yield flush()
+        encoder.forget()         # workers live on; later stages need the memory
 
     return docs.select("doc_id", "text").mapInArrow(
         run, f"doc_id {id_type}, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary")
