@@ -8,9 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Default reference instant for every time filter in tests and registered queries.
-DEFAULT_AS_OF = "2001-11-05 00:00:00"
-
 # Dashboard period names -> hours; anything else means 24 h.
 PERIOD_HOURS = {"1h": 1, "24h": 24, "7d": 24 * 7, "30d": 24 * 30, "all": 24 * 365 * 10}
 
@@ -51,22 +48,24 @@ def non_blank(c: str | Column) -> Column:
     return col.isNotNull() & (col != "")
 
 
-def ts_literal(df: DataFrame, column: str, value: str | _dt.datetime) -> Column:
-    """A timestamp literal typed like ``df[column]`` (TIMESTAMP or TIMESTAMP_NTZ)."""
+def ts_literal(df: DataFrame, column: str, value: str | _dt.datetime | None) -> Column:
+    """A timestamp typed like ``df[column]`` (TIMESTAMP or TIMESTAMP_NTZ); ``None`` is now."""
+    if value is None:
+        return F.current_timestamp().cast(df.schema[column].dataType)
     if isinstance(value, _dt.datetime):
         value = value.strftime("%Y-%m-%d %H:%M:%S")
     kind = "TIMESTAMP_NTZ" if isinstance(df.schema[column].dataType, T.TimestampNTZType) else "TIMESTAMP"
     return F.expr(f"{kind} '{value}'")
 
 
-def since_hours(df: DataFrame, hours: int, as_of: str = DEFAULT_AS_OF,
+def since_hours(df: DataFrame, hours: int, as_of: str | None = None,
                 column: str = "block_time") -> DataFrame:
     """``column >= as_of - hours``."""
     bound = ts_literal(df, column, as_of) - F.make_dt_interval(F.lit(0), F.lit(int(hours)))
     return df.where(F.col(column) >= bound)
 
 
-def since_days(df: DataFrame, days: int, as_of: str = DEFAULT_AS_OF,
+def since_days(df: DataFrame, days: int, as_of: str | None = None,
                column: str = "block_time") -> DataFrame:
     """``column >= to_date(as_of) - days`` (midnight of the first day)."""
     first_day = F.date_sub(F.to_date(ts_literal(df, column, as_of)), int(days))

@@ -13,8 +13,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fillwise.functions.core import (DEFAULT_AS_OF, check_limit, is_created, is_fulfilled, money_avg, money_sum,
+from fillwise.functions.core import (check_limit, is_created, is_fulfilled, money_avg, money_sum,
                                      non_blank, period_hours, since_days, since_hours)
+from fillwise.operators.sequence import keyed_scan
 from fillwise.schema import chains_df
 
 
@@ -35,7 +36,7 @@ def total_stats(ev: DataFrame) -> DataFrame:
                   m[1].alias("total_created_volume_usd"), m[3].alias("total_fulfilled_volume_usd"))
 
 
-def daily_volumes(ev: DataFrame, days: int = 30, as_of: str = DEFAULT_AS_OF) -> DataFrame:
+def daily_volumes(ev: DataFrame, days: int = 30, as_of: str | None = None) -> DataFrame:
     """A2: A1's measures per calendar day over the last ``days`` days, ascending."""
     days = check_limit(days, 30, 365)
     return (since_days(ev, days, as_of)
@@ -108,18 +109,36 @@ def chain_breakdown(ev: DataFrame, spark: SparkSession) -> DataFrame:
             .select("side", "chain_id", "chain_name", "order_count", "volume_usd", "share_pct"))
 
 
-def period_stats(ev: DataFrame, period: str = "24h", as_of: str = DEFAULT_AS_OF) -> DataFrame:
+def exact_median(df: DataFrame, column: str) -> DataFrame:
+    """One row ``median``: the exact median of ``column``, NULL without values.
+
+    Values are counted, the distinct values ordered by range partitions, and
+    the running count picks the one or two in the middle; no task holds all
+    distinct values.
+    """
+    counts = (df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value"))
+              .agg(F.count(F.lit(1)).alias("n")).withColumn("k", F.lit(0)))
+    scan = keyed_scan(counts, "k", ["value"], sums=["n"])
+    upto, total = F.col("_cum_n"), F.max("_cum_n")
+    size = scan.agg(total.alias("total"))
+    middle = (scan.crossJoin(F.broadcast(size))                                   # one row
+              .where((upto >= F.floor((F.col("total") + 1) / 2)) & (upto - F.col("n") < F.floor(F.col("total") / 2) + 1)))
+    return middle.agg(((F.min("value") + F.max("value")) / 2).alias("median"))
+
+
+def period_stats(ev: DataFrame, period: str = "24h", as_of: str | None = None) -> DataFrame:
     """Counts, volume, fill rate and order size (mean, median) over a period."""
     hours = period_hours(period)
     sized = is_created() & (F.col("give_amount_usd") > 0)
     size = F.when(sized, F.col("give_amount_usd"))
-    agg = since_hours(ev, hours, as_of).agg(
+    rows = since_hours(ev, hours, as_of)
+    agg = rows.agg(
         F.count_if(is_created()).alias("total_created"),
         F.count_if(is_fulfilled()).alias("total_fulfilled"),
         F.coalesce(money_sum(F.when(is_created(), F.col("give_amount_usd"))), F.lit(0.0)).alias("total_volume_usd"),
         F.coalesce(money_avg(size), F.lit(0.0)).alias("avg_order_size"),
-        F.coalesce(F.round(F.median(size), 4), F.lit(0.0)).alias("median_order_size"),
-    )
+    ).crossJoin(exact_median(rows.where(sized), "give_amount_usd").select(       # one row each
+        F.coalesce(F.round("median", 4), F.lit(0.0)).alias("median_order_size")))
     return agg.select(
         F.lit(period).alias("period"), "total_created", "total_fulfilled", "total_volume_usd",
         F.when(F.col("total_created") > 0,
@@ -251,17 +270,18 @@ def positive_volume_tokens(ev: DataFrame) -> DataFrame:
     Tokens with volume > 0 (first 6); if no token has volume, the first 8 by
     order count.  ``bar_pct`` is each row's count relative to the first row.
     """
-    stats = top_tokens(ev, 50)
-    any_volume = F.max(F.col("volume_usd")).over(Window.partitionBy()) > 0
-    ranked = stats.withColumn("_has_volume", any_volume)
-    by_vol = Window.partitionBy().orderBy(F.desc("volume_usd"), F.asc("symbol"))
-    by_cnt = Window.partitionBy().orderBy(F.desc("order_count"), F.asc("symbol"))
-    ranked = (ranked
-              .withColumn("_rv", F.row_number().over(by_vol))
-              .withColumn("_rc", F.row_number().over(by_cnt)))
-    shown = ranked.where(F.when(F.col("_has_volume"), (F.col("volume_usd") > 0) & (F.col("_rv") <= 6))
-                         .otherwise(F.col("_rc") <= 8))
-    shown = shown.withColumn("rank", F.when(F.col("_has_volume"), F.col("_rv")).otherwise(F.col("_rc")))
+    stats = (ev.where(is_created() & non_blank("give_token_symbol")).groupBy(F.col("give_token_symbol").alias("symbol"))
+             .agg(F.count(F.lit(1)).alias("order_count"),
+                  F.coalesce(money_sum(F.col("give_amount_usd")), F.lit(0.0)).alias("volume_usd")))
+    by_vol = [F.desc("volume_usd"), F.asc("symbol")]
+    by_cnt = [F.desc("order_count"), F.asc("symbol")]
+    # Two bounded top lists over all tokens; the second counts only if the first is empty.
+    with_volume = stats.where(F.col("volume_usd") > 0).orderBy(*by_vol).limit(6).withColumn("_list", F.lit(0))
+    most_orders = stats.orderBy(*by_cnt).limit(8).withColumn("_list", F.lit(1))
+    shown = (with_volume.unionByName(most_orders)
+             .withColumn("_first", F.min("_list").over(Window.partitionBy())).where(F.col("_list") == F.col("_first")))
+    order = Window.partitionBy().orderBy(F.when(F.col("_list") == 0, F.col("volume_usd")).otherwise(F.col("order_count")).desc(), F.asc("symbol"))
+    shown = shown.withColumn("rank", F.row_number().over(order))
     first = F.first("order_count").over(Window.partitionBy().orderBy("rank"))
     return (shown.withColumn("bar_pct", F.round(F.col("order_count") * 100.0 / first, 4))
             .select("rank", "symbol", "order_count", "volume_usd", "bar_pct"))

@@ -36,7 +36,7 @@ def ok_transactions(raw: DataFrame) -> DataFrame:
 def program_data_payloads(logs: Column) -> Column:
     """Decoded ``Program data:`` payloads in log order (malformed base64 → NULL, kept in place)."""
     data_logs = F.filter(logs, lambda l: l.startswith(PROGRAM_DATA))
-    return F.transform(data_logs, lambda l: F.try_to_binary(F.trim(F.substring(l, len(PROGRAM_DATA) + 1, 1 << 20)),
+    return F.transform(data_logs, lambda l: F.try_to_binary(F.trim(F.substr(l, F.lit(len(PROGRAM_DATA) + 1))),
                                                             F.lit("base64")))
 
 
@@ -65,7 +65,7 @@ def dest_chain_from_logs(logs: Column, payloads: Column | None = None) -> Column
     pattern = "^(?:..)*?(" + "|".join(ids) + ")(?:..)"
     lookup = F.create_map(*[x for h, cid in ids.items() for x in (F.lit(h), F.lit(cid).cast("bigint"))])
     payloads = program_data_payloads(logs) if payloads is None else payloads
-    later = F.slice(payloads, 2, 1 << 20)
+    later = F.slice(payloads, F.lit(2), F.greatest(F.size(payloads) - 1, F.lit(0)))
     hits = F.transform(F.filter(later, lambda p: p.isNotNull()),
                        lambda p: F.regexp_extract(F.hex(p), pattern, 1))
     first = F.get(F.filter(hits, lambda h: h != ""), 0)

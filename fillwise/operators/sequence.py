@@ -28,12 +28,16 @@ from pyspark.sql import functions as F
 from fillwise.session import checkpoint_dir
 
 
+PIECE_ROWS = 2_000_000
+
+
 def keyed_scan(df: DataFrame, key: str, order: Sequence[str], sums: Sequence[str] = (),
                maxes: Sequence[str] = (), num_partitions: int | None = None) -> DataFrame:
     """Add ``_seq`` (1-based position within ``key``), ``_cum_<c>`` running sums and
     ``_cmax_<c>`` running maxima, ordered by ``order`` (must be a total order per key)."""
     spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # AQE can't split a range partition, so pieces follow the row count.
+    n = num_partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // PIECE_ROWS))
     order_cols = [F.col(c) for c in order]
     r = (df.repartitionByRange(n, F.col(key), *order_cols)
            .withColumn("_pid", F.spark_partition_id()))

@@ -20,8 +20,8 @@ FAILURE_THRESHOLD = 5
 
 
 def rolling_latency(log: DataFrame, n: int = 100) -> DataFrame:
-    """Mean latency of the last ``n`` requests per endpoint (ROWS n-1 PRECEDING), at every request."""
-    base = log.select("request_id", "endpoint", "ts",
+    """Mean latency of the last ``n`` successful requests per endpoint, at every successful request."""
+    base = log.where(F.col("ok")).select("request_id", "endpoint", "ts",
                       F.col("latency_ms").cast(LAT).alias("lat"),
                       F.col("latency_ms").isNotNull().cast("bigint").alias("has"))
     s = keyed_scan(base, "endpoint", ORDER, sums=["lat", "has"])
@@ -131,7 +131,7 @@ def batch_outcomes(events: DataFrame, batch_rows: int = 500) -> DataFrame:
                     F.col("_cum_processed").alias("total_processed"))
 
 
-def metrics_long(spark: SparkSession, ev: DataFrame, log: DataFrame) -> DataFrame:
+def metrics_long(spark: SparkSession, ev: DataFrame, log: DataFrame, prefix: str = "orders") -> DataFrame:
     """Exposition lines ``name{label="v"} value`` for orders and endpoint counters.
 
     Each block is a small aggregate; the blocks are stacked with ``unionByName``.
@@ -144,16 +144,17 @@ def metrics_long(spark: SparkSession, ev: DataFrame, log: DataFrame) -> DataFram
                 F.concat(F.lit(metric), labels, F.lit(" "), value.cast("string")).alias("line")]
 
     orders = ev.groupBy("event_type").agg(F.count(F.lit(1)).alias("n")).select(
-        *line("dln_orders_total", "gauge", "type", F.col("event_type"), F.col("n")))
-    totals = endpoint_totals(log).where(F.col("endpoint") == "ALL")
-    req = totals.select(*line("dln_rpc_requests_total", "counter", "", F.lit(None).cast("string"),
-                              F.col("requests")))
-    fail = totals.select(*line("dln_rpc_failures_total", "counter", "", F.lit(None).cast("string"),
-                               F.col("failures")))
-    healthy = totals.select(*line("dln_rpc_healthy_endpoints", "gauge", "", F.lit(None).cast("string"),
-                                  F.col("healthy_endpoints")))
+        *line(f"{prefix}_events_total", "gauge", "type", F.col("event_type"), F.col("n")))
+    # One row; its three gauges are stacked, so the scan behind it runs once.
+    names = ("requests", "counter", f"{prefix}_rpc_requests_total"), ("failures", "counter", f"{prefix}_rpc_failures_total"), \
+        ("healthy_endpoints", "gauge", f"{prefix}_rpc_healthy_endpoints")
+    totals = (endpoint_totals(log).where(F.col("endpoint") == "ALL")
+              .select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.lit(t).alias("type"), F.col(c).cast("bigint").alias("n"))
+                                          for c, t, m in names])).alias("x")).select("x.*"))
+    totals = totals.select("metric", "type", F.lit(None).cast("string").alias("label"), F.col("n").cast("double").alias("value"),
+                           F.concat_ws(" ", "metric", F.col("n").cast("string")).alias("line"))
     lat = (rolling_latency(log).groupBy("endpoint")
            .agg(F.max_by("rolling_latency_ms", F.struct("ts", "request_id")).alias("v"))
-           .select(*line("dln_rpc_latency_ms", "gauge", "endpoint", F.col("endpoint"),
+           .select(*line(f"{prefix}_rpc_latency_ms", "gauge", "endpoint", F.col("endpoint"),
                          F.round(F.col("v")).cast("bigint"))))
-    return orders.unionByName(req).unionByName(fail).unionByName(healthy).unionByName(lat)
+    return orders.unionByName(totals).unionByName(lat)

@@ -62,7 +62,8 @@ def with_batches(ev: DataFrame, rows_per_batch: int = 500) -> DataFrame:
 
 
 def dashboard_bundle(spark: SparkSession, ev: DataFrame, days: int = 30, tokens: int = 10,
-                     recent: int = 100, target: int = 50000) -> DataFrame:
+                     recent: int = 100, target: int = 50000,
+                     as_of: str | None = None) -> DataFrame:
     """One row holding stats, daily volumes, top tokens, recent events and progress, plus JSON.
 
     Each part is a bounded aggregate or top-k; the one-row parts are joined on
@@ -71,7 +72,7 @@ def dashboard_bundle(spark: SparkSession, ev: DataFrame, days: int = 30, tokens:
     """
     one = F.lit(1).alias("_k")
     stats = A.total_stats(ev).select(one, F.struct("*").alias("stats"))
-    daily = A.daily_volumes(ev, days).agg(
+    daily = A.daily_volumes(ev, days, as_of).agg(
         F.sort_array(F.collect_list(F.struct("date", "created_count", "created_volume_usd",
                                              "fulfilled_count", "fulfilled_volume_usd"))).alias("daily")
     ).select(one, "daily")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from fillwise.functions.core import DEFAULT_AS_OF
 from fillwise.operators import analytics as A
 from fillwise.plans.catalog import load_ev, register
 from fillwise.plans.oracle import CHAINS, money_sum_sql as ms, with_ev
 
-AS_OF = f"TIMESTAMP '{DEFAULT_AS_OF}'"
+FIXTURE_AS_OF = "2001-11-05 00:00:00"      # the driver tables' "now"
+AS_OF = f"TIMESTAMP '{FIXTURE_AS_OF}'"
 
 
 @register("scan_events", with_ev("SELECT * FROM ev"))
@@ -36,7 +36,7 @@ SELECT CAST(block_time AS DATE) AS date, {_DAILY_MEASURES}
 FROM ev WHERE block_time >= CAST(CAST({AS_OF} AS DATE) - INTERVAL 30 DAY AS TIMESTAMP)
 GROUP BY 1 ORDER BY 1"""))
 def q_daily_volumes(spark, sf):
-    return A.daily_volumes(load_ev(spark, sf), 30)
+    return A.daily_volumes(load_ev(spark, sf), 30, FIXTURE_AS_OF)
 
 
 @register("daily_volumes_365", with_ev(f"""
@@ -44,7 +44,7 @@ SELECT CAST(block_time AS DATE) AS date, {_DAILY_MEASURES}
 FROM ev WHERE block_time >= CAST(CAST({AS_OF} AS DATE) - INTERVAL 365 DAY AS TIMESTAMP)
 GROUP BY 1 ORDER BY 1"""))
 def q_daily_volumes_365(spark, sf):
-    return A.daily_volumes(load_ev(spark, sf), 365)
+    return A.daily_volumes(load_ev(spark, sf), 365, FIXTURE_AS_OF)
 
 
 @register("top_tokens", with_ev(f"""
@@ -108,17 +108,17 @@ FROM (SELECT count_if(event_type = 'created') AS total_created,
 
 @register("period_stats", _period_sql("all", 87600))
 def q_period_stats(spark, sf):
-    return A.period_stats(load_ev(spark, sf), "all")
+    return A.period_stats(load_ev(spark, sf), "all", FIXTURE_AS_OF)
 
 
 @register("period_stats_30d", _period_sql("30d", 720))
 def q_period_stats_30d(spark, sf):
-    return A.period_stats(load_ev(spark, sf), "30d")
+    return A.period_stats(load_ev(spark, sf), "30d", FIXTURE_AS_OF)
 
 
 @register("period_stats_unknown", _period_sql("fortnight", 24))
 def q_period_stats_unknown(spark, sf):
-    return A.period_stats(load_ev(spark, sf), "fortnight")
+    return A.period_stats(load_ev(spark, sf), "fortnight", FIXTURE_AS_OF)
 
 
 _MAKERS = f"""SELECT maker AS address, count(*) AS order_count, coalesce({ms("give_amount_usd")}, 0.0) AS volume_usd
@@ -246,7 +246,7 @@ def q_recent_orders(spark, sf):
 _PV_TOKENS = f"""t AS (SELECT give_token_symbol AS symbol, count(*) AS order_count,
                   coalesce({ms("give_amount_usd")}, 0.0) AS volume_usd
            FROM ev WHERE event_type = 'created' AND give_token_symbol IS NOT NULL AND give_token_symbol != ''
-           GROUP BY 1 ORDER BY volume_usd DESC, symbol ASC LIMIT 50)"""
+           GROUP BY 1)"""
 _PV_RANKED = """r AS (SELECT *, max(volume_usd) OVER () > 0 AS hv,
              row_number() OVER (ORDER BY volume_usd DESC, symbol ASC) AS rv,
              row_number() OVER (ORDER BY order_count DESC, symbol ASC) AS rc FROM t)"""

@@ -32,8 +32,7 @@ _CREATED = f"""cx AS (
   SELECT o.*, c_name, CAST(CAST(o_totalprice AS DECIMAL(18,2)) * 100 AS BIGINT) AS amt, o_orderkey % 46 AS k_idx, t.*,
          {_MINT.format(k='o_orderkey')} AS mint_in_tx
   FROM orders o LEFT JOIN customer ON o_custkey = c_custkey
-  LEFT JOIN tok t ON t.tok_idx = o_orderkey % 46
-  WHERE o_orderpriority != '5-LOW'),
+  LEFT JOIN tok t ON t.tok_idx = o_orderkey % 46),
 cy AS (
   SELECT *, CASE WHEN k_idx = 0 THEN amt + 5000 > 10000000 ELSE tok_address IS NOT NULL END AS known,
          CASE WHEN k_idx = 0 THEN CASE WHEN amt + 5000 > 10000000 THEN '{NATIVE_SOL_MINT}' END
@@ -94,7 +93,7 @@ def q_decode_events_hex(spark, sf):
 @register("decode_create", """
 SELECT 'c-' || CAST(o_orderkey AS VARCHAR) AS signature, sha256(CAST(o_orderkey AS VARCHAR)) AS order_id,
        CAST(CAST(CAST(o_totalprice AS DECIMAL(18,2)) * 100 AS BIGINT) AS DECIMAL(38,0)) AS give_amount
-FROM orders WHERE o_orderpriority != '5-LOW' AND o_orderstatus != 'P' AND o_orderkey % 17 != 0""")
+FROM orders WHERE o_orderstatus != 'P' AND o_orderkey % 17 != 0""")
 def q_decode_create(spark, sf):
     ix = X.decoded_instructions(R.created_transactions(spark, sf, "hex"), "hex")
     keep = F.when(X.is_create(F.col("bytes")), F.col("order_id").isNotNull()).otherwise(F.lit(False))
@@ -117,7 +116,7 @@ SELECT 'c-' || CAST(o_orderkey AS VARCHAR) AS signature, '828362be28ce4432' AS d
   CASE WHEN o_orderkey % 11 != 0 THEN sha256('a' || CAST(o_orderkey AS VARCHAR)) END AS order_authority_dst,
   CASE WHEN o_orderkey % 11 != 0 AND o_orderkey % 3 != 0 THEN {_ADDR20.format(p='q')} END AS allowed_taker_dst
 FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN tok ON tok_idx = o_orderkey % 46
-WHERE o_orderpriority != '5-LOW' AND o_orderkey % 17 != 0""")
+WHERE o_orderkey % 17 != 0""")
 def q_decode_create_full(spark, sf):
     raw = R.created_transactions(spark, sf, "hex")
     feats = X.tx_features(raw)
@@ -173,13 +172,16 @@ def q_borsh_columns(spark, sf):
 
 _ORDER_IDS = """SELECT 'c-' || CAST(o_orderkey AS VARCHAR) AS signature, sha256(CAST(o_orderkey AS VARCHAR)) AS order_id,
   CAST({chain} AS BIGINT) AS dest_chain, c_name AS signer
-FROM orders LEFT JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority != '5-LOW'"""
+FROM orders LEFT JOIN customer ON o_custkey = c_custkey
+UNION ALL SELECT 'f-' || CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR),
+  sha256(CAST(l_orderkey AS VARCHAR)), NULL, s_name
+FROM lineitem LEFT JOIN supplier ON l_suppkey = s_suppkey"""
 
 
 @register("order_id_from_logs", _ORDER_IDS.format(chain=_CHAIN))
 def q_order_id_from_logs(spark, sf):
-    """D5 + D6 + W4 + W5 on every created document (failed ones included: logs only)."""
-    return X.tx_features(R.created_transactions(spark, sf, "hex")).select(
+    """D5 + D6 + W4 + W5 on every document (failed ones included: logs only)."""
+    return X.tx_features(_raw(spark, sf, "hex")).select(
         "signature", "order_id", F.col("dest_chain"), "signer")
 
 
@@ -201,15 +203,17 @@ def q_primary_transfer(spark, sf):
         F.col("t.owner").alias("owner"))
 
 
-@register("all_instructions", """
+@register("all_instructions", f"""
 SELECT 'c-' || CAST(o_orderkey AS VARCHAR) AS signature, CASE WHEN o_orderkey % 5 = 0 THEN 2 ELSE 1 END AS n_ix,
        CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 0 END AS program_pos
-FROM orders WHERE o_orderpriority != '5-LOW'""")
+FROM orders
+UNION ALL SELECT 'f-' || CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR), 1, 0 FROM lineitem""")
 def q_all_instructions(spark, sf):
     """Top-level then inner instructions; position of the program instruction."""
-    raw = R.created_transactions(spark, sf, "hex")
+    raw = _raw(spark, sf, "hex")
     ixs = X.all_instructions(F.struct(F.col("transaction"), F.col("meta")))
-    pos = F.array_position(F.transform(ixs, lambda i: i["programId"]), X.SOURCE_PROGRAM_ID) - 1
+    ids = F.transform(ixs, lambda i: i["programId"])
+    pos = F.greatest(F.array_position(ids, X.SOURCE_PROGRAM_ID), F.array_position(ids, X.DESTINATION_PROGRAM_ID)) - 1
     return raw.select("signature", F.size(ixs).alias("n_ix"), pos.cast("int").alias("program_pos"))
 
 
@@ -227,7 +231,7 @@ def q_unknown_tokens(spark, sf):
 SELECT count(*) AS total, count_if(ok) AS success, count_if(NOT ok) AS no_events, CAST(0 AS BIGINT) AS failed,
        round(count_if(ok) * 100.0 / count(*), 4) AS success_rate_pct,
        round(count_if(ok) / (count_if(ok) + 0 + 0.001), 6) AS success_ratio
-FROM (SELECT o_orderstatus != 'P' AND o_orderkey % 17 != 0 AS ok FROM orders WHERE o_orderpriority != '5-LOW'
+FROM (SELECT o_orderstatus != 'P' AND o_orderkey % 17 != 0 AS ok FROM orders
       UNION ALL SELECT l_linenumber != 7 FROM lineitem) t""")
 def q_parse_stats(spark, sf):
     """A15 + A19 over every landed document."""
@@ -254,8 +258,10 @@ def q_balance_deltas(spark, sf):
 SELECT count(*) AS requested, count_if(o_orderpriority != '5-LOW') AS fetched,
        count_if(o_orderpriority = '5-LOW') AS missing FROM orders""")
 def q_zip_tx_signature(spark, sf):
-    """Requested signatures vs fetched documents."""
-    return X.zip_tx_signature(tpch.signatures(spark, sf), R.created_transactions(spark, sf, "hex"))
+    """Requested signatures vs fetched documents; those of low-priority orders are left unfetched."""
+    missing = tpch.read_table(spark, sf, "orders").where("o_orderpriority = '5-LOW'").select(F.col("o_orderkey").alias("slot"))
+    fetched = R.created_transactions(spark, sf, "hex").join(missing, "slot", "left_anti")
+    return X.zip_tx_signature(tpch.signatures(spark, sf), fetched)
 
 
 @register("base58_roundtrip", """

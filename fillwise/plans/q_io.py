@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from fillwise.operators import analytics as A
 from fillwise.operators import dedup as D
 from fillwise.operators import ui as U
+from fillwise.plans.q_analytics import FIXTURE_AS_OF
 from fillwise.plans.catalog import load_ev, register
 from fillwise.plans.oracle import EV_RAW, with_ev
 from fillwise.sources import io as IO
@@ -226,5 +227,5 @@ SELECT CAST(block_time AS DATE) AS date, count_if(event_type = 'created') AS cre
 FROM ev WHERE block_time >= CAST(CAST(TIMESTAMP '2001-11-05 00:00:00' AS DATE) - INTERVAL 365 DAY AS TIMESTAMP)
 GROUP BY 1"""))
 def q_camel_project(spark, sf):
-    return IO.camel_project(A.daily_volumes(load_ev(spark, sf), 365),
+    return IO.camel_project(A.daily_volumes(load_ev(spark, sf), 365, FIXTURE_AS_OF),
                             zero_fill=("created_volume_usd", "fulfilled_volume_usd"))

@@ -261,3 +261,12 @@ def q_live_recent(spark, sf):
          .option("checkpointLocation", f"{root}/_ck").trigger(availableNow=True).start())
     q.awaitTermination()
     return L.read_recent_list(spark, f"{root}/out")
+
+
+@register("live_recent_newest", with_ev("""
+SELECT row_number() OVER (ORDER BY block_time DESC, signature, event_type) AS position, signature, event_type
+FROM ev ORDER BY block_time DESC, signature, event_type LIMIT 5"""))
+def q_live_recent_newest(spark, sf):
+    """ST4: the head of the kept list is the newest five events of the whole tail."""
+    return (q_live_recent(spark, sf).where("position <= 5")
+            .select(F.col("position").cast("bigint").alias("position"), "signature", "event_type"))

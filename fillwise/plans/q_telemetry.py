@@ -12,7 +12,7 @@ LOG = """log AS (SELECT event_id AS request_id, event_type AS endpoint, ts, valu
 
 _ROLLING = """rl AS (SELECT request_id, endpoint, ts,
   round(CAST(sum(CAST(latency_ms AS DECIMAL(28,6))) OVER w AS DOUBLE) / count(latency_ms) OVER w, 6) AS rolling_latency_ms
-  FROM log WINDOW w AS (PARTITION BY endpoint ORDER BY ts, request_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW))"""
+  FROM log WHERE ok WINDOW w AS (PARTITION BY endpoint ORDER BY ts, request_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW))"""
 
 _RUNS = """f AS (SELECT request_id, endpoint, ts,
     lag(ts) OVER (PARTITION BY endpoint ORDER BY ts, request_id) AS prev_ts,
@@ -83,17 +83,17 @@ def q_batch_outcome(spark, sf):
 
 
 @register("metrics_long", with_ev("""
-SELECT 'dln_orders_total' AS metric, 'gauge' AS type, event_type AS label, CAST(count(*) AS DOUBLE) AS value,
-       'dln_orders_total{type="' || event_type || '"} ' || CAST(count(*) AS VARCHAR) AS line
+SELECT 'orders_events_total' AS metric, 'gauge' AS type, event_type AS label, CAST(count(*) AS DOUBLE) AS value,
+       'orders_events_total{type="' || event_type || '"} ' || CAST(count(*) AS VARCHAR) AS line
 FROM ev GROUP BY event_type
-UNION ALL SELECT 'dln_rpc_requests_total', 'counter', NULL, CAST(requests AS DOUBLE),
-       'dln_rpc_requests_total ' || CAST(requests AS VARCHAR) FROM totals WHERE endpoint = 'ALL'
-UNION ALL SELECT 'dln_rpc_failures_total', 'counter', NULL, CAST(failures AS DOUBLE),
-       'dln_rpc_failures_total ' || CAST(failures AS VARCHAR) FROM totals WHERE endpoint = 'ALL'
-UNION ALL SELECT 'dln_rpc_healthy_endpoints', 'gauge', NULL, CAST(healthy_endpoints AS DOUBLE),
-       'dln_rpc_healthy_endpoints ' || CAST(healthy_endpoints AS VARCHAR) FROM totals WHERE endpoint = 'ALL'
-UNION ALL SELECT 'dln_rpc_latency_ms', 'gauge', endpoint, CAST(v AS DOUBLE),
-       'dln_rpc_latency_ms{endpoint="' || endpoint || '"} ' || CAST(v AS VARCHAR)
+UNION ALL SELECT 'orders_rpc_requests_total', 'counter', NULL, CAST(requests AS DOUBLE),
+       'orders_rpc_requests_total ' || CAST(requests AS VARCHAR) FROM totals WHERE endpoint = 'ALL'
+UNION ALL SELECT 'orders_rpc_failures_total', 'counter', NULL, CAST(failures AS DOUBLE),
+       'orders_rpc_failures_total ' || CAST(failures AS VARCHAR) FROM totals WHERE endpoint = 'ALL'
+UNION ALL SELECT 'orders_rpc_healthy_endpoints', 'gauge', NULL, CAST(healthy_endpoints AS DOUBLE),
+       'orders_rpc_healthy_endpoints ' || CAST(healthy_endpoints AS VARCHAR) FROM totals WHERE endpoint = 'ALL'
+UNION ALL SELECT 'orders_rpc_latency_ms', 'gauge', endpoint, CAST(v AS DOUBLE),
+       'orders_rpc_latency_ms{endpoint="' || endpoint || '"} ' || CAST(v AS VARCHAR)
 FROM (SELECT endpoint, CAST(round(arg_max(rolling_latency_ms, {'t': ts, 'r': request_id})) AS BIGINT) AS v
       FROM rl GROUP BY 1) l""", LOG, _ROLLING, _RUNS, _TOTALS))
 def q_metrics_long(spark, sf):

@@ -19,6 +19,8 @@ _DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Checkpoint files go when the frame that wrote them is no longer referenced.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # Partition sizing: AQE merges small shuffle partitions up to the advisory
     # size and splits skewed ones; scans cut files into 256 MB splits.
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fillwise.functions.base58 import base58_encode
 from fillwise.functions.binary import le_hex_of
@@ -33,11 +34,23 @@ FILL_DISC_HEX = "b1d4f0a3c2e5d6f7"                    # any 8 bytes: fulfil inst
 ERR_JSON = '{"InstructionError":[0,{"Custom":6001}]}'
 LAMPORTS_BASE = 1_000_000_000
 FEE = 5000
+CORRUPT = "_corrupt_record"
+RAW_LINES = T.StructType(RAW_TX.fields + [T.StructField(CORRUPT, T.StringType(), True)])
 
 
 def read_raw_transactions(spark: SparkSession, path: str) -> DataFrame:
-    """S1 ``scan_raw_tx``: landed JSON documents, fixed schema, bad records kept as NULL fields."""
-    return spark.read.schema(RAW_TX).option("mode", "PERMISSIVE").json(path)
+    """S1 ``scan_raw_tx``: landed JSON documents with a fixed schema.
+
+    The text of a line that is no such document is kept in
+    ``_corrupt_record``; ``corrupt_documents`` takes those lines.
+    """
+    return (spark.read.schema(RAW_LINES).option("mode", "PERMISSIVE")
+            .option("columnNameOfCorruptRecord", CORRUPT).json(path))
+
+
+def corrupt_documents(raw: DataFrame) -> DataFrame:
+    """The malformed lines of ``read_raw_transactions``, for a quarantine table."""
+    return raw.where(F.col(CORRUPT).isNotNull()).select(CORRUPT)
 
 
 def token_index(spark: SparkSession) -> DataFrame:
@@ -97,7 +110,7 @@ def _balances(k: Column, amount: Column, party: Column, sol_path: Column, token_
 
 
 def created_transactions(spark: SparkSession, sf_dir: str, encoding: str = "base58") -> DataFrame:
-    o = read_table(spark, sf_dir, "orders").where(F.col("o_orderpriority") != "5-LOW")
+    o = read_table(spark, sf_dir, "orders")
     c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name")
     k = F.col("o_orderkey")
     amount = (F.col("o_totalprice").cast("decimal(18,2)") * 100).cast("bigint")
