@@ -125,8 +125,8 @@ def all_instructions(tx: Column) -> Column:
     return F.concat(top, inner)
 
 
-def tx_features(raw: DataFrame) -> DataFrame:
-    """One row per transaction with the decoded per-transaction facts.
+def tx_features(raw: DataFrame, logs_kept: bool = False) -> DataFrame:
+    """One row per transaction with the decoded per-transaction facts (and its logs, if ``logs_kept``).
 
     Logs are base64-decoded once (``_payloads``) and reused by the order-id
     and chain-id readers.
@@ -147,7 +147,7 @@ def tx_features(raw: DataFrame) -> DataFrame:
         "signature", "slot", "blockTime", "tx_ok", "well_formed",
         order_id_from_logs(F.col("_logs"), F.col("_payloads")).alias("order_id"),
         dest_chain_from_logs(F.col("_logs"), F.col("_payloads")).alias("dest_chain"),
-        "signer", "transfer", "ixs",
+        "signer", "transfer", "ixs", *(["_logs"] if logs_kept else []),
     )
 
 
@@ -269,9 +269,15 @@ EVENT_OUT = ["order_id", "event_type", "signature", "slot", "block_time", "maker
              "fulfilled_amount", "fulfilled_amount_usd"]
 
 
-def decoded_instructions(raw: DataFrame, encoding: str = "base58") -> DataFrame:
-    """One row per program instruction of a successful transaction, with its bytes and tx facts."""
-    feats = tx_features(ok_transactions(raw))
+def decoded_instructions(raw: DataFrame, encoding: str = "base58", logs_kept: bool = False) -> DataFrame:
+    """One row per program instruction of a successful transaction, with its bytes and tx facts.
+
+    Documents without an instruction of either program are dropped before
+    any log or balance is looked at.
+    """
+    ours = F.exists(all_instructions(F.struct(F.col("transaction"), F.col("meta"))),
+                    lambda i: i["programId"].isin(SOURCE_PROGRAM_ID, DESTINATION_PROGRAM_ID) & i["data"].isNotNull())
+    feats = tx_features(ok_transactions(raw).where(ours), logs_kept)
     ix = feats.select("*", F.posexplode("ixs").alias("ix_pos", "ix")).drop("ixs")
     ix = ix.where(F.col("ix.programId").isin(SOURCE_PROGRAM_ID, DESTINATION_PROGRAM_ID)
                   & F.col("ix.data").isNotNull())
@@ -381,10 +387,8 @@ def balance_deltas(raw: DataFrame) -> DataFrame:
 
 def inspect_instructions(raw: DataFrame, encoding: str = "base58") -> DataFrame:
     """Per program instruction — length, hex dump of the first 200 bytes, head fields, matching logs."""
-    ix = decoded_instructions(raw, encoding)
-    b = F.col("bytes")
-    logs = F.coalesce(F.col("_logs"), F.array().cast("array<string>"))
-    ix = ix.join(raw.select("signature", "slot", F.col("meta.logMessages").alias("_logs")), ["signature", "slot"])
+    ix = decoded_instructions(raw, encoding, logs_kept=True)
+    b, logs = F.col("bytes"), F.col("_logs")
     return ix.select(
         "signature", "ix_pos", F.col("ix.programId").alias("program_id"),
         F.octet_length(b).alias("data_len"),

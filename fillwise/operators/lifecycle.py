@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fillwise.functions.core import check_limit, is_created, is_fulfilled
+from fillwise.operators.dedup import latest
+from fillwise.schema import DEDUP_KEY
 
 
 LIFECYCLE_COLUMNS = ["order_id", "created_at", "created_signature", "fulfilled_at",
@@ -52,9 +54,16 @@ def lifecycles(ev: DataFrame) -> DataFrame:
                .select(*LIFECYCLE_COLUMNS))
 
 
-def order_lifecycle(ev: DataFrame, order_id: str) -> DataFrame:
-    """A10 for one order; zero rows means 'not found'.  The key filter reaches the scan."""
-    return lifecycles(ev.where(F.col("order_id") == order_id))
+def order_lifecycle(raw: DataFrame, order_id: str) -> DataFrame:
+    """A10 for one order of the stored (not yet deduplicated) rows; zero rows means 'not found'.
+
+    The order id is pushed into one scan that finds the keys which ever
+    carried it; only those keys' rows are deduplicated, so a key whose latest
+    version names another order is left out as it should be.
+    """
+    mine = F.col("order_id") == order_id
+    keys = raw.where(mine).select(*DEDUP_KEY).distinct()
+    return lifecycles(latest(raw.join(keys, list(DEDUP_KEY), "left_semi")).where(mine))
 
 
 def recent_fills(ev: DataFrame, limit: int = 20) -> DataFrame:

@@ -63,3 +63,11 @@ def test_init_schema_is_idempotent(spark, tmp_path):
     spark.sql("MSCK REPAIR TABLE fillwise_t.order_events")
     assert spark.table("fillwise_t.order_events").count() == tpch.raw_order_events(spark, "/root/testdata/sf0.001").count()
     assert spark.table("fillwise_t.collection_progress").count() == 0
+
+
+def test_order_id_reaches_the_scan(spark, tmp_path):
+    from fillwise.operators import lifecycle as L
+    raw = tpch.raw_order_events(spark, "/root/testdata/sf0.001")
+    path = str(tmp_path / "ev")
+    IO.append_events(raw, path)
+    assert "EqualTo(order_id,7)" in plan(L.order_lifecycle(IO.stored(spark, path), "7"))
