@@ -76,11 +76,13 @@ def page_orders(rows: DataFrame, page: int = 1, size: int = 10) -> DataFrame:
     return part.join(F.broadcast(total), "_k").drop("_k")
 
 
-def page_after(rows: DataFrame, cursor_time, cursor_signature: str, size: int = 10) -> DataFrame:
-    """Keyset page: rows strictly older than the cursor ``(block_time, signature)``."""
-    older = ((F.col("block_time") < F.lit(cursor_time)) |
-             ((F.col("block_time") == F.lit(cursor_time)) & (F.col("signature") > cursor_signature)))
-    return rows.where(older).select(*RECENT_COLUMNS).orderBy(*recent_order()).limit(size)
+def page_after(rows: DataFrame, cursor_time, cursor_signature: str, cursor_type: str, size: int = 10) -> DataFrame:
+    """Keyset page: the rows after the cursor (last row of the page before) in display order."""
+    t, g, e = F.lit(cursor_time), F.lit(cursor_signature), F.lit(cursor_type)
+    same = F.col("block_time") == t
+    after = ((F.col("block_time") < t) | (same & (F.col("signature") > g))
+             | (same & (F.col("signature") == g) & (F.col("event_type") > e)))
+    return rows.where(after).select(*RECENT_COLUMNS).orderBy(*recent_order()).limit(size)
 
 
 def merge_live(update: DataFrame, snapshot: DataFrame, key: str = "order_id", keep: int = 20) -> DataFrame:

@@ -217,6 +217,19 @@ def q_all_instructions(spark, sf):
     return raw.select("signature", F.size(ixs).alias("n_ix"), pos.cast("int").alias("program_pos"))
 
 
+@register("borsh_wide", """
+SELECT o_orderkey AS slot, lpad(lower(to_hex(o_orderkey)), 64, '0') AS u256,
+       substr(sha256(CAST(o_orderkey AS VARCHAR)), 1, 2 * (o_orderkey % 7)) AS vec FROM orders""")
+def q_borsh_wide(spark, sf):
+    """A 256-bit little-endian number and a length-prefixed byte vector."""
+    k = F.col("o_orderkey")
+    size = (k % 7).cast("int")
+    data = F.concat(R.le_hex_of(k, 8), F.lit("00" * 24), R.le_hex_of((k % 7).cast("bigint"), 4),
+                    F.substr(F.sha2(k.cast("string"), 256), F.lit(1), size * 2))
+    b = F.unhex(data)
+    return tpch.read_table(spark, sf, "orders").select(k.alias("slot"), B.u_le_hex(b, 0, 32).alias("u256"), B.vec_u8_hex(b, 32).alias("vec"))
+
+
 @register("unknown_tokens", f"""WITH {_TOK}, {_CREATED}, {_FULFILLED}
 SELECT mint, count(*) AS count FROM (
   SELECT tx_mint AS mint FROM cy WHERE o_orderstatus != 'P' AND o_orderkey % 17 != 0 AND NOT known AND tx_mint IS NOT NULL

@@ -12,6 +12,7 @@ from fillwise.plans.catalog import load_ev, register
 from fillwise.plans.oracle import EV_RAW, with_ev
 from fillwise.sources import io as IO
 from fillwise.sources import tpch
+from fillwise.streaming.ingest import scratch_dir
 
 # Stored table for the insert queries: everything landed before 1998; the
 # batch is the full history delivered again (at-least-once redelivery).
@@ -84,6 +85,16 @@ def q_page_signatures(spark, sf):
     return IO.page_signatures(tpch.signatures(spark, sf), 1000)
 
 
+@register("page_signatures_next", f"""WITH {_SIGS}
+SELECT signature, slot, blockTime, err, (SELECT count(*) FROM sigs) > 2000 AS has_more
+FROM sigs ORDER BY slot DESC, signature DESC LIMIT 1000 OFFSET 1000""")
+def q_page_signatures_next(spark, sf):
+    """The page before the first one's last row."""
+    sigs = tpch.signatures(spark, sf)
+    last = IO.page_signatures(sigs, 1000).orderBy("slot", "signature").first()
+    return IO.page_signatures(sigs, 1000, (last["slot"], last["signature"]))
+
+
 @register("valid_signatures", f"""WITH {_SIGS}
 SELECT count_if(NOT coalesce(err, false)) AS valid, count_if(coalesce(err, false)) AS failed, count(*) AS total
 FROM sigs""")
@@ -167,6 +178,16 @@ def q_page_orders(spark, sf):
     return U.page_orders(U.search_orders(load_ev(spark, sf), "Promo", "fulfilled"), page=3, size=10)
 
 
+@register("page_after", with_ev(f"""
+SELECT {_RECENT} FROM s ORDER BY block_time DESC, signature ASC, event_type ASC LIMIT 10 OFFSET 10""",
+    "s AS (" + _SEARCH.format(q="Promo") + ")"))
+def q_page_after(spark, sf):
+    """L3: the second page by keyset, from the last row of the first."""
+    found = U.search_orders(load_ev(spark, sf), "Promo", "fulfilled")
+    last = U.page_orders(found, page=1, size=10).orderBy(*U.recent_order()).collect()[-1]
+    return U.page_after(found, last["block_time"], last["signature"], last["event_type"])
+
+
 @register("merge_live", with_ev(f"""
 SELECT {_RECENT}, position, source FROM (
   SELECT *, 0 AS src, 'update' AS source FROM upd
@@ -176,15 +197,15 @@ ORDER BY src, position LIMIT 20""",
     f"""upd AS (SELECT {_RECENT}, row_number() OVER (ORDER BY block_time DESC, signature, event_type) AS position
   FROM (SELECT * FROM ev ORDER BY block_time DESC, signature, event_type LIMIT 5) u)""",
     f"""snap AS (SELECT {_RECENT}, row_number() OVER (ORDER BY block_time DESC, signature, event_type) AS position
-  FROM (SELECT * FROM ev WHERE event_type = 'created' ORDER BY block_time DESC, signature, event_type LIMIT 50) s)"""))
+  FROM (SELECT * FROM ev ORDER BY block_time DESC, signature, event_type LIMIT 50) s)"""))
 def q_merge_live(spark, sf):
     ev = load_ev(spark, sf)
     update = U.with_position(A.recent_orders(ev, 5))
-    snapshot = U.with_position(A.recent_orders(ev.where(F.col("event_type") == "created"), 50))
+    snapshot = U.with_position(A.recent_orders(ev, 50))
     return U.merge_live(update, snapshot)
 
 
-@register("export_csv", with_ev("""
+_CSV = with_ev("""
 SELECT coalesce(order_id, '') AS "Order ID", coalesce(event_type, '') AS "Type",
   coalesce(give_token_symbol, '') AS "Give Token",
   coalesce(regexp_replace(CAST(CAST(give_amount_usd AS DECIMAL(38,6)) AS VARCHAR), '\\.?0+$', ''), '') AS "Give Amount USD",
@@ -192,11 +213,24 @@ SELECT coalesce(order_id, '') AS "Order ID", coalesce(event_type, '') AS "Type",
   coalesce(regexp_replace(CAST(CAST(take_amount_usd AS DECIMAL(38,6)) AS VARCHAR), '\\.?0+$', ''), '') AS "Take Amount USD",
   coalesce(maker, '') AS "Maker", coalesce(taker, '') AS "Taker",
   strftime(block_time, '%Y-%m-%d %H:%M:%S') AS "Time", coalesce(signature, '') AS "Transaction"
-FROM ev"""))
+FROM ev""")
+
+
+@register("export_csv", _CSV)
 def q_export_csv(spark, sf):
     return IO.csv_rows(load_ev(spark, sf))
 
 
+@register("export_csv_file", _CSV)
+def q_export_csv_file(spark, sf):
+    """The files are written, quoted and escaped, and read back."""
+    path = scratch_dir(spark, "csv")
+    IO.export_csv(load_ev(spark, sf), path)
+    text = ", ".join(f"`{h}` string" for h in IO.CSV_HEADERS)
+    back = spark.read.schema(text).option("header", True).option("escape", '"').csv(path)
+    return back.select(*[F.coalesce(F.col(f"`{h}`"), F.lit("")).alias(h) for h in IO.CSV_HEADERS])
+
+
 _WIRE = """order_id, event_type, signature, slot, strftime(block_time, '%Y-%m-%dT%H:%M:%S.%gZ') AS block_time,
   maker, give_token_symbol, CASE WHEN give_amount != 0 THEN CAST(give_amount AS VARCHAR) END AS give_amount,
   give_amount_usd, give_chain_id, take_token_symbol,

@@ -230,6 +230,19 @@ def q_collection_rate_1m(spark, sf):
                       "fulfilled_per_min")
 
 
+@register("collection_rate_sliding", with_ev("""
+SELECT minute_start, count_if(event_type = 'created') AS created_per_min, count_if(event_type = 'fulfilled') AS fulfilled_per_min
+FROM (SELECT event_type, unnest([half, half - INTERVAL 30 SECOND]) AS minute_start FROM (
+  SELECT event_type, time_bucket(INTERVAL 30 SECOND, block_time) AS half FROM ev) h) w GROUP BY 1"""))
+def q_collection_rate_sliding(spark, sf):
+    """ST7: the same per-minute counts in windows that slide by 30 seconds."""
+    root = I.scratch_dir(spark, "slide")
+    rate = L.collection_rate(_tail_stream(spark, sf), slide="30 seconds")
+    res = _run_update(rate, f"{root}/out", ["minute"], spark, f"{root}/_ck")
+    return res.select(F.col("minute.start").cast("timestamp_ntz").alias("minute_start"), "created_per_min",
+                      "fulfilled_per_min")
+
+
 @register("live_endpoint_rps", f"""WITH {LOG}
 SELECT endpoint, date_trunc('second', ts) AS second_start, count(*) AS requests FROM log GROUP BY 1, 2""")
 def q_live_endpoint_rps(spark, sf):

@@ -131,7 +131,6 @@ CREATE_ORDER_DISCRIMINATOR_HEX = "828362BE28CE4432"
 SOLANA_CHAIN_ID = 7565164
 NATIVE_SOL_MINT = "So11111111111111111111111111111111111111112"
 MIN_SOL_TRANSFER_LAMPORTS = 10_000_000
-DEFAULT_TOKEN_DECIMALS = 6
 STABLECOIN_SYMBOLS = ("USDC", "USDT", "DAI", "BUSD")
 
 # Chain id -> chain name.

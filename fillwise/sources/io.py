@@ -282,14 +282,10 @@ def lookup_in_list(ev: DataFrame, signatures: Sequence[str]) -> DataFrame:
     return ev.where(F.col("signature").isin(list(signatures)))
 
 
-def lookup_in_frame(ev: DataFrame, keys: DataFrame, key: Sequence[str] = ("signature",)) -> DataFrame:
-    """P12 for long lists: a semi join (Catalyst broadcasts the key side when it is small)."""
-    return ev.join(keys.select(*key).distinct(), list(key), "left_semi")
-
-
 # ---------------------------------------------------------------------------
 # S9 CSV, S12 wire form, S13 camelCase responses
 # ---------------------------------------------------------------------------
+# The export's column titles.
 CSV_HEADERS = ["Order ID", "Type", "Give Token", "Give Amount USD", "Take Token", "Take Amount USD",
                "Maker", "Taker", "Time", "Transaction"]
 
