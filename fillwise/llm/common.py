@@ -12,6 +12,8 @@ from fillwise.session import checkpoint_dir
 
 #: Largest number of rows of a parameter table that is sent to every executor; a larger one is joined by shuffle.
 BROADCAST_ROWS = 20_000
+#: Most tasks that rows are dealt over by number.
+MOST_TASKS = 20_000
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -35,6 +37,15 @@ def join_params(rows: DataFrame, params: DataFrame, keys: list[str], how: str =
     return rows.join(F.broadcast(params) if small else params, keys, how)
 
 
+def spread(rows: DataFrame, per_task: int, *keys: str) -> DataFrame:
+    """Deal small rows that stand for much work over tasks of about ``per_task`` rows.
+
+    AQE sizes partitions by bytes and would put such rows into one task; a stated number of partitions stays.
+    """
+    n = rows.count()
+    return rows.repartition(max(1, min(MOST_TASKS, -(-n // per_task))), *keys)
+
+
 def utf8(text: str) -> bytes:
     """UTF-8 bytes of a text; lone surrogates (not valid in Spark strings anyway) become ``?``."""
     return text.encode("utf-8", "replace")

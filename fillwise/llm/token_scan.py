@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fillwise.llm.common import pinned
+from fillwise.llm.common import pinned, spread
 
 BLOCK = 1 << 20
 WIDTH = "<u2"          # ids below 65 536
@@ -97,7 +97,7 @@ def files(spark, folder: str, width: str = WIDTH, names: DataFrame | None = None
 def scan(token_files: DataFrame, folder: str, end_id: int, block: int = BLOCK, width: str = WIDTH) -> DataFrame:
     """(file, ordinal, start, n_tokens, terminated): the documents of ``token_files`` (file, total)."""
     blocks = token_files.filter("total > 0").select("file", "total", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(total - 1) div {block}"))).alias("block"))
-    found = pinned(blocks.repartition("file", "block").mapInArrow(
+    found = pinned(spread(pinned(blocks), 8, "file", "block").mapInArrow(
         _ends(folder, end_id, block, width), "file string, block bigint, i bigint, pos bigint, before bigint, closing boolean"))
     # Prefix scan: one row per block.
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fillwise.llm.common import join_params, utf8
+from fillwise.llm.common import join_params, pinned, spread, utf8
 
 FRAME = 1 << 20
 BUNDLE = 1 << 30
@@ -200,5 +200,5 @@ def read(index: DataFrame, folder: str) -> DataFrame:
                 records = [parse(data[x["offset"]:x["offset"] + x["size"]]) for x in r["at"]]
                 yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in records], t) for c, t in kinds], names=[c for c, _ in kinds])
 
-    return frames.sortWithinPartitions("bundle", "frame").mapInArrow(
+    return spread(pinned(frames), 16, "bundle", "frame").sortWithinPartitions("bundle", "frame").mapInArrow(
         run, "page_id bigint, url string, record_type string, payload_digest string, payload_bytes bigint, refers_to bigint, payload binary")
