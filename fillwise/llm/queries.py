@@ -15,6 +15,25 @@ def register(fn):
     return fn
 
 
+ORACLE["op3_embedding_near_dedup"] = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
+r(a, c) AS (SELECT vec_id, vec_id FROM v UNION SELECT l.a, r.c FROM l JOIN r ON l.b = r.a),
+c AS (SELECT a AS vec_id, min(c) AS component_id FROM r GROUP BY a)
+SELECT c.vec_id, (SELECT count(*) FROM l WHERE l.a = c.vec_id) AS n_links, c.component_id, c.vec_id = c.component_id AS kept FROM c"""
+
+#: Base32 of a SHA-1: 32 letters of five bits each, cut from the 40 hexadecimal digits.
+ORACLE["op6_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload) AS first, sha1(payload) AS h FROM p)
+SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(
+         1 + ((CAST('0x' || rpad(substr(h, CAST(5 * i // 4 + 1 AS INT), 2), 2, '0') AS INT) >> CAST(3 - 5 * i % 4 AS INT)) & 31) AS INT), 1)), '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM m"""
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
