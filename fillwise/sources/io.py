@@ -92,6 +92,14 @@ def stored(spark: SparkSession, path: str, schema=STORED_EVENTS) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def stored_batch(spark: SparkSession, path: str, batch_id: int, schema=STORED_EVENTS) -> DataFrame:
+    """The rows of one batch; only its own folders are listed."""
+    folder = f"{path.rstrip('/')}/batch_id={int(batch_id)}"
+    if not path_exists(spark, folder):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", path).parquet(folder)
+
+
 def table_rows(batch: DataFrame) -> DataFrame:
     """Normalised rows in the stored column types."""
     return with_month(normalise_events(batch)).select(
@@ -162,7 +170,7 @@ def dedup_insert(spark: SparkSession, batch: DataFrame, path: str, batch_id: int
 
 def batch_rows_written(spark: SparkSession, path: str, batch_id: int) -> int:
     """Rows stored under ``batch_id=N`` (0 when the batch wrote nothing)."""
-    return stored(spark, path).where(F.col("batch_id") == batch_id).count()
+    return stored_batch(spark, path, batch_id).count()
 
 
 def insert_counts(batch: DataFrame, stored: DataFrame) -> DataFrame:

@@ -89,7 +89,7 @@ def store_batch(spark: SparkSession, events: DataFrame, batch_id: int, paths: In
                 report: IngestReport) -> None:
     """Insert a batch, its view partials and its progress row; doing it again changes nothing."""
     counts = IO.dedup_insert(spark, events, paths.table, batch_id)
-    inserted = IO.stored(spark, paths.table).where(F.col("batch_id") == batch_id)
+    inserted = IO.stored_batch(spark, paths.table, batch_id)
     # ST6: partial view aggregates of exactly the rows this batch inserted.
     V.write_partials(V.daily_partials(inserted), paths.daily_view)
     V.write_partials(V.token_partials(inserted), paths.token_view)
