@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,11 +48,3 @@ def spread(rows: DataFrame, per_task: int, *keys: str) -> DataFrame:
 def utf8(text: str) -> bytes:
     """UTF-8 bytes of a text; lone surrogates (not valid in Spark strings anyway) become ``?``."""
     return text.encode("utf-8", "replace")
-
-
-def cumulative_spans(starts: np.ndarray, ends: np.ndarray, size: int) -> np.ndarray:
-    """Boolean mask of ``size`` with True inside any half-open span."""
-    edge = np.zeros(size + 1, np.int64)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, ends, -1)
-    return np.cumsum(edge[:-1]) > 0

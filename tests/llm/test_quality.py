@@ -23,6 +23,13 @@ def test_base_statistics_against_plain_definitions():
         assert Q.text_stats(t)[:5] == brute_stats(t), repr(t)
 
 
+def test_chi_square_quantiles():
+    import math
+    from statistics import NormalDist
+    assert abs(NormalDist().cdf(math.sqrt(Q.chi2_quantile(0.95, 1))) - 0.975) < 1e-9
+    assert abs(Q.chi2_quantile(0.99, 2) + 2 * math.log(0.01)) < 1e-9          # two degrees: exponential
+
+
 def corpus(clean=320, junk=16):
     rnd = random.Random(2)
     rows = [doc(i, prose(rnd, rnd.randint(40, 400), lang) + "\n" + prose(rnd, 30, lang), lang, src)
