@@ -15,8 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fillwise.operators.dedup import latest, new_events
-from fillwise.schema import (CHAIN_ID, DEDUP_KEY, EVENT_COLUMNS, STORED_EVENTS, STORED_PROGRESS,
-                             TABLE_PARTITIONS)
+from fillwise.schema import CHAIN_ID, EVENT_COLUMNS, STORED_EVENTS, STORED_PROGRESS, TABLE_PARTITIONS
 
 APPENDED = -1
 U64_MAX = 18446744073709551615

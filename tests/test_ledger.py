@@ -5,15 +5,13 @@ import datetime as dt
 from decimal import Decimal
 
 import pytest
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from fillwise.functions.core import check_limit, period_hours
 from fillwise.operators import analytics as A
 from fillwise.operators import decode as X
 from fillwise.operators import lifecycle as L
 from fillwise.operators.dedup import latest
-from fillwise.schema import CREATE_ORDER_DISCRIMINATOR_HEX, ORDER_EVENTS, RAW_TX, SOURCE_PROGRAM_ID
+from fillwise.schema import CREATE_ORDER_DISCRIMINATOR_HEX, RAW_TX, SOURCE_PROGRAM_ID
 from fillwise.sources import io as IO
 from tests_helpers import T0, events
 
