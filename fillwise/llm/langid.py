@@ -2,9 +2,11 @@
 
 ``train`` builds one Zstandard raw-content dictionary per language from a bounded sample of labelled rows:
 the ``SAMPLE_ROWS`` texts of at most ``SAMPLE_CHARS`` characters with the smallest text hash (one of each set of
-equal texts), cut to ``DICT_BYTES``. ``identify`` encodes every whole text against every dictionary. The smallest
-encoding names the language; the score is the margin to the second smallest, as a share of it. A text is rejected
-(``accepted`` false) when that margin is below ``MIN_MARGIN`` and ``MIN_BYTES``.
+equal texts), cut to ``DICT_BYTES``. ``identify`` encodes every whole text against every dictionary, in consecutive
+blocks of ``BLOCK`` bytes that each start afresh from the dictionary. (In one frame the text's own history soon takes
+the dictionary's place, so that only the head would tell languages apart and the margin would vanish with length.) The
+smallest sum of sizes names the language; the score is the margin to the second smallest, as a share of it. A text is
+rejected (``accepted`` false) when that margin is below ``MIN_MARGIN`` or ``MIN_BYTES``.
 
 Null texts and texts without a letter are ``und`` with score 0 and not accepted. Equal sizes (a tie) go to the
 first language by name and are rejected. With no labelled row every text is ``und``. With a single language the score
@@ -28,6 +30,7 @@ SAMPLE_ROWS = 400        # labelled rows per language that a dictionary may draw
 SAMPLE_CHARS = 4_000     # longest text it draws on
 DICT_BYTES = 32 << 10    # size of a dictionary
 MAX_LANGUAGES = 1_000    # dictionaries are broadcast: at most 32 MB; more languages raise an error
+BLOCK = 2 << 10          # bytes of a text encoded from the dictionary alone; far below its size, so that all count alike
 LEVEL = 6
 MIN_MARGIN = 0.002       # narrowest margin, as a share of the second smallest size ...
 MIN_BYTES = 2            # ... and in bytes
@@ -82,7 +85,8 @@ class Classifier:
         if not self.langs or text is None or not any(map(str.isalpha, text)):
             return "und", 0.0, False
         data = letters(text)
-        sizes = [len(c.compress(data)) for c in self.compressors]
+        blocks = [data[i:i + BLOCK] for i in range(0, len(data), BLOCK)]
+        sizes = [sum(len(c.compress(b)) for b in blocks) for c in self.compressors]
         best = int(np.argmin(sizes))
         if len(sizes) == 1:
             return self.langs[0], 1.0, True

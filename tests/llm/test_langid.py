@@ -35,6 +35,19 @@ def test_narrow_margins_are_rejected(spark):
     assert c.classify("same words here") == ("a", 0.0, False)
 
 
+def classifier():
+    return L.Classifier([(lang, L.letters(prose(random.Random(i), 12_000, lang))[-L.DICT_BYTES:]) for i, lang in enumerate(("de", "en", "fr"))])
+
+
+def test_all_of_a_long_text_counts_alike():
+    rnd, c = random.Random(12), classifier()
+    for head, n, rest, m in (("de", 10_000, "en", 20_000), ("fr", 20_000, "en", 300_000), ("en", 20_000, "de", 300_000)):
+        text = prose(rnd, n // 3, head)[:n] + " " + prose(rnd, m // 3, rest)[:m]
+        assert c.classify(text)[0] == rest, (head, n, rest, m)
+    de, en = prose(rnd, 40_000, "de")[:120_000], prose(rnd, 40_000, "en")[:60_000]
+    assert c.classify(de + en)[0] == c.classify(en + de)[0] == "de"
+
+
 def test_odd_rows(spark):
     rows = [(r[0] + 100, *r[1:]) for r in corpus(60)]
     df = frame(spark, rows + odd_rows(), clashing=True)
