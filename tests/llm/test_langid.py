@@ -48,6 +48,15 @@ def test_all_of_a_long_text_counts_alike():
     assert c.classify(de + en)[0] == c.classify(en + de)[0] == "de"
 
 
+def test_margin_does_not_fall_with_length():
+    c = classifier()
+    for lang in ("en", "de"):
+        text = prose(random.Random(13), 500_000, lang)
+        assert len(text) > 3_000_000
+        short, whole = c.classify(text[:20_000]), c.classify(text)
+        assert short[0] == whole[0] == lang and short[2] and whole[2] and whole[1] > 0.8 * short[1]
+
+
 def test_odd_rows(spark):
     rows = [(r[0] + 100, *r[1:]) for r in corpus(60)]
     df = frame(spark, rows + odd_rows(), clashing=True)
