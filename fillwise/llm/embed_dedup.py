@@ -3,8 +3,15 @@
 In each pass a vector's key is the concatenation of ``BITS`` random-hyperplane hash bits. Vectors are range-partitioned
 and sorted by it, so that near ones tend to stand near each other, and each is compared, by cosine in double
 precision, with the ``NEIGHBOURS`` vectors before it; partitions hand the rows at their ends to a second comparison.
-Pairs at or above ``COSINE`` are links. Passes use independent hyperplanes; their number is the least that
-misses a link at the threshold with probability ``MISS`` (it grows with the logarithm of the number of vectors).
+Pairs at or above ``COSINE`` are links. Passes use independent hyperplanes; their first number is the least that
+misses a link at the threshold with probability ``MISS`` if vectors lie evenly around the origin (it grows with the
+logarithm of the number of vectors).
+
+Where vectors crowd in one direction, windows fill up with unlinked ones. So each pass measures for each vector the bits
+that narrow its surroundings down to a window: a link that agrees on them is met, the likelier the farther the vector
+lies from their planes. Vectors whose chance of a miss over all passes is above ``MISS`` are crowded. Links to other vectors are met from the other side, so the crowded ones are
+compared among themselves: pair by pair where that is cheaper, by as many further passes as their measure asks for
+otherwise, until none is left. Pairs of one component need no further link and are skipped.
 Components are taken over the links of all passes.
 
 The passes only have to connect. Within a component every pair is then judged exactly, so that n_links counts all
@@ -29,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fillwise.llm.common import pinned
+from fillwise.llm.common import MOST_TASKS, pinned
 from fillwise.llm.components import components
 from fillwise.llm.simhash import forest
 
@@ -38,6 +45,11 @@ BITS = 64
 NEIGHBOURS = 64
 MISS = 0.003
 CELL = 512
+BLOCK = 4096                               # crowded vectors compared pair by pair in one group
+ROW_PASS = 512                             # pairs compared in blocks at about the cost of one vector in one pass
+GRID = np.linspace(0, 8, 4097)             # logarithms of the normal distribution function
+LOG_NORMAL = np.log([(1 + math.erf(t / math.sqrt(2))) / 2 for t in GRID])
+UNKNOWN = BITS + 1                         # bits of a vector with fewer than NEIGHBOURS on one side in its partition
 ANGLE = math.acos(COSINE)
 BINS = 16                                  # cells per threshold angle
 SAFE = 1e-7                                # rounding of angles
@@ -71,14 +83,14 @@ def order_keys(x: np.ndarray, number: int) -> np.ndarray:
     return (np.ascontiguousarray(bits).view(">u8").ravel().astype(np.uint64) ^ np.uint64(1 << 63)).view(np.int64)
 
 
-def _keyed(n_passes: int):
+def _keyed(numbers: range):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             dims = np.array([len(v) for v in b.column("v")]) if b.num_rows else np.zeros(0, int)
             for d in np.unique(dims):
                 part = b.filter(pa.array(dims == d))
                 x = unit(matrix(part.column("v")))
-                for p in range(n_passes):
+                for p in numbers:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(len(x), p, np.int32)), pa.array(np.full(len(x), d, np.int32)), pa.array(order_keys(x, p)), part.column("id"), part.column("v")],
                         names=["p", "d", "key", "id", "v"])
@@ -97,18 +109,44 @@ def neighbour_links(x: np.ndarray, lane: np.ndarray, fresh: int) -> tuple[np.nda
     return (np.concatenate(us), np.concatenate(vs)) if us else (np.zeros(0, int), np.zeros(0, int))
 
 
+def narrowing_bits(key: np.ndarray, lane: np.ndarray, fresh: int) -> np.ndarray:
+    """Of each row from ``fresh`` on: key bits that keep all rows but the NEIGHBOURS before it out; UNKNOWN for the
+    first rows of a lane or partition. The bits for the rows after it are those of the row NEIGHBOURS further on.
+    """
+    at = np.arange(fresh, len(key))
+    back = np.maximum(at - NEIGHBOURS, 0)
+    differ = (key[at] ^ key[back]).view(np.uint64)
+    bits = np.full(len(at), 1)                                     # 1 + the leading bits that agree
+    for half in (32, 16, 8, 4, 2, 1):
+        same = differ >> np.uint64(64 - half) == 0
+        bits[same] += half
+        differ = np.where(same, differ << np.uint64(half), differ)
+    bits[key[at] == key[back]] = BITS
+    bits[(at < NEIGHBOURS) | (lane[at] != lane[back])] = UNKNOWN
+    return bits
+
+
+def log_miss(x: np.ndarray, bits: np.ndarray, number: int) -> np.ndarray:
+    """Logarithm of the chance that a pass does not show each vector a partner at the threshold, in a random direction from it."""
+    far = np.abs(x @ planes(number, x.shape[1])) / math.tan(ANGLE)
+    alike = np.cumsum(np.interp(far, GRID, LOG_NORMAL), axis=1)
+    met = np.exp(alike[np.arange(len(x)), np.minimum(bits, BITS) - 1])
+    return np.where(bits == UNKNOWN, 0.0, np.log1p(-np.minimum(met, 1 - 1e-9)))
+
+
 def _window(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows -> links (kind 0) and the rows at both ends of the partition (kind 1: its first, 2: its last)."""
+    """Sorted rows -> links (kind 0), the rows at both ends of the partition (kind 1: its first, 2: its last) and log_miss (3)."""
     part = TaskContext.get().partitionId()
     none = pa.array([], pa.list_(pa.float32()))
 
-    def rows(kind, a, b, lane, v):
+    def rows(kind, a, b, lane, v, log=None):
         n = len(a)
         return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(np.asarray(a, np.int64)), pa.array(np.asarray(b, np.int64)),
-                                           pa.array(np.asarray(lane, np.int64)), pa.array(np.full(n, part, np.int32)), v], names=["kind", "a", "b", "lane", "part", "v"])
+                                           pa.array(np.asarray(lane, np.int64)), pa.array(np.full(n, part, np.int32)), v, pa.array(np.zeros(n) if log is None else log)],
+                                          names=["kind", "a", "b", "lane", "part", "v", "log"])
 
     held: pa.Table | None = None
-    seen = 0
+    seen, bits = 0, np.zeros(0, int)
     for b in batches:
         t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
         t = t.combine_chunks()
@@ -117,23 +155,31 @@ def _window(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lane = (t.column("p").to_numpy().astype(np.int64) << 32) | t.column("d").to_numpy()
         vectors = t.column("v").combine_chunks()
         vectors = vectors.chunk(0) if isinstance(vectors, pa.ChunkedArray) else vectors
+        bits = np.concatenate([bits, narrowing_bits(t.column("key").to_numpy(), lane, fresh)])
+        done = max(0, t.num_rows - NEIGHBOURS)                     # rows whose surroundings on both sides are here
+        wider = np.maximum(bits[:done], bits[NEIGHBOURS:])
         sizes = np.unique(lane & 0xFFFFFFFF)
         for d in sizes:                                            # one length but at the border of two
             at = np.flatnonzero((lane & 0xFFFFFFFF) == d)
             x = unit(matrix(vectors.take(pa.array(at))))
             i, j = neighbour_links(x, lane[at], int((at < fresh).sum()))
             keep = forest(i, j, len(at))
+            for q in np.unique(lane[at[at < done]]):
+                mine = np.flatnonzero((lane[at] == q) & (at < done))
+                yield rows(3, ids[at[mine]], np.zeros(len(mine)), np.zeros(len(mine)), pa.array([None] * len(mine), none.type),
+                           log_miss(x[mine], wider[at[mine]], int(q >> 32)))
             yield rows(0, ids[at[i[keep]]], ids[at[j[keep]]], np.zeros(len(keep)), pa.array([None] * len(keep), none.type))
         if seen < NEIGHBOURS:
             head = min(t.num_rows - fresh, NEIGHBOURS - seen)
             pick = np.arange(fresh, fresh + head)
             yield rows(1, ids[pick], seen + np.arange(head), lane[pick], vectors.take(pa.array(pick)))
         seen += b.num_rows
-        held = t.slice(max(0, t.num_rows - NEIGHBOURS))
+        held, bits = t.slice(done), bits[done:]
     if held is not None:
         t = held.combine_chunks()
         lane = (t.column("p").to_numpy().astype(np.int64) << 32) | t.column("d").to_numpy()
         v = t.column("v").combine_chunks()
+        yield rows(3, t.column("id").to_numpy(), np.zeros(t.num_rows), np.zeros(t.num_rows), pa.array([None] * t.num_rows, none.type))
         yield rows(2, t.column("id").to_numpy(), np.arange(t.num_rows), lane, v.chunk(0) if isinstance(v, pa.ChunkedArray) else v)
 
 
@@ -151,14 +197,82 @@ def _seam(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []}, dtype="int64")
 
 
-def links(distinct: DataFrame) -> DataFrame:
-    """(a, b): links found in the passes, enough to connect all that they found; ``distinct``: id, v (pinned)."""
-    n = distinct.count()
-    rows = distinct.mapInArrow(_keyed(passes(n)), "p int, d int, key bigint, id bigint, v array<float>")
+def _sweep(vectors: DataFrame, numbers: range) -> tuple[DataFrame, DataFrame]:
+    """Passes over ``vectors`` (id, v; pinned): links (a, b), and (id, log) of each one's chance that they miss a link."""
+    rows = vectors.select("id", "v").mapInArrow(_keyed(numbers), "p int, d int, key bigint, id bigint, v array<float>")
     found = pinned(rows.repartitionByRange("p", "d", "key", "id").sortWithinPartitions("p", "d", "key", "id")
-                   .mapInArrow(_window, "kind int, a bigint, b bigint, lane bigint, part int, v array<float>"))
-    ends = found.filter("kind > 0").withColumn("seam", F.when(F.col("kind") == 2, F.col("part")).otherwise(F.col("part") - 1))
-    return found.filter("kind = 0").select("a", "b").union(ends.groupBy("seam").applyInPandas(_seam, "a bigint, b bigint"))
+                   .mapInArrow(_window, "kind int, a bigint, b bigint, lane bigint, part int, v array<float>, log double"))
+    ends = found.filter("kind in (1, 2)").withColumn("seam", F.when(F.col("kind") == 2, F.col("part")).otherwise(F.col("part") - 1))
+    return (found.filter("kind = 0").select("a", "b").union(ends.groupBy("seam").applyInPandas(_seam, "a bigint, b bigint")),
+            found.filter("kind = 3").groupBy(F.col("a").alias("id")).agg(F.sum("log").alias("log")))
+
+
+def links(distinct: DataFrame) -> DataFrame:
+    """(a, b): links found, enough to connect all that were; ``distinct``: id, v (pinned)."""
+    done = passes(distinct.count())
+    found, log = _sweep(distinct, range(done))
+    while True:
+        crowded = pinned(log.filter(F.col("log") > math.log(MISS)))
+        if crowded.isEmpty():
+            return found
+        found = pinned(found)
+        comp = components(found).withColumnRenamed("node", "id")
+        left = pinned(distinct.join(crowded, "id").join(comp, "id", "left").select("id", "v", "log", F.coalesce("component", "id").alias("component")))
+        per = left.groupBy("component").count().agg(F.sum("count").alias("n"), F.sum(F.col("count").cast("double") ** 2).alias("same")).first()
+        pairs = (float(per["n"]) ** 2 - per["same"]) / 2           # pairs of different components
+        if not pairs:
+            return found
+        log_each = left.agg(F.percentile_approx("log", 0.9)).first()[0] / done
+        need = math.ceil(math.log(MISS) / log_each) - done if log_each < 0 else math.inf
+        if pairs <= ROW_PASS * max(need, 1) * per["n"]:
+            return found.union(_across(left, per["n"]))
+        need = max(1, min(need, done))                             # at most twice the passes so far, then measured again
+        new, more = _sweep(left, range(done, done + need))
+        done += need
+        found = found.union(new)
+        log = left.select("id", "log").union(more).groupBy("id").agg(F.sum("log").alias("log")).join(left.select("id"), "id")
+
+
+def _blocks(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One pair of blocks -> a spanning forest of the links between different components."""
+    x, y = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+    if pdf["itself"].iloc[0]:
+        y = x
+    if not len(x) or not len(y):
+        return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+    ux, uy = (unit(np.stack(z["v"].to_numpy()).astype(np.float64)) for z in (x, y))
+    cx, cy = x["component"].to_numpy(), y["component"].to_numpy()
+    us, vs = [], []
+    for s in range(0, len(ux), CELL):
+        i, j = np.nonzero((ux[s:s + CELL] @ uy.T >= COSINE) & (cx[s:s + CELL, None] != cy))
+        names, at = np.unique(np.concatenate([cx[i + s], cy[j]]), return_inverse=True)
+        keep = forest(at[:len(i)], at[len(i):], len(names))
+        us.append(x["id"].to_numpy()[i[keep] + s])
+        vs.append(y["id"].to_numpy()[j[keep]])
+    return pd.DataFrame({"a": np.concatenate(us), "b": np.concatenate(vs)})
+
+
+def _across(left: DataFrame, n: int) -> DataFrame:
+    """(a, b): links between different components of ``left`` (id, v, component; pinned), every pair judged once.
+
+    Components above BLOCK vectors have blocks of their own, which are not compared with each other.
+    """
+    sizes = left.groupBy("component").count().filter(F.col("count") > BLOCK).select("component", F.lit(True).alias("big"))
+    rows = left.join(sizes, "component", "left").withColumn("big", F.coalesce("big", F.lit(False)))
+    rows = pinned(rows.select("id", "v", "component", F.size("v").alias("d"), "big", F.when(F.col("big"), F.col("component")).otherwise(0).alias("home")))
+    homes = rows.groupBy("d", "big", "home").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
+    per = homes.groupBy("d").agg(F.collect_list(F.struct("big", "home", "parts")).alias("homes"))
+    mine = rows.join(F.broadcast(per), "d").withColumn("part", F.expr("pmod(xxhash64(id), filter(homes, h -> h.big = big and h.home = home)[0].parts)").cast("int"))
+    mine = mine.withColumn("me", F.struct("big", "home", "part"))
+    others = F.expr("""flatten(transform(filter(homes, h -> not (big and h.big and h.home = home)),
+                                         h -> transform(sequence(0, h.parts - 1), q -> named_struct('big', h.big, 'home', h.home, 'part', q))))""")
+    name = F.concat_ws("/", "d", "lo.big", "lo.home", "lo.part", "hi.big", "hi.home", "hi.part")
+    pairs = (mine.select("d", "id", "v", "component", "me", F.explode(others).alias("other"))
+             .select("d", "id", "v", "component", F.least("me", "other").alias("lo"), F.greatest("me", "other").alias("hi"),
+                     (F.col("me") > F.col("other")).cast("int").alias("side"), (F.col("me") == F.col("other")).alias("itself"))
+             .select(name.alias("pair"), "id", "v", "component", "side", "itself"))
+    k = -(-n // BLOCK)
+    return pinned(pairs.repartition(min(MOST_TASKS, k * (k + 1) // 2), "pair").groupBy("pair").applyInPandas(_blocks, "a bigint, b bigint"))
 
 
 # --- all links within a component -----------------------------------------------------------------------------------

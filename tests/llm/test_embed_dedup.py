@@ -76,6 +76,42 @@ def test_odd_vectors(spark):
     assert run(spark, rows) == brute(rows)
 
 
+def test_narrowing_bits(monkeypatch):
+    monkeypatch.setattr(M, "NEIGHBOURS", 2)
+    top = 1 << 62
+    key, lane = np.array([0, 1, 2, 3, 3, 3, top, top + 1]), np.array([0, 0, 0, 0, 0, 0, 0, 1])
+    assert M.narrowing_bits(key, lane, 0).tolist() == [M.UNKNOWN, M.UNKNOWN, 63, 63, 64, 64, 2, M.UNKNOWN]
+    assert M.narrowing_bits(key, lane, 3).tolist() == [63, 64, 64, 2, M.UNKNOWN]
+
+
+def crowded(n=9000, cone=3000, planted=250, dims=64):
+    """A third of the rows in a cone of mean cosine 0.75, some of them with a partner at 0.9 to 0.91."""
+    rnd = np.random.default_rng(3)
+    axis = M.unit(rnd.standard_normal((1, dims)))
+
+    def across(x):
+        y = rnd.standard_normal(x.shape)
+        return M.unit(y - (y * x).sum(1, keepdims=True) * x)
+    x = np.sqrt(0.75) * axis + 0.5 * across(np.repeat(axis, cone, 0))
+    c = rnd.uniform(0.9005, 0.91, (planted, 1))
+    to_axis = M.unit(axis - (x[:planted] @ axis.T) * x[:planted])                  # partners stay in the cone
+    turn = M.unit(0.45 * to_axis + across(x[:planted]))
+    turn = M.unit(turn - (turn * x[:planted]).sum(1, keepdims=True) * x[:planted])
+    return np.concatenate([x, c * x[:planted] + np.sqrt(1 - c * c) * turn, rnd.standard_normal((n - cone - planted, dims))]).astype(np.float32)
+
+
+@pytest.mark.parametrize("row_pass", [M.ROW_PASS, 1])              # pair by pair, and by further passes first
+def test_links_in_a_crowded_cone(spark, monkeypatch, row_pass):
+    monkeypatch.setattr(M, "ROW_PASS", row_pass)
+    monkeypatch.setattr(M, "BLOCK", 1000)
+    x = crowded()
+    u = M.unit(x.astype(np.float64))
+    i, j = np.nonzero(np.triu(u @ u.T >= 0.9, 1))
+    got = {r[0]: r[2] for r in run(spark, [(k, v) for k, v in enumerate(x.tolist())])}
+    lost = sum(got[a] != got[b] for a, b in zip(i.tolist(), j.tolist()))
+    assert len(i) >= 250 and lost <= (0 if row_pass > 1 else 0.01 * len(i))
+
+
 def test_empty_and_single(spark):
     assert run(spark, []) == []
     assert run(spark, [(3, [1.0, 2.0])]) == [(3, 0, 3, True)]
