@@ -1,8 +1,8 @@
 """Language identification by compression: the language whose dictionary encodes the text in the fewest bytes.
 
 ``train`` builds one Zstandard raw-content dictionary per language from a bounded sample of labelled rows:
-the ``SAMPLE_ROWS`` texts of at most ``SAMPLE_CHARS`` characters with the smallest text hash (one of each set of
-equal texts), cut to ``DICT_BYTES``. ``identify`` encodes every whole text against every dictionary, in consecutive
+of the first ``SAMPLE_CHARS`` characters of each text the ``SAMPLE_ROWS`` with the smallest hash (one of each set of
+equal ones), cut to ``DICT_BYTES``. ``identify`` encodes every whole text against every dictionary, in consecutive
 blocks of ``BLOCK`` bytes that each start afresh from the dictionary. (In one frame the text's own history soon takes
 the dictionary's place, so that only the head would tell languages apart and the margin would vanish with length.) The
 smallest sum of sizes names the language; the score is the margin to the second smallest, as a share of it. A text is
@@ -27,7 +27,7 @@ from fillwise.llm.common import utf8
 
 FOLDS = 5
 SAMPLE_ROWS = 400        # labelled rows per language that a dictionary may draw on
-SAMPLE_CHARS = 4_000     # longest text it draws on
+SAMPLE_CHARS = 4_000     # most of a text that it draws on
 DICT_BYTES = 32 << 10    # size of a dictionary
 MAX_LANGUAGES = 1_000    # dictionaries are broadcast: at most 32 MB; more languages raise an error
 BLOCK = 2 << 10          # bytes of a text encoded from the dictionary alone; far below its size, so that all count alike
@@ -58,7 +58,7 @@ def _dictionary(pdf: pd.DataFrame) -> pd.DataFrame:
 def train(labelled: DataFrame) -> list[tuple[str, bytes]]:
     """(lang, dictionary), sorted by lang, from rows with ``text`` and ``lang``; nulls are left out."""
     rows = (labelled.select("lang", "text").filter("lang is not null and text is not null")
-            .filter(F.length("text").between(1, SAMPLE_CHARS)).withColumn("h", F.xxhash64("text")))
+            .filter(F.length("text") > 0).withColumn("text", F.substring("text", 1, SAMPLE_CHARS)).withColumn("h", F.xxhash64("text")))
     # Per task at most SAMPLE_ROWS different texts of a language leave the map side (WindowGroupLimit by dense rank).
     w = Window.partitionBy("lang").orderBy("h", "text")
     sample = (rows.withColumn("r", F.dense_rank().over(w)).filter(F.col("r") <= SAMPLE_ROWS)

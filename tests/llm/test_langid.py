@@ -57,6 +57,16 @@ def test_margin_does_not_fall_with_length():
         assert short[0] == whole[0] == lang and short[2] and whole[2] and whole[1] > 0.8 * short[1]
 
 
+def test_language_of_long_texts_only_has_a_dictionary(spark):
+    rnd = random.Random(14)
+    rows = corpus(60) + [doc(100 + k, prose(rnd, 1_500, "fr"), "xx") for k in range(3)]
+    rows = [r for r in rows if r[2] != "fr"]
+    assert all(len(r[1]) > L.SAMPLE_CHARS for r in rows if r[2] == "xx")
+    dicts = L.train(frame(spark, rows))
+    assert [k for k, _ in dicts] == ["de", "en", "xx"] and all(0 < len(c) <= L.DICT_BYTES for _, c in dicts)
+    assert L.Classifier(dicts).classify(prose(rnd, 200, "fr"))[0] == "xx"
+
+
 def test_odd_rows(spark):
     rows = [(r[0] + 100, *r[1:]) for r in corpus(60)]
     df = frame(spark, rows + odd_rows(), clashing=True)
