@@ -120,3 +120,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fillwise.llm.license_scan import scan
     return scan(table(spark, sf_dir, "documents"))
+
+
+@register
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fillwise.llm.resampling import resample
+    out = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
