@@ -105,7 +105,10 @@ def find_runs(words: np.ndarray, ends: np.ndarray) -> np.ndarray:
     found = list(candidates(words, ends))
     if not found:
         return np.zeros((0, 4), np.int64)
-    texts = np.unique(np.concatenate([t for t, _, _ in found]))
+    has = np.zeros(len(ends) - 1, bool)
+    for t, _, _ in found:
+        has[t] = True
+    texts = np.flatnonzero(has)
     sizes, begins = np.diff(ends)[texts], ends[:-1][texts]
     # The texts with candidates, each followed by a symbol that occurs nowhere else.
     place = np.cumsum(sizes + 1) - sizes - 1
@@ -120,8 +123,8 @@ def find_runs(words: np.ndarray, ends: np.ndarray) -> np.ndarray:
         x = place[np.searchsorted(texts, t)] + i
         n = forward.extension(x, x + q)
         m = backward.extension(len(joined) - x - q, len(joined) - x)
-        run = n + m >= q
-        rows.append(np.unique(np.stack([t, i - m, n + m + q, q], axis=1)[run], axis=0))
+        row = np.stack([t, i - m, n + m + q, q], axis=1)[n + m >= q]
+        rows.append(row[np.concatenate([[True], (row[1:] != row[:-1]).any(axis=1)])[:len(row)]])   # a run's candidates follow each other
     rows = np.unique(np.concatenate(rows), axis=0)                            # smallest period first among equal stretches
     first = np.ones(len(rows), bool)
     first[1:] = (rows[1:, :3] != rows[:-1, :3]).any(axis=1)
