@@ -9,7 +9,7 @@ As a run of at least LEAST words agrees with itself q words on in at least LEAST
 behind the candidate. Candidates where neither three words before nor three behind agree (by a hash) are passed over; texts
 without any candidate need no grammar. Of equal stretches the smallest period counts.
 
-Each text is a job of its own: nothing is shuffled. Texts are taken in blocks; grid points in chunks of bounded size.
+Each text is a job of its own: nothing is shuffled. Texts are taken in blocks, grid points in chunks of bounded size.
 Null and wordless texts have no words and no runs. doc_id may be null; repeated rows are each answered.
 """
 
@@ -33,6 +33,8 @@ GRAM = 3
 #: Bytes of text taken at once, at least one text, and grid points looked at together.
 BLOCK = 4 << 20
 POINTS = 1 << 21
+#: Candidates kept between the search for them and the queries.
+HELD = 1 << 22
 RUNS = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("period", pa.int64())]))
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -102,13 +104,16 @@ def candidates(words: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray
 
 def find_runs(words: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Rows (text, start, length, period) of all runs, by text, start and period."""
-    found = list(candidates(words, ends))
-    if not found:
-        return np.zeros((0, 4), np.int64)
-    has = np.zeros(len(ends) - 1, bool)
-    for t, _, _ in found:
-        has[t] = True
+    has, found = np.zeros(len(ends) - 1, bool), []
+    for chunk in candidates(words, ends):
+        has[chunk[0]] = True
+        if found is not None:
+            found.append(chunk)
+            if sum(len(t) for t, _, _ in found) > HELD:                       # too many to keep: they are looked for again
+                found = None
     texts = np.flatnonzero(has)
+    if not len(texts):
+        return np.zeros((0, 4), np.int64)
     sizes, begins = np.diff(ends)[texts], ends[:-1][texts]
     # The texts with candidates, each followed by a symbol that occurs nowhere else.
     place = np.cumsum(sizes + 1) - sizes - 1
@@ -119,7 +124,7 @@ def find_runs(words: np.ndarray, ends: np.ndarray) -> np.ndarray:
     joined[np.repeat(place, sizes) + spots] = words[np.repeat(begins, sizes) + spots]
     forward, backward = Grammar(joined), Grammar(joined[::-1])
     rows = []
-    for t, i, q in found:
+    for t, i, q in candidates(words, ends) if found is None else found:
         x = place[np.searchsorted(texts, t)] + i
         n = forward.extension(x, x + q)
         m = backward.extension(len(joined) - x - q, len(joined) - x)

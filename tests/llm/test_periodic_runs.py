@@ -75,6 +75,7 @@ def test_levels_shrink():
 @pytest.mark.parametrize("points", [P.POINTS, 50])
 def test_runs_against_brute_force(monkeypatch, points):
     monkeypatch.setattr(P, "POINTS", points)
+    monkeypatch.setattr(P, "HELD", points)
     rnd = random.Random(2)
     texts = []
     for _ in range(400):
