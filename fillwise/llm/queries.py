@@ -142,3 +142,15 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("(-1000 * longest.minus) div longest.period").alias("exponent_milli"),
         F.sha2(F.concat(F.array_join(line, "\n"), F.when(F.size("runs") > 0, "\n").otherwise("")), 256).alias("runs_sha256"),
         F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@register
+def op13_streaming_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as P
+    from pyspark.sql import functions as F
+
+    from fillwise.llm.streaming_bpe import decode, encode
+    path = P.path("word_bpe_49k.json")
+    out = decode(encode(table(spark, sf_dir, "documents"), path), path)
+    return out.select("doc_id", F.floor(F.octet_length("ids") / 4).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+                      F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
