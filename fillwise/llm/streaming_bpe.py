@@ -8,25 +8,25 @@ are the same whatever follows.
 
 **Transducer.** Text comes in chunks of any size. Special tokens are taken out of the raw text; what lies between is cut
 where no normalisation reaches across, normalised, and split into pre-tokens by the tokenizer file's own rules. A pre-token
-of any length goes through the merges in windows: its stable tokens leave, the others stay with the next symbols. What is
-held is a chunk and a window of twice the lookahead (and a run of combining marks, which cannot be normalised in parts).
+of any length goes through the merges in windows: its stable tokens leave, the others stay with the next symbols. (The
+library's model merges a window's symbols; that it takes its last one for the word's end is one of the possible
+continuations, none of which changes a stable token.) What is held is a chunk and a window of twice the lookahead (and a run of combining marks, which cannot be normalised in parts).
 
 **Decoder.** Ids come in chunks; their bytes run through a UTF-8 state machine that keeps at most three bytes of an unfinished
 character and yields text.
 
-White space leaves the transducer's state empty, so a task encodes each different white-space separated word once and
-remembers a bounded number of short ones. Null texts are empty and have no ids. Repeated rows and null ids are kept.
+White space leaves the transducer's state empty, so a task encodes each different white-space separated word once, short
+ones together, and remembers a bounded number of them. Null texts are empty and have no ids. Repeated rows and null ids are kept.
 """
 
 from __future__ import annotations
 
 import codecs
-import heapq
 import json
 import re
 import unicodedata
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,12 +39,11 @@ from fillwise.llm.packing import byte_letters
 #: Characters fed to the transducer at once.
 CHUNK = 4_096
 #: Characters of a word, or of a pre-token, up to which its ids are remembered, and how many are.
-SHORT, REMEMBERED = 48, 300_000
+SHORT, REMEMBERED = 48, 150_000
+#: Words that go through the file's rules together.
+TOGETHER = 2_000
 #: Bytes of text a task takes at once, and ids it decodes at once.
 BLOCK, IDS = 2 << 20, 1 << 16
-#: Symbols from which merging uses a heap.
-MANY = 48
-NONE = 1 << 30
 
 
 # --- the merge list -------------------------------------------------------------------------------------------------
@@ -85,52 +84,11 @@ class Rules:
         self.end: str = model["end_of_word_suffix"] or ""
         vocabulary: dict[str, int] = model["vocab"]
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        self.ranks = {(vocabulary[x], vocabulary[y]): k for k, (x, y) in enumerate(merges)}
-        self.made = [vocabulary[x + y] for x, y in merges]
-        letters = byte_letters()
-        self.inner = {c: vocabulary[c] for c in letters}
-        self.last = {c: vocabulary[c + self.end] for c in letters}
         self.length = {v: len(t.removesuffix(self.end) or t) for t, v in vocabulary.items()}
         self.lookahead = lookahead(merges, lambda t: len(t.removesuffix(self.end) or t))
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.strings = {v: t for t, v in {**vocabulary, **self.special}.items()}
 
-    def merge(self, ids: list[int]) -> list[int]:
-        """Tokens of symbols: the pair of lowest rank, leftmost among equals, is merged until none is left."""
-        if len(ids) > MANY:
-            return self._merge_many(ids)
-        rank, made = self.ranks.get, self.made
-        row = [rank(p, NONE) for p in zip(ids, ids[1:])]
-        while row and (best := min(row)) < NONE:
-            i = row.index(best)
-            ids[i:i + 2] = [made[best]]
-            del row[i]
-            if i < len(row):
-                row[i] = rank((ids[i], ids[i + 1]), NONE)
-            if i:
-                row[i - 1] = rank((ids[i - 1], ids[i]), NONE)
-        return ids
-
-    def _merge_many(self, ids: list[int]) -> list[int]:
-        ids, n = list(ids), len(ids)
-        before, behind = list(range(-1, n - 1)), list(range(1, n + 1))
-        heap = [(r, i) for i, p in enumerate(zip(ids, ids[1:])) if (r := self.ranks.get(p)) is not None]
-        heapq.heapify(heap)
-        while heap:
-            r, i = heapq.heappop(heap)
-            j = behind[i]
-            if ids[i] < 0 or j >= n or self.ranks.get((ids[i], ids[j])) != r:
-                continue                               # one of the two was merged meanwhile
-            ids[i], ids[j] = self.made[r], -1
-            behind[i] = k = behind[j]
-            if k < n:
-                before[k] = i
-                if (s := self.ranks.get((ids[i], ids[k]))) is not None:
-                    heapq.heappush(heap, (s, i))
-            if (h := before[i]) >= 0 and (s := self.ranks.get((ids[h], ids[i]))) is not None:
-                heapq.heappush(heap, (s, h))
-        return [t for t in ids if t >= 0]
-
 
 # --- text to ids ----------------------------------------------------------------------------------------------------
 
@@ -144,35 +102,33 @@ def starts_afresh(c: str) -> bool:
 
 
 class PreToken:
-    """The merges of one pre-token whose symbols come bit by bit; tokens leave once they are stable."""
+    """The tokens of one pre-token whose symbols come bit by bit; they leave once they are stable.
 
-    def __init__(self, rules: Rules):
-        self.rules = rules
-        self.held: list[int] = []
+    ``merge``: the tokens of a whole window of symbols, by the library's merges.
+    """
+
+    def __init__(self, rules: Rules, merge: Callable[[str], list[int]]):
+        self.rules, self.merge = rules, merge
+        self.held = ""
 
     def feed(self, symbols: str) -> list[int]:
         """More symbols, which the pre-token need not end with."""
-        self.held += map(self.rules.inner.__getitem__, symbols)
-        return self._stable() if len(self.held) > 2 * self.rules.lookahead + 1 else []
-
-    def _stable(self) -> list[int]:
+        self.held += symbols
         # The last symbol may turn out to end the word, so it is not known yet.
         known, at = len(self.held) - 1 - self.rules.lookahead, 0
         out: list[int] = []
-        for t in self.rules.merge(list(self.held)):
-            if at + self.rules.length[t] > known:
-                break
-            at += self.rules.length[t]
-            out.append(t)
-        del self.held[:at]
+        if known > self.rules.lookahead:
+            for t in self.merge(self.held):
+                if at + self.rules.length[t] > known:
+                    break
+                at += self.rules.length[t]
+                out.append(t)
+            self.held = self.held[at:]
         return out
 
     def finish(self) -> list[int]:
-        ids, self.held = self.held, []
-        if ids:
-            symbol = self.rules.strings[ids[-1]]
-            ids[-1] = self.rules.last[symbol]
-        return self.rules.merge(ids)
+        held, self.held = self.held, ""
+        return self.merge(held) if held else []
 
 
 class Transducer:
@@ -183,6 +139,8 @@ class Transducer:
         tokenizer = Tokenizer.from_file(path)
         self.normalise = tokenizer.normalizer.normalize_str
         self.split = tokenizer.pre_tokenizer.pre_tokenize_str
+        model = tokenizer.model
+        self.merge = lambda symbols: [t.id for t in model.tokenize(symbols)]
         self.special = re.compile("|".join(map(re.escape, sorted(rules.special, key=len, reverse=True))) or r"(?!)")
         self.raw = ""                         # not normalised yet
         self.text = ""                        # normalised, not split yet
@@ -220,6 +178,23 @@ class Transducer:
             return self._segment(text, True) if len(text) <= CHUNK else self._chunks(text)
         return self._chunks(text)
 
+    def many(self, words: list[str]) -> list[list[int]]:
+        """Ids of different short words, each a text of its own, with one call of the file's rules for all.
+
+        Words without inner white space come back from one text as they are, as no rule reaches across a space.
+        """
+        joined = " ".join(words)
+        text = self.normalise(joined)
+        if joined.split() != words or text.count(" ") != len(words) - 1 or self.special.search(joined):
+            return [self.whole(w) for w in words]
+        pieces = self.split(text)
+        spaces = np.flatnonzero(np.frombuffer(text.encode("utf-32-le"), np.uint32) == 32)
+        of = np.searchsorted(spaces, np.fromiter((span[0] for _, span in pieces), np.int64, len(pieces))).tolist()
+        out: list[list[int]] = [[] for _ in words]
+        for (symbols, _), k in zip(pieces, of):
+            out[k] += self._piece(symbols)
+        return out
+
     def _chunks(self, text: str) -> list[int]:
         out = []
         for i in range(0, len(text), CHUNK):
@@ -259,7 +234,7 @@ class Transducer:
                     self.like = "a" if len(self.split("a" + text[b - 1])) == 1 else "!"
                     for p, _ in pieces:
                         out += self._piece(p)
-                    self.run, self.text = PreToken(self.rules), ""
+                    self.run, self.text = PreToken(self.rules, self.merge), ""
                     return out + self.run.feed(symbols)
         else:
             self.text = ""
@@ -276,13 +251,12 @@ class Transducer:
         ids = self.known.get(symbols)
         if ids is None:
             if len(symbols) <= SHORT:
-                inner = self.rules.inner
-                ids = self.rules.merge([*(inner[c] for c in symbols[:-1]), self.rules.last[symbols[-1]]])
+                ids = self.merge(symbols)
                 if len(self.known) >= REMEMBERED:
                     self.known.clear()
                 self.known[symbols] = ids
             else:
-                token = PreToken(self.rules)
+                token = PreToken(self.rules, self.merge)
                 ids = []
                 for i in range(0, len(symbols), CHUNK):
                     ids += token.feed(symbols[i:i + CHUNK])
@@ -366,17 +340,27 @@ class WordIds:
     def __init__(self, transducer: Transducer):
         self.transducer = transducer
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}          # what was known before the last start anew
 
     def of(self, words: list[str]) -> list[bytes]:
         if len(self.known) > REMEMBERED:
-            self.known.clear()
+            self.before, self.known = self.known, {}
         known, out = self.known, list(map(self.known.get, words))
+        new = []
         for k, ids in enumerate(out):
             if ids is None:
                 word = words[k]
-                out[k] = ids = array("I", self.transducer.whole(word)).tobytes() if word else b""
-                if len(word) <= SHORT:
-                    known[word] = ids
+                ids = self.before.get(word)
+                if ids is not None:
+                    out[k] = known[word] = ids
+                elif 0 < len(word) <= SHORT:
+                    new.append(k)
+                else:
+                    out[k] = array("I", self.transducer.whole(word)).tobytes()
+        for i in range(0, len(new), TOGETHER):
+            some = new[i:i + TOGETHER]
+            for k, ids in zip(some, self.transducer.many([words[k] for k in some])):
+                out[k] = known[words[k]] = array("I", ids).tobytes()
         return out
 
 
@@ -385,8 +369,13 @@ def encode_texts(texts: pa.Array, words: WordIds) -> list[bytes]:
     split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
     coded = split.flatten().dictionary_encode()
     table = words.of(coded.dictionary.to_pylist())
-    index, cuts = coded.indices.to_pylist(), (split.offsets.to_numpy() - split.offsets[0].as_py()).tolist()
-    return [b"".join([table[k] for k in index[a:b]]) for a, b in zip(cuts, cuts[1:])]
+    flat, size = np.frombuffer(b"".join(table), "<u4"), np.fromiter(map(len, table), np.int64, len(table)) // 4
+    word = coded.indices.to_numpy()
+    taken, begin = size[word], (np.cumsum(size) - size)[word]
+    ends = np.concatenate([[0], np.cumsum(taken)])
+    data = flat[np.repeat(begin - ends[:-1], taken) + np.arange(ends[-1])].tobytes()
+    cuts = (4 * ends[split.offsets.to_numpy() - split.offsets[0].as_py()]).tolist()
+    return [data[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:

@@ -59,7 +59,7 @@ def test_any_chunks_give_the_same_ids(monkeypatch, library, size):
 def test_a_long_pre_token_is_held_in_a_window_only(library):
     rules = B.Rules(PATH)
     text = "".join(random.Random(8).choices("theanirongstlydc", k=60_000))
-    token, ids, most = B.PreToken(rules), [], 0
+    token, ids, most = B.PreToken(rules, B.Transducer(rules, PATH).merge), [], 0
     for i in range(0, len(text), 100):
         ids += token.feed(text[i:i + 100])
         most = max(most, len(token.held))
@@ -113,13 +113,6 @@ def test_lookahead_of_a_chain():
         B.lookahead([("a", "b"), ("ab", "c"), ("b", "c"), ("a", "bc")], len)
 
 
-def test_merging_with_and_without_a_heap():
-    rules, rnd = B.Rules(PATH), random.Random(2)
-    for _ in range(200):
-        ids = [rules.inner[c] for c in rnd.choices("theanirong", k=rnd.randint(1, 48))]
-        assert rules.merge(list(ids)) == rules._merge_many(ids)
-
-
 def test_surface_decoding_gives_words_back_whatever_the_chunks():
     rules = B.Rules(PATH)
     transducer, decoder = B.Transducer(rules, PATH), B.Decoder(rules, surface=True)
