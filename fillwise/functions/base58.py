@@ -131,3 +131,15 @@ def base58_decode(s: pd.Series) -> pd.Series:
 def base58_encode(b: pd.Series) -> pd.Series:
     """Base58 text from BINARY (used to land fixtures in the wire encoding)."""
     return pd.Series(by_length(_values(b), b58encode, _encode_many), index=b.index, dtype=object)
+
+
+@F.pandas_udf(T.ArrayType(T.BinaryType()))
+def base58_decode_all(s: pd.Series) -> pd.Series:
+    """``base58_decode`` of every text of an array; the texts of all rows are decoded together."""
+    lists = [[] if v is None else list(v) for v in s.tolist()]
+    flat = by_length([t for texts in lists for t in texts], b58decode, _decode_many)
+    out, at = [], 0
+    for v, texts in zip(s.tolist(), lists):
+        out.append(None if v is None else flat[at:at + len(texts)])
+        at += len(texts)
+    return pd.Series(out, index=s.index, dtype=object)

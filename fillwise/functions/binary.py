@@ -49,8 +49,9 @@ def le_hex(data: Column, offset, width: int) -> Column:
 def u_le(data: Column, offset, width: int) -> Column:
     """Unsigned little-endian integer of ``width`` bytes as DECIMAL(38,0).
 
-    Widths 1–8 are exact via ``conv``; 9–16 combine two halves and give NULL
-    when the value exceeds DECIMAL(38,0).  Use ``u_le_hex`` for u256.
+    Widths 1–8 are exact via ``conv``; 9–16 combine two halves.  A value of
+    39 digits is no DECIMAL(38,0) and gives NULL: ``u_le_text`` has every value
+    of every width, and ``u_le_too_wide`` tells NULL for that reason apart.
     """
     if width <= 8:
         return F.conv(le_hex(data, offset, width), 16, 10).cast("decimal(38,0)")
@@ -58,7 +59,43 @@ def u_le(data: Column, offset, width: int) -> Column:
         lo = F.conv(le_hex(data, offset, 8), 16, 10).cast("decimal(38,0)")
         hi = F.conv(le_hex(data, _c(offset) + 8, width - 8), 16, 10).cast("decimal(38,0)")
         return F.try_add(F.try_multiply(hi, F.lit("18446744073709551616").cast("decimal(38,0)")), lo)
-    raise ValueError("widths above 16 bytes: use u_le_hex")
+    raise ValueError("widths above 16 bytes: use u_le_text")
+
+
+LIMB = 9                                  # decimal digits a limb holds
+
+
+def u_le_text(data: Column, offset, width: int) -> Column:
+    """Unsigned little-endian integer of any width as exact decimal text (u128, u256).
+
+    The number is read 32 bits at a time from the most significant end into
+    decimal limbs: each step multiplies all limbs by 2^32 and adds the next 32
+    bits.  Every product stays below 2^62, so only BIGINT arithmetic is used.
+    """
+    words = -(-width // 4)
+    limbs = -(-len(str(256 ** width - 1)) // LIMB)
+    hex_ = F.lpad(le_hex(data, offset, width), 8 * words, "0")
+    big = F.lit(10 ** LIMB).cast("bigint")
+
+    def step(acc: Column, word: Column) -> Column:
+        # acc: limbs, least significant first.  The carry runs through them.
+        first = F.struct(word.alias("carry"), F.array().cast("array<bigint>").alias("out"))
+
+        def push(state: Column, limb: Column) -> Column:
+            t = limb * F.lit(1 << 32) + state["carry"]
+            return F.struct(F.call_function("div", t, big).alias("carry"), F.concat(state["out"], F.array(t % big)).alias("out"))
+
+        return F.aggregate(acc, first, push)["out"]
+
+    digits = F.transform(F.sequence(F.lit(0), F.lit(words - 1)), lambda i: F.conv(F.substr(hex_, i * 8 + 1, F.lit(8)), 16, 10).cast("bigint"))
+    done = F.aggregate(digits, F.array_repeat(F.lit(0).cast("bigint"), limbs), step)
+    text = F.array_join(F.transform(F.reverse(done), lambda x: F.lpad(x.cast("string"), LIMB, "0")), "")
+    return F.when(has_bytes(data, offset, width), F.coalesce(F.nullif(F.regexp_replace(text, "^0+", ""), F.lit("")), F.lit("0")))
+
+
+def u_le_too_wide(data: Column, offset, width: int) -> Column:
+    """Whether the field is there but has more than 38 digits."""
+    return has_bytes(data, offset, width) & (F.length(u_le_text(data, offset, width)) > 38)
 
 
 def u_le_hex(data: Column, offset, width: int) -> Column:

@@ -85,3 +85,8 @@ def check_limit(value: int, default: int, maximum: int) -> int:
     if not 1 <= value <= maximum:
         raise ValueError(f"limit must be within 1..{maximum}, got {value}")
     return value
+
+
+def mask_keys(text: Column) -> Column:
+    """``text`` with the value of every API key replaced by ``***``."""
+    return F.regexp_replace(text, r"(?i)api[-_]?key=[\w-]+", "api-key=***")

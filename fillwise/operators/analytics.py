@@ -10,13 +10,14 @@ TakeOrderedAndProject — a per-partition top-k heap, never a global sort.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fillwise.functions.core import (check_limit, is_created, is_fulfilled, money_avg, money_sum,
+from fillwise.functions.core import (MONEY, check_limit, is_created, is_fulfilled, money_sum,
                                      non_blank, period_hours, since_days, since_hours)
 from fillwise.operators.sequence import keyed_scan
 from fillwise.schema import chains_df
+from fillwise.session import checkpoint_dir
 
 
 def _created_fulfilled_measures(created_vol: str = "give_amount_usd",
@@ -109,16 +110,17 @@ def chain_breakdown(ev: DataFrame, spark: SparkSession) -> DataFrame:
             .select("side", "chain_id", "chain_name", "order_count", "volume_usd", "share_pct"))
 
 
-def exact_median(df: DataFrame, column: str) -> DataFrame:
+def exact_median(df: DataFrame, column: str, n: str | None = None) -> DataFrame:
     """One row ``median``: the exact median of ``column``, NULL without values.
 
-    Values are counted, the distinct values ordered by range partitions, and
-    the running count picks the one or two in the middle; no task holds all
-    distinct values.
+    ``n`` names a column that says how often each row's value occurs, each
+    value in one row; without it the values are counted first.  The distinct
+    values are ordered by range partitions, and the running count picks the
+    one or two in the middle; no task holds them all.
     """
-    counts = (df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value"))
-              .agg(F.count(F.lit(1)).alias("n")).withColumn("k", F.lit(0)))
-    scan = keyed_scan(counts, "k", ["value"], sums=["n"])
+    counts = df.where(F.col(column).isNotNull()).withColumnRenamed(column, "value")
+    counts = counts.select("value", F.col(n).alias("n")) if n else counts.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    scan = keyed_scan(counts.withColumn("k", F.lit(0)), "k", ["value"], sums=["n"])
     upto, total = F.col("_cum_n"), F.max("_cum_n")
     size = scan.agg(total.alias("total"))
     middle = (scan.crossJoin(F.broadcast(size))                                   # one row
@@ -126,18 +128,29 @@ def exact_median(df: DataFrame, column: str) -> DataFrame:
     return middle.agg(((F.min("value") + F.max("value")) / 2).alias("median"))
 
 
-def period_stats(ev: DataFrame, period: str = "24h", as_of: str | None = None) -> DataFrame:
-    """Counts, volume, fill rate and order size (mean, median) over a period."""
-    hours = period_hours(period)
-    sized = is_created() & (F.col("give_amount_usd") > 0)
-    size = F.when(sized, F.col("give_amount_usd"))
-    rows = since_hours(ev, hours, as_of)
-    agg = rows.agg(
-        F.count_if(is_created()).alias("total_created"),
-        F.count_if(is_fulfilled()).alias("total_fulfilled"),
-        F.coalesce(money_sum(F.when(is_created(), F.col("give_amount_usd"))), F.lit(0.0)).alias("total_volume_usd"),
-        F.coalesce(money_avg(size), F.lit(0.0)).alias("avg_order_size"),
-    ).crossJoin(exact_median(rows.where(sized), "give_amount_usd").select(       # one row each
+def size_counts(ev: DataFrame, *by: Column) -> DataFrame:
+    """How often each order size occurs per event type (and ``by``).
+
+    Counts of disjoint rows merge by adding ``n``, and counts, sums, means and
+    medians of the size all follow from them exactly.
+    """
+    usd = F.when(is_created(), F.col("give_amount_usd"))
+    return ev.groupBy(*by, "event_type", usd.alias("usd")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def period_from_counts(counts: DataFrame, period: str) -> DataFrame:
+    """A6 from size counts (rows ``event_type, usd, n``) of one period."""
+    checkpoint_dir(counts.sparkSession)
+    # Added up once and written down: the measures and the median read it, not what lies behind.
+    counts = counts.groupBy("event_type", "usd").agg(F.sum("n").alias("n")).checkpoint(eager=True)
+    of = lambda kind: F.coalesce(F.sum(F.when(kind, F.col("n"))), F.lit(0))
+    money = F.col("usd").cast(MONEY) * F.col("n").cast("decimal(18,0)")
+    sized = is_created() & (F.col("usd") > 0)
+    agg = counts.agg(
+        of(is_created()).alias("total_created"), of(is_fulfilled()).alias("total_fulfilled"),
+        F.coalesce(F.sum(money).cast("double"), F.lit(0.0)).alias("total_volume_usd"),
+        F.coalesce(F.round(F.try_divide(F.sum(F.when(sized, money)).cast("double"), of(sized)), 4), F.lit(0.0)).alias("avg_order_size"),
+    ).crossJoin(exact_median(counts.where(sized), "usd", "n").select(            # one row each
         F.coalesce(F.round("median", 4), F.lit(0.0)).alias("median_order_size")))
     return agg.select(
         F.lit(period).alias("period"), "total_created", "total_fulfilled", "total_volume_usd",
@@ -147,6 +160,11 @@ def period_stats(ev: DataFrame, period: str = "24h", as_of: str | None = None) -
         "avg_order_size", "median_order_size")
 
 
+def period_stats(ev: DataFrame, period: str = "24h", as_of: str | None = None) -> DataFrame:
+    """Counts, volume, fill rate and order size (mean, median) over a period; ``ev`` is read once."""
+    return period_from_counts(size_counts(since_hours(ev, period_hours(period), as_of)), period)
+
+
 def top_makers(ev: DataFrame, limit: int = 10) -> DataFrame:
     """Makers of created orders, by USD volume."""
     limit = check_limit(limit, 10, 50)

@@ -12,12 +12,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fillwise.functions.base58 import base58_decode
+from fillwise.functions.base58 import base58_decode, base58_decode_all
 from fillwise.functions.binary import bytes_at, hex_at, le_bytes_hex, u_le, u_le_long
 from fillwise.functions.core import epoch_ntz
 from fillwise.schema import (CHAINS, CREATE_ORDER_DISCRIMINATOR_HEX, DESTINATION_PROGRAM_ID,
                              MIN_SOL_TRANSFER_LAMPORTS, NATIVE_SOL_MINT, SOLANA_CHAIN_ID, SOURCE_PROGRAM_ID,
                              STABLECOIN_SYMBOLS, tokens_df)
+from fillwise.sources.rawtx import CORRUPT
 
 PROGRAM_DATA = "Program data:"
 ORDER_ID_PATTERN = r"(?i)order[_\s]?id[:\s]+([a-f0-9]{64})"
@@ -33,6 +34,11 @@ def ok_transactions(raw: DataFrame) -> DataFrame:
     return raw.where(F.col("meta").isNotNull() & F.col("meta.err").isNull())
 
 
+def is_well_formed() -> Column:
+    """Whether a document has a message; one without it cannot be parsed (A15 ``failed``)."""
+    return F.col("transaction.message").isNotNull()
+
+
 def program_data_payloads(logs: Column) -> Column:
     """Decoded ``Program data:`` payloads in log order (malformed base64 → NULL, kept in place)."""
     data_logs = F.filter(logs, lambda l: l.startswith(PROGRAM_DATA))
@@ -133,10 +139,11 @@ def tx_features(raw: DataFrame, logs_kept: bool = False) -> DataFrame:
     """
     logs = F.coalesce(F.col("meta.logMessages"), F.array().cast("array<string>"))
     tx = F.struct(F.col("transaction"), F.col("meta"))
+    carried = [c for c in ("ingest_time", CORRUPT) if c in raw.columns]
     staged = raw.select(
         "signature", "slot", "blockTime",
         (F.col("meta").isNotNull() & F.col("meta.err").isNull()).alias("tx_ok"),
-        F.col("transaction.message").isNotNull().alias("well_formed"),
+        is_well_formed().alias("well_formed"), *carried,
         logs.alias("_logs"),
         program_data_payloads(logs).alias("_payloads"),
         first_signer(F.col("transaction.message.accountKeys")).alias("signer"),
@@ -144,7 +151,7 @@ def tx_features(raw: DataFrame, logs_kept: bool = False) -> DataFrame:
         all_instructions(tx).alias("ixs"),
     )
     return staged.select(
-        "signature", "slot", "blockTime", "tx_ok", "well_formed",
+        "signature", "slot", "blockTime", "tx_ok", "well_formed", *carried,
         order_id_from_logs(F.col("_logs"), F.col("_payloads")).alias("order_id"),
         dest_chain_from_logs(F.col("_logs"), F.col("_payloads")).alias("dest_chain"),
         "signer", "transfer", "ixs", *(["_logs"] if logs_kept else []),
@@ -193,6 +200,13 @@ def instruction_bytes(data: Column, encoding: str = "base58") -> Column:
     return F.try_to_binary(data, F.lit("hex"))
 
 
+def all_instruction_bytes(data: Column, encoding: str = "base58") -> Column:
+    """D9 on an array of instruction ``data`` texts."""
+    if encoding == "base58":
+        return base58_decode_all(data)
+    return F.transform(data, lambda d: instruction_bytes(d, encoding))
+
+
 def is_create(b: Column) -> Column:
     """D1 gate: ≥ 16 bytes and the create-order discriminator."""
     return (F.octet_length(b) >= 16) & (F.upper(F.hex(F.substring(b, 1, 8))) == CREATE_ORDER_DISCRIMINATOR_HEX)
@@ -272,12 +286,13 @@ EVENT_OUT = ["order_id", "event_type", "signature", "slot", "block_time", "maker
 def decoded_instructions(raw: DataFrame, encoding: str = "base58", logs_kept: bool = False) -> DataFrame:
     """One row per program instruction of a successful transaction, with its bytes and tx facts.
 
-    Documents without an instruction of either program are dropped before
+    A document without a message cannot be parsed, so its inner instructions
+    don't count either (A15 ``failed``).  Documents without an instruction of either program are dropped before
     any log or balance is looked at.
     """
     ours = F.exists(all_instructions(F.struct(F.col("transaction"), F.col("meta"))),
                     lambda i: i["programId"].isin(SOURCE_PROGRAM_ID, DESTINATION_PROGRAM_ID) & i["data"].isNotNull())
-    feats = tx_features(ok_transactions(raw).where(ours), logs_kept)
+    feats = tx_features(ok_transactions(raw).where(is_well_formed() & ours), logs_kept)
     ix = feats.select("*", F.posexplode("ixs").alias("ix_pos", "ix")).drop("ixs")
     ix = ix.where(F.col("ix.programId").isin(SOURCE_PROGRAM_ID, DESTINATION_PROGRAM_ID)
                   & F.col("ix.data").isNotNull())
@@ -285,7 +300,12 @@ def decoded_instructions(raw: DataFrame, encoding: str = "base58", logs_kept: bo
 
 
 def decode_events(spark: SparkSession, raw: DataFrame, encoding: str = "base58") -> DataFrame:
-    """Raw documents → order events (created from the source program, fulfilled from the destination)."""
+    """Raw documents → order events (created from the source program, fulfilled from the destination).
+
+    Documents with an ``ingest_time`` (when their file was landed) give it to
+    events without a block time, and as ``created_at`` and version, so that a
+    replay decodes the same rows; without it the present time is taken.
+    """
     ix = decoded_instructions(raw, encoding)
     src = F.col("ix.programId") == SOURCE_PROGRAM_ID
     kind = (F.when(src & is_create(F.col("bytes")), F.lit("created"))
@@ -305,11 +325,14 @@ def decode_events(spark: SparkSession, raw: DataFrame, encoding: str = "base58")
     solana = F.lit(SOLANA_CHAIN_ID).cast("bigint")
     null_s, null_d, null_a = (F.lit(None).cast("string"), F.lit(None).cast("double"),
                               F.lit(None).cast("decimal(38,0)"))
+    # Documents may carry the time they were landed, which a replay finds again; otherwise it is now.
+    landed = "ingest_time" in raw.columns
+    ingest_time = (F.col("ingest_time") if landed else F.current_timestamp()).cast("timestamp_ntz")
     # blockTime is UTC epoch seconds; add it to the NTZ epoch (no session-zone conversion).
     block_time = F.timestamp_add("SECOND", F.col("blockTime"), epoch_ntz())
     return ev.select(
         "order_id", "event_type", "signature", "slot",
-        F.coalesce(block_time, F.current_timestamp().cast("timestamp_ntz")).alias("block_time"),
+        F.coalesce(block_time, ingest_time).alias("block_time"),
         F.when(created, F.col("signer")).alias("maker"),
         F.when(created, F.col("transfer.mint")).alias("give_token_address"),
         F.when(created, F.col("symbol")).alias("give_token_symbol"),
@@ -324,19 +347,30 @@ def decode_events(spark: SparkSession, raw: DataFrame, encoding: str = "base58")
         null_s.alias("receiver"),
         F.when(~created, F.col("signer")).alias("taker"),
         null_a.alias("fulfilled_amount"), null_d.alias("fulfilled_amount_usd"),
-        "ix_pos",
+        "ix_pos", *([ingest_time.alias("created_at"), F.unix_timestamp("ingest_time").alias("_version")] if landed else []),
     )
 
 
 def parse_outcomes(spark: SparkSession, raw: DataFrame, encoding: str = "base58") -> DataFrame:
-    """A15 per transaction: 'success' (≥1 event), 'no_events', or 'failed' (malformed document)."""
-    events = (decode_events(spark, raw, encoding).groupBy("signature", "slot")
-              .agg(F.count(F.lit(1)).alias("events")))
-    txs = raw.select("signature", "slot", F.col("transaction.message").isNotNull().alias("well_formed"))
-    j = txs.join(events, ["signature", "slot"], "left")
-    return j.select("signature", "slot", F.coalesce(F.col("events"), F.lit(0)).alias("events"),
-                    F.when(~F.col("well_formed"), "failed").when(F.col("events") > 0, "success")
-                     .otherwise("no_events").alias("outcome"))
+    """A15 per document: 'success' (≥1 event), 'no_events', or 'failed' (no message, or a line that is no document).
+
+    The events are counted inside the document, before anything is exploded:
+    nothing is shuffled.  ``raw`` may carry the lines of ``RAW_LINES``.
+    """
+    if CORRUPT not in raw.columns:
+        raw = raw.withColumn(CORRUPT, F.lit(None).cast("string"))
+    ours = lambda i: i["programId"].isin(SOURCE_PROGRAM_ID, DESTINATION_PROGRAM_ID) & i["data"].isNotNull()
+    d = tx_features(raw).withColumn("ixs", F.filter("ixs", ours))
+    d = d.withColumn("ix_bytes", all_instruction_bytes(F.transform("ixs", lambda i: i["data"]), encoding))
+    each = F.zip_with("ixs", "ix_bytes", lambda i, b: F.coalesce(
+        F.when(i["programId"] == SOURCE_PROGRAM_ID, is_create(b)).otherwise(is_fulfill(b)), F.lit(False)))
+    events = F.when(F.col("tx_ok") & F.col("order_id").isNotNull(), F.size(F.filter(each, lambda e: e))).otherwise(0).cast("bigint")
+    line = F.col(CORRUPT).isNull()                      # what a broken line gave before it broke off does not count
+    known = d.withColumn("well_formed", F.col("well_formed") & line).select(
+        F.when(line, F.col("signature")).alias("signature"), F.when(line, F.col("slot")).alias("slot"),
+        F.when(F.col("well_formed"), events).otherwise(0).cast("bigint").alias("events"), "well_formed")
+    return known.select("signature", "slot", "events", F.when(~F.col("well_formed"), "failed").when(F.col("events") > 0, "success")
+                        .otherwise("no_events").alias("outcome"))
 
 
 def parse_stats(outcomes: DataFrame) -> DataFrame:
@@ -407,7 +441,3 @@ def zip_tx_signature(sigs: DataFrame, raw: DataFrame) -> DataFrame:
     return j.agg(F.count(F.lit(1)).alias("requested"),
                  F.count_if(F.col("_fetched").isNotNull()).alias("fetched"),
                  F.count_if(F.col("_fetched").isNull()).alias("missing"))
-
-
-def bytes_field(b: Column, off: int, width: int) -> Column:
-    return bytes_at(b, off, width)

@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from fillwise.session import checkpoint_dir
 
 
-PIECE_ROWS = 2_000_000
+#: Estimated bytes of input for each range partition, and the most of them.
+PIECE_BYTES, MOST_PIECES = 256 << 20, 20_000
 
 
 def keyed_scan(df: DataFrame, key: str, order: Sequence[str], sums: Sequence[str] = (),
@@ -36,8 +37,9 @@ def keyed_scan(df: DataFrame, key: str, order: Sequence[str], sums: Sequence[str
     """Add ``_seq`` (1-based position within ``key``), ``_cum_<c>`` running sums and
     ``_cmax_<c>`` running maxima, ordered by ``order`` (must be a total order per key)."""
     spark = df.sparkSession
-    # AQE can't split a range partition, so pieces follow the row count.
-    n = num_partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // PIECE_ROWS))
+    # AQE can't split a range partition, so pieces follow the size that the optimiser expects; no job is run for it.
+    n = num_partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")),
+                              min(MOST_PIECES, -(-expected_bytes(df) // PIECE_BYTES)))
     order_cols = [F.col(c) for c in order]
     r = (df.repartitionByRange(n, F.col(key), *order_cols)
            .withColumn("_pid", F.spark_partition_id()))
@@ -78,6 +80,11 @@ def keyed_scan(df: DataFrame, key: str, order: Sequence[str], sums: Sequence[str
     return out.drop(*drop)
 
 
+def expected_bytes(df: DataFrame) -> int:
+    """The optimiser's size estimate of ``df``; nothing is run."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def _add_nullable(a: Column, b: Column) -> Column:
     """SQL running-sum semantics: NULL only while every value so far is NULL."""
     return F.when(a.isNull(), b).when(b.isNull(), a).otherwise(a + b)

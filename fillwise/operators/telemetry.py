@@ -8,7 +8,7 @@ the scan position (``_seq - N``) instead of per-key windows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fillwise.operators.sequence import keyed_scan
@@ -17,6 +17,7 @@ ORDER = ["ts", "request_id"]
 LAT = "decimal(28,6)"
 FAILURE_WINDOW_SECONDS = 60
 FAILURE_THRESHOLD = 5
+RESULTS = ("success", "failed", "no_events")
 
 
 def rolling_latency(log: DataFrame, n: int = 100) -> DataFrame:
@@ -90,19 +91,26 @@ def counter_rate(log: DataFrame, minutes: int = 1) -> DataFrame:
                     (F.col("requests") / F.lit(float(minutes))).alias("per_minute")))
 
 
-def endpoint_totals(log: DataFrame, threshold: int = FAILURE_THRESHOLD) -> DataFrame:
+def endpoint_totals(log: DataFrame, threshold: int = FAILURE_THRESHOLD, as_of: str | None = None,
+                    window_seconds: int = FAILURE_WINDOW_SECONDS) -> DataFrame:
     """Per endpoint requests, failures, latest failure run and healthy flag; plus an 'ALL' row.
 
-    ``healthy`` means the endpoint's latest failure run is below the breaker
-    threshold (the breaker would not be open).
+    An endpoint is unhealthy while its latest failure run reaches the breaker
+    threshold and its last failure lies within the failure window before
+    ``as_of`` (default: the log's last time).  An old run does not count.
     """
     per = log.groupBy("endpoint").agg(F.count(F.lit(1)).alias("requests"),
-                                      F.count_if(~F.col("ok")).alias("failures"))
-    last_run = (failure_runs(log).groupBy("endpoint")
-                .agg(F.max_by("failure_run", F.struct("ts", "request_id")).alias("last_failure_run")))
-    ep = (per.join(last_run, "endpoint", "left")
+                                      F.count_if(~F.col("ok")).alias("failures"), F.max("ts").alias("last_ts"))
+    # One row an endpoint from here on.
+    now = F.lit(as_of).cast(log.schema["ts"].dataType) if as_of else F.max("last_ts").over(Window.partitionBy())
+    last_run = (failure_runs(log, window_seconds).groupBy("endpoint")
+                .agg(F.max_by("failure_run", F.struct("ts", "request_id")).alias("last_failure_run"),
+                     F.max("ts").alias("last_failure")))
+    since = F.timestamp_diff("MICROSECOND", F.col("last_failure"), F.col("now"))
+    ep = (per.withColumn("now", now).join(last_run, "endpoint", "left")
           .withColumn("last_failure_run", F.coalesce(F.col("last_failure_run"), F.lit(0).cast("bigint")))
-          .withColumn("healthy", F.col("last_failure_run") < threshold))
+          .withColumn("healthy", (F.col("last_failure_run") < threshold) | (since > window_seconds * 1_000_000))
+          .drop("last_ts", "now", "last_failure"))
     total = ep.agg(F.lit("ALL").alias("endpoint"), F.sum("requests").alias("requests"),
                    F.sum("failures").alias("failures"), F.lit(None).cast("bigint").alias("last_failure_run"),
                    F.lit(None).cast("boolean").alias("healthy"),
@@ -110,31 +118,47 @@ def endpoint_totals(log: DataFrame, threshold: int = FAILURE_THRESHOLD) -> DataF
     return ep.withColumn("healthy_endpoints", F.lit(None).cast("bigint")).unionByName(total)
 
 
-def batch_outcomes(events: DataFrame, batch_rows: int = 500) -> DataFrame:
+def batch_outcomes(events: DataFrame, failed: DataFrame, batch_rows: int = 500) -> DataFrame:
     """Per collector (event type) and batch: processed, inserted, duplicates, errors, running totals.
 
     A row is inserted by the first batch that delivers its key; later
-    deliveries count as duplicates.  Running totals use the keyed scan.
+    deliveries count as duplicates.  ``failed``: (event_type, slot) of the
+    documents that could not be read; a batch may hold nothing else.  Running
+    totals use the keyed scan.
     """
-    b = events.withColumn("batch_id", F.floor(F.col("slot") / batch_rows).cast("bigint"))
+    batch = F.floor(F.col("slot") / batch_rows).cast("bigint")
+    b = events.withColumn("batch_id", batch)
+    errors = failed.groupBy("event_type", batch.alias("batch_id")).agg(F.count(F.lit(1)).alias("errors"))
     first = (b.groupBy("event_type", "signature").agg(F.min("batch_id").alias("batch_id"))
              .groupBy("event_type", "batch_id").agg(F.count(F.lit(1)).alias("inserted")))
     per = b.groupBy("event_type", "batch_id").agg(F.count(F.lit(1)).alias("processed"))
-    j = (per.join(first, ["event_type", "batch_id"], "left")
-         .withColumn("inserted", F.coalesce(F.col("inserted"), F.lit(0).cast("bigint")))
-         .withColumn("duplicates", F.col("processed") - F.col("inserted"))
-         .withColumn("errors", F.lit(0).cast("bigint")))
-    s = keyed_scan(j, "event_type", ["batch_id"], sums=["inserted", "duplicates", "processed"])
+    j = (per.join(first, ["event_type", "batch_id"], "left").join(errors, ["event_type", "batch_id"], "full")
+         .na.fill(0, ["processed", "inserted", "errors"])
+         .withColumn("duplicates", F.col("processed") - F.col("inserted")))
+    s = keyed_scan(j, "event_type", ["batch_id"], sums=["inserted", "duplicates", "processed", "errors"])
     return s.select("event_type", "batch_id", "processed", "inserted", "duplicates", "errors",
                     F.col("_cum_inserted").alias("total_inserted"),
                     F.col("_cum_duplicates").alias("total_duplicates"),
-                    F.col("_cum_processed").alias("total_processed"))
+                    F.col("_cum_processed").alias("total_processed"),
+                    F.col("_cum_errors").alias("total_errors"))
 
 
-def metrics_long(spark: SparkSession, ev: DataFrame, log: DataFrame, prefix: str = "orders") -> DataFrame:
-    """Exposition lines ``name{label="v"} value`` for orders and endpoint counters.
+def current_rps(log: DataFrame, as_of: str | None = None) -> DataFrame:
+    """W10 at one moment: requests of each endpoint in the second up to ``as_of`` (default: the log's last time).
 
-    Each block is a small aggregate; the blocks are stacked with ``unionByName``.
+    Endpoints without one have 0.
+    """
+    ts = log.schema["ts"].dataType
+    now = log.select(F.lit(as_of).cast(ts).alias("now")).limit(1) if as_of else log.agg(F.max("ts").alias("now"))
+    recent = (F.col("ts") <= F.col("now")) & (F.col("ts") > F.col("now") - F.expr("INTERVAL 1 SECOND"))
+    return (log.join(F.broadcast(now)).groupBy("endpoint").agg(F.count_if(recent).alias("current_rps")))   # one row beside each
+
+
+def metrics_long(spark: SparkSession, ev: DataFrame, log: DataFrame, outcomes: DataFrame, prefix: str = "orders") -> DataFrame:
+    """Exposition lines ``name{label="v"} value`` for orders, parse outcomes and endpoint counters.
+
+    ``outcomes``: one row a document (``parse_outcomes``).  Each block is a
+    small aggregate; the blocks are stacked with ``unionByName``.
     """
     def line(metric, mtype, label_key, label_val, value):
         labels = F.when(label_val.isNull(), F.lit("")).otherwise(
@@ -157,4 +181,8 @@ def metrics_long(spark: SparkSession, ev: DataFrame, log: DataFrame, prefix: str
            .agg(F.max_by("rolling_latency_ms", F.struct("ts", "request_id")).alias("v"))
            .select(*line(f"{prefix}_rpc_latency_ms", "gauge", "endpoint", F.col("endpoint"),
                          F.round(F.col("v")).cast("bigint"))))
-    return orders.unionByName(totals).unionByName(lat)
+    counts = outcomes.agg(*[F.count_if(F.col("outcome") == r).alias(r) for r in RESULTS])
+    parse = (counts.select(F.explode(F.array(*[F.struct(F.lit(r).alias("result"), F.col(r).alias("n")) for r in RESULTS])).alias("x"))
+             .select("x.*").select(*line(f"{prefix}_parse_total", "counter", "result", F.col("result"), F.col("n"))))
+    rps = current_rps(log).select(*line(f"{prefix}_rpc_current_rps", "gauge", "endpoint", F.col("endpoint"), F.col("current_rps")))
+    return orders.unionByName(parse).unionByName(totals).unionByName(rps).unionByName(lat)

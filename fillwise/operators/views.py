@@ -10,10 +10,12 @@ re-delivered event would be counted twice.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fillwise.functions.core import MONEY, is_created, is_fulfilled, non_blank
+from fillwise.functions.core import MONEY, is_created, is_fulfilled, non_blank, period_hours, since_hours
 from fillwise.operators import analytics as A
 
 
@@ -50,6 +52,21 @@ def read_token_view(partials: DataFrame) -> DataFrame:
                  F.coalesce(F.sum("volume").cast("double"), F.lit(0.0)).alias("volume_usd")))
 
 
+def size_partials(ev: DataFrame, batch_col: str = "batch_id") -> DataFrame:
+    """A6 partials: per batch and hour, how often each order size occurs per event type."""
+    return A.size_counts(ev, F.col(batch_col), F.date_trunc("hour", "block_time").cast("timestamp_ntz").alias("hour"))
+
+
+def read_period_view(partials: DataFrame, period: str, as_of: str) -> DataFrame:
+    """A6 read: period statistics, exact median included, from the partials alone.
+
+    ``as_of`` must be a whole hour, since the partials know no shorter time.
+    """
+    if dt.datetime.fromisoformat(as_of) != dt.datetime.fromisoformat(as_of).replace(minute=0, second=0, microsecond=0):
+        raise ValueError("as_of must be a whole hour")
+    return A.period_from_counts(since_hours(partials, period_hours(period), as_of, "hour"), period)
+
+
 def write_partials(partials: DataFrame, path: str) -> None:
     """Replace exactly the batches present in ``partials`` (idempotent on replay)."""
     (partials.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")

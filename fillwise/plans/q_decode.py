@@ -15,6 +15,7 @@ from fillwise.plans.catalog import register
 from fillwise.schema import EVM_TOKENS, NATIVE_SOL_MINT, SOLANA_TOKENS
 from fillwise.sources import rawtx as R
 from fillwise.sources import tpch
+from fillwise.streaming.ingest import scratch_dir
 
 _TOK_ROWS = ([(i, a, "solana", s, d, p) for i, (a, s, d, p) in enumerate(SOLANA_TOKENS)]
              + [(len(SOLANA_TOKENS) + i, a, "evm", s, d, p) for i, (a, s, d, p) in enumerate(EVM_TOKENS)])
@@ -217,6 +218,24 @@ def q_all_instructions(spark, sf):
     return raw.select("signature", F.size(ixs).alias("n_ix"), pos.cast("int").alias("program_pos"))
 
 
+_U128 = """(CASE WHEN o_orderkey % 5 = 0 THEN 340282366920938463463374607431768211455::UHUGEINT
+  ELSE o_orderkey::UHUGEINT * 18446744073709551616::UHUGEINT + (o_orderkey * 7919)::UHUGEINT END)"""
+_ALL_ONES = str(2 ** 256 - 1)
+
+
+@register("borsh_wide_numbers", f"""
+SELECT o_orderkey AS slot, CAST({_U128} AS VARCHAR) AS u128, length(CAST({_U128} AS VARCHAR)) > 38 AS too_wide,
+       CASE WHEN o_orderkey % 3 = 0 THEN '{_ALL_ONES}' ELSE CAST({_U128} AS VARCHAR) END AS u256 FROM orders""")
+def q_borsh_wide_numbers(spark, sf):
+    """u128 and u256 as exact decimal text up to 2^128-1 and 2^256-1."""
+    k = F.col("o_orderkey")
+    u128 = F.when(k % 5 == 0, F.lit("ff" * 16)).otherwise(F.concat(R.le_hex_of(k * 7919, 8), R.le_hex_of(k, 8)))
+    u256 = F.when(k % 3 == 0, F.lit("ff" * 32)).otherwise(F.concat(u128, F.lit("00" * 16)))
+    b = F.unhex(F.concat(u128, u256))
+    return tpch.read_table(spark, sf, "orders").select(k.alias("slot"), B.u_le_text(b, 0, 16).alias("u128"),
+                                                       B.u_le_too_wide(b, 0, 16).alias("too_wide"), B.u_le_text(b, 16, 32).alias("u256"))
+
+
 @register("borsh_wide", """
 SELECT o_orderkey AS slot, lpad(lower(to_hex(o_orderkey)), 64, '0') AS u256,
        substr(sha256(CAST(o_orderkey AS VARCHAR)), 1, 2 * (o_orderkey % 7)) AS vec FROM orders""")
@@ -241,14 +260,18 @@ def q_unknown_tokens(spark, sf):
 
 
 @register("parse_stats", """
-SELECT count(*) AS total, count_if(ok) AS success, count_if(NOT ok) AS no_events, CAST(0 AS BIGINT) AS failed,
-       round(count_if(ok) * 100.0 / count(*), 4) AS success_rate_pct,
-       round(count_if(ok) / (count_if(ok) + 0 + 0.001), 6) AS success_ratio
-FROM (SELECT o_orderstatus != 'P' AND o_orderkey % 17 != 0 AS ok FROM orders
-      UNION ALL SELECT l_linenumber != 7 FROM lineitem) t""")
+SELECT count(*) AS total, count_if(outcome = 'success') AS success, count_if(outcome = 'no_events') AS no_events,
+       count_if(outcome = 'failed') AS failed,
+       round(count_if(outcome = 'success') * 100.0 / count(*), 4) AS success_rate_pct,
+       round(count_if(outcome = 'success') / (count_if(outcome != 'no_events') + 0.001), 6) AS success_ratio
+FROM (SELECT CASE WHEN slot % 71 = 0 OR slot % 83 = 0 THEN 'failed' WHEN ok THEN 'success' ELSE 'no_events' END AS outcome
+      FROM (SELECT o_orderkey AS slot, o_orderstatus != 'P' AND o_orderkey % 17 != 0 AS ok FROM orders
+            UNION ALL SELECT l_orderkey, l_linenumber != 7 FROM lineitem) d) t""")
 def q_parse_stats(spark, sf):
-    """A15 + A19 over every landed document."""
-    return X.parse_stats(X.parse_outcomes(spark, _raw(spark, sf, "hex"), "hex"))
+    """A15 + A19 over every landed line; some documents have no message, some lines are broken off."""
+    root = scratch_dir(spark, "parsestats")
+    R.landed_lines(R.damaged(_raw(spark, sf))).select("value").write.text(root)
+    return X.parse_stats(X.parse_outcomes(spark, R.read_raw_transactions(spark, root)))
 
 
 @register("balance_deltas", f"""WITH {_TOK}, {_CREATED}, {_FULFILLED}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from fillwise.operators import analytics as A
 from fillwise.operators import dedup as D
 from fillwise.operators import ui as U
+from fillwise.operators.progress import progress_with_count
 from fillwise.plans.q_analytics import FIXTURE_AS_OF
 from fillwise.plans.catalog import load_ev, register
 from fillwise.plans.oracle import EV_RAW, with_ev
@@ -28,8 +29,7 @@ _STORED_CTE = f"stored AS (SELECT signature, event_type FROM ev_raw WHERE block_
 
 
 @register("new_events", with_ev("""
-SELECT * FROM ev WHERE NOT EXISTS (
-  SELECT 1 FROM stored s WHERE s.signature = ev.signature AND s.event_type = ev.event_type)""", _STORED_CTE))
+SELECT ev.* FROM ev ANTI JOIN (SELECT DISTINCT signature, event_type FROM stored) s USING (signature, event_type)""", _STORED_CTE))
 def q_new_events(spark, sf):
     return D.new_events(tpch.raw_order_events(spark, sf), _stored(spark, sf))
 
@@ -129,8 +129,8 @@ exact AS (SELECT CAST(user_id AS VARCHAR) AS program_id, event_type, count(*) AS
 SELECT p.program_id, p.event_type, p.last_signature, p.total_collected, coalesce(e.exact_count, 0) AS exact_count
 FROM platest p LEFT JOIN exact e ON p.program_id = e.program_id AND p.event_type = e.event_type""")
 def q_progress_with_count(spark, sf):
-    from fillwise.operators.progress import progress_with_count
-    return progress_with_count(spark, sf)
+    collected = tpch.read_table(spark, sf, "events").select(F.col("user_id").cast("string").alias("program_id"), "event_type")
+    return progress_with_count(D.latest_progress(tpch.progress_log(spark, sf).drop("seq")), collected)
 
 
 @register("lookup_in_list", with_ev("SELECT * FROM ev WHERE signature IN ('c-7', 'f-7-1', 'f-7-2', 'c-999999999')"))
@@ -246,8 +246,9 @@ def q_wire_events(spark, sf):
 
 @register("wire_roundtrip", with_ev("""
 SELECT order_id, event_type, signature, slot, block_time, maker, give_token_symbol,
-  CASE WHEN give_amount != 0 THEN give_amount END AS give_amount, give_amount_usd, give_chain_id, take_token_symbol,
-  CASE WHEN take_amount != 0 THEN take_amount END AS take_amount, take_amount_usd, take_chain_id, taker,
+  CASE WHEN give_amount != 0 THEN give_amount END AS give_amount, give_amount_usd,
+  CAST(give_chain_id AS DECIMAL(20,0)) AS give_chain_id, take_token_symbol,
+  CASE WHEN take_amount != 0 THEN take_amount END AS take_amount, take_amount_usd, CAST(take_chain_id AS DECIMAL(20,0)) AS take_chain_id, taker,
   CASE WHEN fulfilled_amount != 0 THEN fulfilled_amount END AS fulfilled_amount, fulfilled_amount_usd FROM ev"""))
 def q_wire_roundtrip(spark, sf):
     return IO.from_wire(IO.wire_json(load_ev(spark, sf)))

@@ -63,23 +63,28 @@ DEDUP_ORDER = (
     "take_amount", "receiver", "fulfilled_amount", "created_at",
 )
 
-COLLECTION_PROGRESS = T.StructType([
-    T.StructField("program_id", T.StringType(), False),
-    T.StructField("event_type", T.StringType(), False),
-    T.StructField("last_signature", T.StringType(), True),
-    T.StructField("total_collected", T.LongType(), False),
-    T.StructField("updated_at", T.TimestampType(), False),
-])
-
-# Stored progress: one row per program and ingest batch; the total is the sum of ``inserted``.
+# Stored progress: one row per program and ingest batch with its counts; the total runs over the batches.
 STORED_PROGRESS = T.StructType([
-    T.StructField(f.name, T.TimestampType() if f.name == "updated_at" else f.dataType, True)
-    for f in COLLECTION_PROGRESS.fields] + [
+    T.StructField("program_id", T.StringType(), True),
+    T.StructField("event_type", T.StringType(), True),
+    T.StructField("last_signature", T.StringType(), True),
+    T.StructField("total_collected", T.LongType(), True),
+    T.StructField("updated_at", T.TimestampType(), True),
     T.StructField("delivered", T.LongType(), True),
     T.StructField("inserted", T.LongType(), True),
+    T.StructField("errors", T.LongType(), True),
     T.StructField("batch_id", T.LongType(), True),
 ])
 
+# Documents and lines that collection could not read, as text, by ingest batch.
+QUARANTINE = T.StructType([
+    T.StructField("reason", T.StringType(), True),
+    T.StructField("signature", T.StringType(), True),
+    T.StructField("line", T.StringType(), True),
+    T.StructField("batch_id", T.LongType(), True),
+])
+
+
 # ---------------------------------------------------------------------------
 # raw transaction document (only the fields the decoder touches)
 # ---------------------------------------------------------------------------

@@ -9,12 +9,19 @@ from __future__ import annotations
 
 import os
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 # Settings applied only when the session does not carry them already.
 _DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
+    # Concurrent streams share the executors by pool instead of first come, first served.
+    "spark.scheduler.mode": "FAIR",
+    "spark.scheduler.allocation.file": Path(__file__).with_name("pools.xml").as_uri(),
+    # Keyed streaming state on local disk with change logs in the checkpoint, not in the heap.
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",

@@ -99,6 +99,16 @@ def stored_batch(spark: SparkSession, path: str, batch_id: int, schema=STORED_EV
     return spark.read.schema(schema).option("basePath", path).parquet(folder)
 
 
+def drop_batches(spark: SparkSession, path: str, before: int) -> None:
+    """Delete the folders ``batch_id=N`` of batches earlier than ``before``."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in fs.listStatus(p):
+        name = status.getPath().getName()
+        if name.startswith("batch_id=") and int(name.removeprefix("batch_id=")) < before:
+            fs.delete(status.getPath(), True)
+
+
 def table_rows(batch: DataFrame) -> DataFrame:
     """Normalised rows in the stored column types."""
     return with_month(normalise_events(batch)).select(
@@ -159,7 +169,8 @@ def dedup_insert(spark: SparkSession, batch: DataFrame, path: str, batch_id: int
     Rows of this batch land in ``batch_id=N`` (dynamic partition overwrite),
     so a replayed batch replaces its own earlier attempt; the anti join only
     looks at *earlier* batches for the same reason.  ``inserted`` is counted
-    from what was actually written.
+    from what was actually written.  The stored keys are read from the table
+    itself; ``streaming.ingest`` keeps them in a bucketed ``KeyStore`` instead.
     """
     total = batch.count()
     append_events(new_events(batch, stored_before(spark, path, batch_id, batch, immutable_time)), path, batch_id)
@@ -231,23 +242,27 @@ def progress_read(latest_progress: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def progress_write(spark: SparkSession, path: str, batch_id: int, program_id: str, event_type: str,
-                   last_signature: str | None, delivered: int, inserted: int) -> int:
+                   last_signature: str | None, delivered: int, inserted: int, errors: int = 0) -> int:
     """S6 write: this batch's checkpoint row; returns the running total.
 
-    The total is what earlier batches inserted plus this one, and the row
-    replaces an earlier attempt of the same batch: a replay counts once.
+    The total is the previous batch's total plus what this one inserted, and
+    the row replaces an earlier attempt of the same batch: a replay counts
+    once.  Only the previous batch's row is read; all earlier rows are summed
+    where that batch left none.
     """
-    before = (stored(spark, path, STORED_PROGRESS)
-              .where((F.col("batch_id") < batch_id) & (F.col("program_id") == program_id)
-                     & (F.col("event_type") == event_type))
-              .agg(F.coalesce(F.sum("inserted"), F.lit(0)).alias("n")).first()["n"])
+    mine = (F.col("program_id") == program_id) & (F.col("event_type") == event_type)
+    last = stored_batch(spark, path, batch_id - 1, STORED_PROGRESS).where(mine).select("total_collected").first()
+    if last is None and batch_id > 0:
+        last = (stored(spark, path, STORED_PROGRESS).where((F.col("batch_id") < batch_id) & mine)
+                .agg(F.sum("inserted")).first())
+    total = int((last[0] if last else 0) or 0) + inserted
     row = spark.createDataFrame(
-        [(program_id, event_type, last_signature, int(before) + inserted, delivered, inserted, batch_id)],
+        [(program_id, event_type, last_signature, total, delivered, inserted, errors, batch_id)],
         "program_id STRING, event_type STRING, last_signature STRING, total_collected BIGINT, "
-        "delivered BIGINT, inserted BIGINT, batch_id BIGINT").withColumn("updated_at", F.current_timestamp())
+        "delivered BIGINT, inserted BIGINT, errors BIGINT, batch_id BIGINT").withColumn("updated_at", F.current_timestamp())
     (row.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("batch_id").parquet(path))
-    return int(before) + inserted
+    return total
 
 
 def progress_totals(progress: DataFrame) -> DataFrame:
@@ -355,11 +370,11 @@ def wire_json(ev: DataFrame) -> DataFrame:
 
 
 def from_wire(wire: DataFrame, time_type: str = "timestamp_ntz") -> DataFrame:
-    """S12 inverse: parse the JSON text back to typed columns (bad values → NULL)."""
+    """S12 inverse: parse the JSON text back to typed columns (bad values → NULL; chain ids over the whole unsigned range)."""
     schema = ("order_id STRING, event_type STRING, signature STRING, slot BIGINT, block_time STRING, "
               "maker STRING, give_token_symbol STRING, give_amount STRING, give_amount_usd DOUBLE, "
-              "give_chain_id BIGINT, take_token_symbol STRING, take_amount STRING, take_amount_usd DOUBLE, "
-              "take_chain_id BIGINT, taker STRING, fulfilled_amount STRING, fulfilled_amount_usd DOUBLE")
+              "give_chain_id DECIMAL(20,0), take_token_symbol STRING, take_amount STRING, take_amount_usd DOUBLE, "
+              "take_chain_id DECIMAL(20,0), taker STRING, fulfilled_amount STRING, fulfilled_amount_usd DOUBLE")
     p = wire.select(F.from_json("json", schema).alias("w")).select("w.*")
     parse_time = F.to_timestamp_ntz if time_type == "timestamp_ntz" else F.to_timestamp
     return p.select(*[

@@ -221,3 +221,19 @@ def raw_transactions_from_tpch(spark: SparkSession, sf_dir: str, encoding: str =
     """Both transaction kinds, in the RAW_TX shape."""
     return created_transactions(spark, sf_dir, encoding).unionByName(
         fulfilled_transactions(spark, sf_dir, encoding))
+
+
+LOSE_EVERY, CUT_EVERY = 71, 83
+
+
+def damaged(raw: DataFrame, lose_every: int = LOSE_EVERY) -> DataFrame:
+    """``raw`` where the documents of every ``lose_every``-th slot lost their message, as a failed fetch leaves them."""
+    return raw.withColumn("transaction", F.when(F.col("slot") % lose_every != 0, F.col("transaction")))
+
+
+def landed_lines(raw: DataFrame, cut_every: int = CUT_EVERY) -> DataFrame:
+    """``raw`` as JSON lines (slot, value), those of every ``cut_every``-th slot broken off in the middle."""
+    line = F.to_json(F.struct(*RAW_TX.fieldNames()))
+    return (raw.select("slot", line.alias("value"))
+            .withColumn("value", F.when(F.col("slot") % cut_every == 0, F.substr("value", F.lit(1), F.floor(F.length("value") / 2).cast("int")))
+                        .otherwise(F.col("value"))))

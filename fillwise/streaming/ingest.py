@@ -2,11 +2,16 @@
 
 Landed documents (raw transactions or already-decoded events) are read by a
 file stream with a fixed schema.  Every micro-batch goes through
-``foreachBatch``: decode (raw only) → dedup insert into the event table
-(``sources.io.dedup_insert``, replay-safe per ``batch_id``) → partial view
-aggregates (ST6) → a checkpoint row in ``collection_progress``.  The stream's
-own offsets live in ``checkpointLocation``, so stop / restart resumes where
-it left off (ST9).
+``foreachBatch``: malformed lines and failed documents to the quarantine
+table, the others decoded (raw only) → dedup insert into the event table
+against the bucketed key store (``sources.keystore``) → partial view
+aggregates (ST6) → a checkpoint row in ``collection_progress``.  Each output
+is replaced when the batch is tried again.  The stream's own offsets live in
+``checkpointLocation``, so stop / restart resumes where it left off (ST9).
+
+A batch costs what it holds: the stored keys are not shuffled, the inserted
+rows are computed once and kept for all outputs, and the running total needs
+the previous batch's row only.
 
 Backfill arrives newest-first (ST14).  A file source does not care about
 arrival order, so there is no watermark on the ingest path: a 1-hour
@@ -24,10 +29,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fillwise.operators import views as V
-from fillwise.operators.decode import decode_events
-from fillwise.schema import EVENT_COLUMNS, EVENT_DOC, RAW_TX, STORED_PROGRESS
+from fillwise.operators.decode import decode_events, is_well_formed
+from fillwise.operators.dedup import latest
+from fillwise.schema import DEDUP_KEY, EVENT_COLUMNS, EVENT_DOC, QUARANTINE, STORED_PROGRESS
 from fillwise.session import checkpoint_dir
 from fillwise.sources import io as IO
+from fillwise.sources.keystore import KeyStore
+from fillwise.sources.rawtx import CORRUPT, RAW_LINES
+from fillwise.streaming.metrics import BatchMetrics, observed
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint folder (never a machine-local temp dir)."""
@@ -42,12 +51,17 @@ class IngestPaths:
     checkpoint: str
     daily_view: str
     token_view: str
+    size_view: str
+    keys: str
+    quarantine: str
+    metrics: str
 
     @classmethod
     def under(cls, root: str) -> "IngestPaths":
         return cls(table=f"{root}/order_events", progress=f"{root}/collection_progress",
                    checkpoint=f"{root}/_checkpoints/ingest", daily_view=f"{root}/mv_daily_partials",
-                   token_view=f"{root}/mv_token_partials")
+                   token_view=f"{root}/mv_token_partials", size_view=f"{root}/mv_size_partials", keys=f"{root}/event_keys",
+                   quarantine=f"{root}/quarantine", metrics=f"{root}/batch_metrics")
 
 
 @dataclass
@@ -61,42 +75,86 @@ class IngestReport:
     delivered: int = 0
     inserted: int = 0
     duplicates: int = 0
+    errors: int = 0
     total: int = 0
     last: dict = field(default_factory=dict)
+    metrics: BatchMetrics | None = None
 
     def add(self, batch_id: int, counts: dict, total: int) -> None:
         self.batches += 1
         self.delivered += counts["batch_rows"]
         self.inserted += counts["inserted"]
         self.duplicates += counts["duplicates"]
+        self.errors += counts["errors"]
         self.total = total
         self.last = {"batch_id": batch_id, **counts, "total": total}
 
 
+def unreadable(raw: DataFrame) -> DataFrame:
+    """Quarantine rows of raw documents: lines that are no document, and documents without a message.
+
+    ``raw``: rows of ``RAW_LINES``.
+    """
+    malformed = F.col(CORRUPT).isNotNull()
+    reason = F.when(malformed, "malformed").when(~is_well_formed(), "failed")
+    whole = F.to_json(F.struct(*[c for c in RAW_LINES.fieldNames() if c != CORRUPT]))
+    return (raw.withColumn("reason", reason).where(F.col("reason").isNotNull())
+            .select("reason", "signature", F.when(malformed, F.col(CORRUPT)).otherwise(whole).alias("line")))
+
+
+def write_quarantine(raw: DataFrame, path: str, batch_id: int) -> int:
+    """Store the unreadable rows of a batch, replacing an earlier attempt; returns how many there are."""
+    bad = unreadable(raw)
+    errors = bad.count()
+    if errors:
+        (bad.withColumn("batch_id", F.lit(int(batch_id)).cast("bigint")).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path))
+    return errors
+
+
 def _events_sink(spark: SparkSession, paths: IngestPaths, program_id: str, report: IngestReport,
                  decode: bool, encoding: str):
     def sink(batch: DataFrame, batch_id: int) -> None:
-        events = decode_events(spark, batch, encoding).drop("ix_pos") if decode else batch
-        events = events.select(*[c for c in EVENT_COLUMNS if c in events.columns]).persist()
+        raw, errors = None, 0
+        if decode:
+            raw = batch.persist()
+            errors = write_quarantine(raw, paths.quarantine, batch_id)
+            batch = decode_events(spark, raw.where(F.col(CORRUPT).isNull()), encoding).drop("ix_pos")
+        events = batch.select(*[c for c in EVENT_COLUMNS if c in batch.columns]).persist()
         try:
-            store_batch(spark, events, batch_id, paths, program_id, report)
+            store_batch(spark, events, batch_id, paths, program_id, report, errors)
         finally:
             events.unpersist()
+            if raw is not None:
+                raw.unpersist()
     return sink
 
 
 def store_batch(spark: SparkSession, events: DataFrame, batch_id: int, paths: IngestPaths, program_id: str,
-                report: IngestReport) -> None:
-    """Insert a batch, its view partials and its progress row; doing it again changes nothing."""
-    counts = IO.dedup_insert(spark, events, paths.table, batch_id)
-    inserted = IO.stored_batch(spark, paths.table, batch_id)
-    # ST6: partial view aggregates of exactly the rows this batch inserted.
-    V.write_partials(V.daily_partials(inserted), paths.daily_view)
-    V.write_partials(V.token_partials(inserted), paths.token_view)
-    last = (inserted.orderBy(F.desc("block_time"), F.desc("signature")).select("signature").limit(1)
-            .collect())
-    total = IO.progress_write(spark, paths.progress, batch_id, program_id, "all",
-                              last[0]["signature"] if last else None, counts["batch_rows"], counts["inserted"])
+                report: IngestReport, errors: int = 0) -> None:
+    """Insert a batch, its keys, view partials and progress row; doing it again changes nothing.
+
+    The rows to insert are computed once and kept; table, keys, partials and
+    counts come from them.  Keys are stored after the rows: a batch that
+    failed in between is tried again under its id and ignores its own keys.
+    """
+    keys = KeyStore(spark, paths.keys)
+    fresh = latest(events).join(keys.seen(events, batch_id), list(DEDUP_KEY), "left_anti")
+    rows = IO.table_rows(fresh).withColumn("batch_id", F.lit(int(batch_id)).cast("bigint")).persist()
+    try:
+        IO.write_batch(rows, paths.table, batch_id, "overwrite")
+        keys.add(rows, batch_id)
+        # ST6: partial view aggregates of exactly the rows this batch inserted.
+        V.write_partials(V.daily_partials(rows), paths.daily_view)
+        V.write_partials(V.token_partials(rows), paths.token_view)
+        V.write_partials(V.size_partials(rows), paths.size_view)
+        n = rows.agg(F.count(F.lit(1)).alias("inserted"),
+                     F.max_by("signature", F.struct("block_time", "signature")).alias("last")).first()
+    finally:
+        rows.unpersist()
+    delivered = events.count()
+    counts = {"batch_rows": delivered, "inserted": n["inserted"], "duplicates": delivered - n["inserted"], "errors": errors}
+    total = IO.progress_write(spark, paths.progress, batch_id, program_id, "all", n["last"], delivered, n["inserted"], errors)
     report.add(batch_id, counts, total)
 
 
@@ -106,23 +164,33 @@ def start_ingest(spark: SparkSession, source: str, paths: IngestPaths, *, raw: b
     """ST1: start the collection stream; returns ``(query, report)``.
 
     ``available_now`` processes what is landed and stops (backfill, ST8);
-    otherwise the query keeps polling every 2 seconds (live tail).
+    otherwise the query keeps polling every 2 seconds (live tail).  Raw
+    documents without a block time take their file's modification time, which
+    is the same when a batch is tried again.  What each batch delivered is
+    observed in the stream and stored by a listener (``streaming.metrics``).
     """
     report = report if report is not None else IngestReport()
-    schema = RAW_TX if raw else EVENT_DOC
-    reader = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
-              .option("mode", "PERMISSIVE"))
-    stream = reader.json(source)
-    writer = (stream.writeStream.foreachBatch(_events_sink(spark, paths, program_id, report, raw, encoding))
+    reader = spark.readStream.option("maxFilesPerTrigger", max_files_per_trigger).option("mode", "PERMISSIVE")
+    if raw:
+        stream = reader.schema(RAW_LINES).option("columnNameOfCorruptRecord", CORRUPT).json(source)
+        stream = stream.select("*", F.col("_metadata.file_modification_time").cast("timestamp_ntz").alias("ingest_time"))
+    else:
+        stream = reader.schema(EVENT_DOC).json(source)
+    report.metrics = BatchMetrics(spark, paths.metrics)
+    writer = (observed(stream, CORRUPT if raw else None).writeStream
+              .foreachBatch(_events_sink(spark, paths, program_id, report, raw, encoding))
               .option("checkpointLocation", paths.checkpoint))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="2 seconds")
-    return writer.start(), report
+    query = writer.start()
+    report.metrics.follow(query)
+    return query, report
 
 
 def run_ingest(spark: SparkSession, source: str, paths: IngestPaths, **kw) -> IngestReport:
     """ST1 backfill: ingest everything landed so far, then return the counters."""
     q, report = start_ingest(spark, source, paths, **kw)
     q.awaitTermination()
+    report.metrics.close()
     if q.exception() is not None:
         raise q.exception()
     return report
@@ -151,6 +219,7 @@ def collect_until_target(spark: SparkSession, source: str, paths: IngestPaths, t
             q.awaitTermination(1)
             if not q.status.get("isTriggerActive", False) and report.total >= target:
                 q.stop()
+        report.metrics.close()
         if q.exception() is not None:
             raise q.exception()
         if collected(spark, paths.progress) == before:
@@ -167,8 +236,10 @@ def two_streams(spark: SparkSession, sources: dict[str, str], root: str, paralle
                 **kw) -> dict[str, IngestReport]:
     """ST10: one collection stream per program (e.g. created / fulfilled), own checkpoints.
 
-    In parallel both queries run at once in the same session (a FAIR
-    scheduler pool each); in sequence the second starts after the first ends.
+    In parallel both queries run at once in the same session, a scheduler
+    pool each: under ``spark.scheduler.mode=FAIR`` (``session.get_spark`` sets
+    it, with the shares of ``pools.xml``) neither waits for the other's tasks.
+    In sequence the second starts after the first ends.
     """
     reports, queries = {}, []
     for name, src in sources.items():
@@ -176,13 +247,15 @@ def two_streams(spark: SparkSession, sources: dict[str, str], root: str, paralle
         spark.sparkContext.setLocalProperty("spark.scheduler.pool", name)
         q, rep = start_ingest(spark, src, paths, program_id=name, **kw)
         reports[name] = rep
-        if parallel:
-            queries.append(q)
-        else:
+        queries.append(q)
+        if not parallel:
             q.awaitTermination()
     spark.sparkContext.setLocalProperty("spark.scheduler.pool", None)
-    for q in queries:
+    for q, report in zip(queries, reports.values()):
         q.awaitTermination()
+        report.metrics.close()
+        if q.exception() is not None:
+            raise q.exception()
     return reports
 
 

@@ -99,12 +99,21 @@ def test_insert_reads_only_the_months_of_the_batch(spark, sf, tmp_path):
 def test_compacted_state_keeps_values_and_survives_a_replay(spark, sf, tmp_path):
     from fillwise.streaming import live as L
     ev, path = latest(tpch.raw_order_events(spark, sf)), str(tmp_path / "state")
-    sink, parts = L.live_lifecycle_sink(spark, path), [ev.where(F.col("slot") % 3 != 0), ev.where("event_type = 'created'"), ev]
-    for n, part in enumerate(parts):
-        sink(part, n)
+    parts = [ev.where(F.col("slot") % 3 != 0), ev.where("event_type = 'created'"), ev]
+
+    def sink(n):
+        """What the stream emits for batch n: the state so far of the orders that the batch touches."""
+        so_far = parts[0]
+        for part in parts[1:n + 1]:
+            so_far = so_far.unionByName(part)
+        touched = parts[n].select("order_id").distinct()
+        L.upsert_by_key(path, ["order_id"])(L.lifecycle_partials(so_far).join(touched, "order_id", "left_semi"), n)
+
+    for n in range(3):
+        sink(n)
     rows = lambda: sorted(map(str, L.lifecycle_rows(L.read_lifecycle_state(spark, path)).collect()))
     before, stored = rows(), spark.read.parquet(path).count()
     L.compact_upserts(spark, path, ["order_id"], str(tmp_path / "old"))
     assert rows() == before and spark.read.parquet(path).count() < stored
-    sink(parts[2], 2)
+    sink(2)
     assert rows() == before
