@@ -82,10 +82,14 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
-    from fillwise.llm.suffix_dedup import dedup
-    out = dedup(table(spark, sf_dir, "documents"))
-    gone = F.aggregate("removed", F.lit(0).cast("long"), lambda n, x: n + x["e"] - x["s"])
-    return out.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    from fillwise.llm.suffix_dedup import PASSAGE, dedup
+    out = dedup(table(spark, sf_dir, "documents"), passage=PASSAGE)
+
+    def covered(spans: str):
+        return F.aggregate(spans, F.lit(0).cast("long"), lambda n, x: n + x["e"] - x["s"])
+
+    return out.select("doc_id", "n_bytes", covered("removed").alias("n_removed"), F.size("removed").cast("long").alias("n_spans"),
+                      F.sha2("kept", 256).alias("kept_sha256"), covered("passages").alias("n_passage_bytes"))
 
 
 @register

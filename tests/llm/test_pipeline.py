@@ -46,10 +46,29 @@ def test_each_stage_takes_effect(spark):
 
 def test_registered():
     names = __spark_entry__.queries()
-    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10 and "pipeline" in names
+    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)] == [1] * 13 and "pipeline" in names
     assert len(corpus_pipeline.STAGES) == 5
 
 
+def test_passages_of_over_fifty_words_go_from_all_documents_and_clean_texts_stay(spark):
+    rnd = random.Random(12)
+    passages = [prose(rnd, n) for n in (51, 51, 52, 55, 60, 64, 80, 150) for _ in range(3)]
+    clean = [doc(i, prose(rnd, rnd.randint(60, 300), rnd.choice(["en", "de", "fr"]))) for i in range(80)]
+    holders, held = [], []
+    for k, p in enumerate(passages):
+        for j in range(rnd.choice([2, 2, 3, 9])):
+            before, after = prose(rnd, rnd.randint(1, 80)), prose(rnd, rnd.randint(1, 80))
+            holders.append(doc(1000 + len(holders), before + "\n" + p + "\n" + after))
+            held.append((before, p, after))
+    out = {r.doc_id: r.text for r in corpus_pipeline.suffix_array_dedup(spark, frame(spark, clean + holders), "").collect()}
+    assert all(out[r[0]] == r[1] for r in clean)
+    for row, (before, p, after) in zip(holders, held):
+        left = out[row[0]]
+        # Bytes beside a passage that chance to be equal elsewhere go with it.
+        assert p[12:-12] not in left and left.startswith(before[:-12]) and left.endswith(after[12:]), (p, left)
+        assert len(left) - len(before) - len(after) < 12
+
+
 def test_empty_table_through_all_stages(spark, tmp_path):
     frame(spark, []).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

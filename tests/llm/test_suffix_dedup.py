@@ -8,16 +8,16 @@ from llm_helpers import doc, frame, odd_rows, prose
 from fillwise.llm import suffix_dedup as S
 
 
-def brute_masks(rows):
+def brute_masks(rows, length=S.LENGTH):
     datas = [(r[1] or "").encode() for r in rows]
     seen = {}
     for k, d in enumerate(datas):
-        for i in range(len(d) - S.LENGTH + 1):
-            seen.setdefault(d[i:i + S.LENGTH], []).append((k, i))
+        for i in range(len(d) - length + 1):
+            seen.setdefault(d[i:i + length], []).append((k, i))
     masks = [np.zeros(len(d), bool) for d in datas]
     for places in seen.values():
         for k, i in places if len(places) > 1 else ():
-            masks[k][i:i + S.LENGTH] = True
+            masks[k][i:i + length] = True
     return datas, masks
 
 
@@ -36,6 +36,18 @@ def corpus(seed=1):
     return rows + [doc(100 + i, t) for i, t in enumerate([long, long, *edited, *periodic])]
 
 
+@pytest.mark.parametrize("length", [60, 200])
+def test_other_lengths_and_passages_match_brute_force(spark, length):
+    rows = corpus(5)
+    datas, long = brute_masks(rows)
+    _, short = brute_masks(rows, length)
+    got = {r.doc_id: r for r in S.dedup(frame(spark, rows).repartition(3), passage=length).collect()}
+    alone = {r.doc_id: r for r in S.dedup(frame(spark, rows).repartition(4), length).collect()}
+    for r, a, b in zip(rows, long, short):
+        assert [(x.s, x.e) for x in got[r[0]].removed] == S.true_runs(a)
+        assert [(x.s, x.e) for x in got[r[0]].passages] == S.true_runs(b) == [(x.s, x.e) for x in alone[r[0]].removed]
+
+
 def check(spark, rows):
     datas, masks = brute_masks(rows)
     got = {}
@@ -62,7 +74,7 @@ def test_repeated_rows_repeat_each_other(spark):
 def test_cut_repeats_keeps_columns_and_whole_characters(spark):
     rows = [(r[0], r[1], *r[2:]) for r in corpus(2)] + odd_rows()
     df = frame(spark, rows, clashing=True)
-    out = S.cut_repeats(df)
+    out = S.cut_repeats(df, S.LENGTH)
     assert out.columns == df.columns and out.schema["text"].dataType == df.schema["text"].dataType
     got = sorted(((r.doc_id, r.text, r.n_chars, r.row) for r in out.collect()), key=str)
     want = []
