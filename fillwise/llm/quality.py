@@ -12,7 +12,8 @@ bucket), and the buckets are then taken from the nearest until they hold the wan
 thus spread over all tasks and never gathered. ``FLOOR`` is the least standard deviation of each statistic; it keeps
 the determinant positive where most texts agree exactly (say, no symbols at all).
 
-Groups below ``MIN_ROWS`` fitting rows use their language's estimate; languages below it reject nothing.
+Groups below ``MIN_ROWS`` fitting rows use their language's estimate; languages below it their own medians with the scatter
+estimated over all rows. Where all rows are fewer than that, none is rejected but by the base rule.
 Null and empty texts have no words and fail the base rule. Null languages and sources are groups of their own.
 Repeated rows count as often as they occur.
 """
@@ -223,6 +224,20 @@ def _group(*cols: str) -> Column:
     return F.to_json(F.struct(*cols))
 
 
+def _pooled(ok: DataFrame, rows: DataFrame, small: DataFrame) -> DataFrame:
+    """(lang_g, wide) of languages too small for an estimate: their own medians, and the scatter of all rows.
+
+    All rows' scatter holds the differences between languages, so it is the wider one; the medians keep a language with
+    other words than most from being an outlier as a whole.
+    """
+    every = fit(pinned(ok.select(F.lit("").alias("g"), *vector(F.col("s"))))).filter(F.col("n") >= MIN_ROWS).first()
+    if every is None:
+        return small.limit(0).select("lang_g", F.struct(*[F.lit(0.0).alias(c) for c in PARAM_COLS]).alias("wide"))
+    med = (rows.join(small.withColumnRenamed("lang_g", "g"), "g", "left_semi").groupBy("g")
+           .agg(*[(F.median(f"x{i}") / UNIT).alias(f"m{i}") for i in range(P)]))
+    return med.select(F.col("g").alias("lang_g"), F.struct(*[c if c.startswith("m") else F.lit(every[c]).alias(c) for c in PARAM_COLS]).alias("wide"))
+
+
 def estimates(stats: DataFrame) -> DataFrame:
     """(g, PARAM_COLS) for each (lang, source); ``stats``: lang, source, s (pinned)."""
     ok = stats.filter(~base_failed(F.col("s")))
@@ -231,6 +246,9 @@ def estimates(stats: DataFrame) -> DataFrame:
     keys = stats.select(_group("lang", "source").alias("g"), _group("lang").alias("lang_g")).distinct()
     own = model.filter(F.col("n") >= MIN_ROWS)
     wider = own.select(F.col("g").alias("lang_g"), F.struct(*PARAM_COLS).alias("wide"))
+    small = pinned(keys.select("lang_g").distinct().join(wider, "lang_g", "left_anti"))
+    if not small.isEmpty():
+        wider = wider.union(_pooled(ok, rows, small))
     narrow = own.select("g", F.struct(*PARAM_COLS).alias("own"))
     return pinned(keys.join(narrow, "g", "left").join(wider, "lang_g", "left")
                   .select("g", F.coalesce("own", "wide").alias("p")).filter("p is not null").select("g", "p.*"))

@@ -47,6 +47,19 @@ def test_outliers_go_and_clean_texts_stay(spark):
     assert all(r.distance > 5 for r in got.values() if r.doc_id >= 1000)
 
 
+def test_a_small_language_is_judged_by_the_scatter_of_all_rows(spark):
+    """Junk of a language with few rows goes; its clean rows stay, though their words are unlike the others'."""
+    rows, bad = corpus()
+    rnd = random.Random(4)
+    few = [doc(3000 + i, " ".join("".join(rnd.choices("abcdefgh", k=rnd.randint(7, 12))) for _ in range(rnd.randint(60, 200))), "xx", "a") for i in range(20)]
+    junk = [doc(4000 + i, " ".join(w + rnd.choice(["###", "%%%"]) for w in prose(rnd, 120).split()).upper(), "xx", "a") for i in range(3)]
+    got = {r.doc_id: r for r in Q.quality(frame(spark, rows + bad + few + junk)).collect()}
+    assert all(got[r[0]].kept for r in few) and not any(got[r[0]].kept for r in junk + bad)
+    assert sum(got[r[0]].kept for r in rows) >= len(rows) - 1
+    alone = Q.quality(frame(spark, few + junk)).collect()
+    assert all(r.kept for r in alone)                                          # fewer rows than an estimate takes
+
+
 def test_estimate_is_close_to_a_plain_mcd(spark):
     """Location and scatter of one group against an exhaustive run of concentration steps from many random starts."""
     rnd = np.random.default_rng(3)
