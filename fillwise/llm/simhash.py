@@ -62,13 +62,16 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) of every row; fp holds the 64 bits as a signed BIGINT."""
+    """(doc_id, fp) of every row, and its ``text_hash`` if there is one; fp holds the 64 bits as a signed BIGINT."""
+    kept = [c for c in ("doc_id", "text_hash") if c in docs.columns]
+    fields = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in kept)
+
     def run(batches):
         for b in batches:
             fp = np.array([fingerprint(t) for t in b.column("text").to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(fp)], names=[*kept, "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp bigint")
+    return docs.select(*kept, "text").mapInArrow(run, f"{fields}, fp bigint")
 
 
 # --- pivots ---------------------------------------------------------------------------------------------------------
@@ -222,36 +225,43 @@ def links(distinct: DataFrame) -> DataFrame:
 
 
 def groups(fps: DataFrame) -> DataFrame:
-    """(fp, component_id) of every fingerprint of ``fps`` (pinned doc_id, fp): the smallest doc_id reachable."""
+    """(fp, component, component_id) of every fingerprint of ``fps`` (pinned doc_id, fp): the smallest doc_id reachable."""
     distinct = pinned(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
     # Links between fingerprints; the component of fingerprints first, its smallest document after.
     comp = pinned(components(links(distinct)))
     named = distinct.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    return named.select("fp", "component").join(smallest, "component").select("fp", "component_id")
+    return named.select("fp", "component").join(smallest, "component").select("fp", "component", "component_id")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id."""
-    fps = pinned(fingerprints(docs))
+    fps = pinned(fingerprints(docs.select("doc_id", "text")))
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return fps.join(groups(fps), "fp").select("doc_id", hexed, "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` less all but the document with the smallest doc_id of each group.
+    """The rows of ``docs`` less all but one row of each group: the document with the smallest doc_id.
 
-    Of repeated rows with that doc_id the one with the smallest hash stays. Rows with a null doc_id stay.
+    Rows are told apart by doc_id and text, so that of rows which share an id but belong to different groups each is
+    judged with its own group. A null doc_id comes last. Of equal ids in a group the smallest text hash stays, of repeated
+    rows the one with the smallest row hash.
     """
-    fps = pinned(fingerprints(docs))
-    gone = (fps.join(groups(fps), "fp").filter("doc_id is not null")
-            .groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("first"), F.count(F.lit(1)).alias("n"))
-            .filter("not first or n > 1"))
-    gone = pinned(gone)
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("doc_id"))
-    left = rows.join(gone, "doc_id", "left").filter("first is null or first")
+    text = F.xxhash64("text").alias("text_hash")
+    fps = pinned(fingerprints(docs.select("doc_id", "text", text)))
+    of = fps.groupBy("doc_id", "text_hash", "fp").agg(F.count(F.lit(1)).alias("n")).join(groups(fps), "fp")
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
+    # A document and text belong to one group, so the winners are told by these: no join on a group, however large it is.
+    best = of.groupBy("component").agg(F.min(place).alias("best")).select(
+        F.col("best.doc_id").alias("best_id"), F.col("best.text_hash").alias("best_hash"), F.lit(True).alias("first"))
+    judged = of.join(best, F.col("doc_id").eqNullSafe(F.col("best_id")) & (F.col("text_hash") == F.col("best_hash")), "left")
+    gone = pinned(judged.filter("first is null or n > 1").select(
+        F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"), F.coalesce("first", F.lit(False)).alias("first"), "n"))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("doc_id"), text)
+    left = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("text_hash") == F.col("gone_hash")), "left").filter("first is null or first")
     if gone.filter("n > 1").isEmpty():
         return left.select("row.*")
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64(F.to_json("row")))
+    order = Window.partitionBy("doc_id", "text_hash").orderBy(F.xxhash64(F.to_json("row")))
     repeated = left.filter("n > 1").withColumn("r", F.row_number().over(order)).filter("r = 1")
-    return left.filter("n is null").select("row.*").union(repeated.select("row.*"))
+    return left.filter("n is null or n = 1").select("row.*").union(repeated.select("row.*"))
