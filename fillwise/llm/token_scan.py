@@ -45,7 +45,10 @@ def write(encoded: DataFrame, folder: str, end_id: int, width: str = WIDTH) -> D
                 continue
             sink = sink or fs.open_output_stream(f"{base}/{name}", compression=None)
             ids = b.column("ids")
-            flat, cuts = ids.flatten().to_numpy().astype(width), (np.asarray(ids.offsets) - ids.offsets[0].as_py()).tolist()
+            numbers = ids.flatten().to_numpy()
+            if len(numbers) and (numbers.min() < 0 or numbers.max() > np.iinfo(width).max or (numbers == end_id).any()):
+                raise ValueError(f"ids must fit {width} and differ from the end id {end_id}")
+            flat, cuts = numbers.astype(width), (np.asarray(ids.offsets) - ids.offsets[0].as_py()).tolist()
             sink.write(b"".join(flat[s:e].tobytes() + end for s, e in zip(cuts, cuts[1:])))
             yield pa.RecordBatch.from_arrays([pa.array([name] * b.num_rows), pa.array(range(n, n + b.num_rows), pa.int64()), b.column("doc_id")], names=["file", "ordinal", "doc_id"])
             n += b.num_rows

@@ -55,6 +55,13 @@ def test_counts_of_written_documents(spark):
     assert all(r.terminated for r in got)
 
 
+@pytest.mark.parametrize("bad", [70_000, -1, 1])
+def test_ids_that_do_not_fit_are_refused(spark, bad):
+    encoded = spark.createDataFrame([(1, [2, 3, bad])], "doc_id long, ids array<int>")
+    with pytest.raises(Exception, match="ids must fit"):
+        T.write(encoded, shared_folder(spark, "tokens-test"), 1)
+
+
 def test_empty_table(spark):
     folder = shared_folder(spark, "tokens-test")
     order = T.write(spark.createDataFrame([], "doc_id long, ids array<int>"), folder, 1)
