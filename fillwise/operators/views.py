@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from fillwise.functions.core import MONEY, is_created, is_fulfilled, non_blank, period_hours, since_hours
 from fillwise.operators import analytics as A
+from fillwise.session import checkpoint_dir
 
 
 def daily_partials(ev: DataFrame, batch_col: str = "batch_id") -> DataFrame:
@@ -78,6 +79,10 @@ def with_batches(ev: DataFrame, rows_per_batch: int = 500) -> DataFrame:
     return ev.withColumn("batch_id", F.floor(F.col("slot") / rows_per_batch).cast("bigint"))
 
 
+#: What the parts of the bundle read of an event.
+BUNDLE_COLUMNS = tuple(dict.fromkeys([*A.RECENT_COLUMNS, "event_type", "block_time", "give_token_symbol", "give_amount_usd", "take_amount_usd"]))
+
+
 def dashboard_bundle(spark: SparkSession, ev: DataFrame, days: int = 30, tokens: int = 10,
                      recent: int = 100, target: int = 50000,
                      as_of: str | None = None) -> DataFrame:
@@ -85,8 +90,11 @@ def dashboard_bundle(spark: SparkSession, ev: DataFrame, days: int = 30, tokens:
 
     Each part is a bounded aggregate or top-k; the one-row parts are joined on
     a constant key (one row each), and arrays keep their display order by
-    sorting on an explicit position.
+    sorting on an explicit position.  The deduplicated events are written down
+    once, in the columns that the parts read.
     """
+    checkpoint_dir(spark)
+    ev = ev.select(*BUNDLE_COLUMNS).checkpoint(eager=True)
     one = F.lit(1).alias("_k")
     stats = A.total_stats(ev).select(one, F.struct("*").alias("stats"))
     daily = A.daily_volumes(ev, days, as_of).agg(
