@@ -13,7 +13,8 @@ FAST = ["total_stats", "daily_volumes_365", "top_tokens", "chains_source", "chai
         "latest_progress", "progress_read", "search_orders", "page_orders", "merge_live", "export_csv",
         "wire_roundtrip", "camel_project", "decode_events_hex", "decode_create_full", "borsh_columns",
         "primary_transfer", "parse_stats", "unknown_tokens", "rolling_latency", "requests_last_second",
-        "failure_run", "endpoint_totals", "batch_outcome", "mv_daily_volumes", "mv_token_stats"]
+        "failure_run", "endpoint_totals", "batch_outcome", "mv_daily_volumes", "mv_token_stats", "metrics_long",
+        "endpoint_names", "borsh_wide_numbers", "read_during_swap", "dashboard_bundle_parts"]
 
 
 def test_every_query_has_a_builder_and_oracle_keys_match():
