@@ -25,6 +25,7 @@ import os
 import uuid
 from dataclasses import dataclass, field
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -112,9 +113,15 @@ def write_quarantine(raw: DataFrame, path: str, batch_id: int) -> int:
     return errors
 
 
+class TargetReached(Exception):
+    """Ends a stream between batches; the batch that it refuses is not committed and comes first on resuming."""
+
+
 def _events_sink(spark: SparkSession, paths: IngestPaths, program_id: str, report: IngestReport,
-                 decode: bool, encoding: str):
+                 decode: bool, encoding: str, target: int | None):
     def sink(batch: DataFrame, batch_id: int) -> None:
+        if target is not None and report.total >= target:
+            raise TargetReached(f"{report.total} of {target} events are stored")
         raw, errors = None, 0
         if decode:
             raw = batch.persist()
@@ -160,7 +167,7 @@ def store_batch(spark: SparkSession, events: DataFrame, batch_id: int, paths: In
 
 def start_ingest(spark: SparkSession, source: str, paths: IngestPaths, *, raw: bool = False,
                  encoding: str = "base58", max_files_per_trigger: int = 1, program_id: str = "fillwise",
-                 available_now: bool = True, report: IngestReport | None = None):
+                 available_now: bool = True, report: IngestReport | None = None, target: int | None = None):
     """ST1: start the collection stream; returns ``(query, report)``.
 
     ``available_now`` processes what is landed and stops (backfill, ST8);
@@ -178,7 +185,7 @@ def start_ingest(spark: SparkSession, source: str, paths: IngestPaths, *, raw: b
         stream = reader.schema(EVENT_DOC).json(source)
     report.metrics = BatchMetrics(spark, paths.metrics)
     writer = (observed(stream, CORRUPT if raw else None).writeStream
-              .foreachBatch(_events_sink(spark, paths, program_id, report, raw, encoding))
+              .foreachBatch(_events_sink(spark, paths, program_id, report, raw, encoding, target))
               .option("checkpointLocation", paths.checkpoint))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="2 seconds")
     query = writer.start()
@@ -211,17 +218,15 @@ def collect_until_target(spark: SparkSession, source: str, paths: IngestPaths, t
         if before >= target:
             return report
         q, report = start_ingest(spark, source, paths, max_files_per_trigger=max_files_per_trigger,
-                                 report=report, **kw)
-        # Pause (ST9) once the target is reached, between triggers where possible.
-        # Stopping inside a batch is still safe: the batch is not committed and
-        # is replayed under the same batch_id, which overwrites its own rows.
-        while q.isActive:
-            q.awaitTermination(1)
-            if not q.status.get("isTriggerActive", False) and report.total >= target:
-                q.stop()
-        report.metrics.close()
-        if q.exception() is not None:
-            raise q.exception()
+                                 report=report, target=target, **kw)
+        # Pause (ST9) between batches: the first batch after the target is refused.
+        try:
+            q.awaitTermination()
+        except StreamingQueryException as e:
+            if TargetReached.__name__ not in str(e):
+                raise
+        finally:
+            report.metrics.close()
         if collected(spark, paths.progress) == before:
             return report          # nothing new landed
 
