@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from fillwise.session import checkpoint_dir
 
 
-#: Estimated bytes of input for each range partition, and the most of them.
-PIECE_BYTES, MOST_PIECES = 256 << 20, 20_000
+#: Bytes expected, or rows counted, for each range partition.
+PIECE_BYTES, PIECE_ROWS = 256 << 20, 2_000_000
 
 
 def keyed_scan(df: DataFrame, key: str, order: Sequence[str], sums: Sequence[str] = (),
@@ -37,9 +37,11 @@ def keyed_scan(df: DataFrame, key: str, order: Sequence[str], sums: Sequence[str
     """Add ``_seq`` (1-based position within ``key``), ``_cum_<c>`` running sums and
     ``_cmax_<c>`` running maxima, ordered by ``order`` (must be a total order per key)."""
     spark = df.sparkSession
-    # AQE can't split a range partition, so pieces follow the size that the optimiser expects; no job is run for it.
-    n = num_partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")),
-                              min(MOST_PIECES, -(-expected_bytes(df) // PIECE_BYTES)))
+    # AQE can't split a range partition, so pieces follow the size.  Where the optimiser expects little, no job is run for
+    # it; its estimates of joins and written frames are far too high, so the rows are counted where it expects more.
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if num_partitions is None and expected_bytes(df) > n * PIECE_BYTES:
+        n = max(n, -(-df.count() // PIECE_ROWS))
     order_cols = [F.col(c) for c in order]
     r = (df.repartitionByRange(n, F.col(key), *order_cols)
            .withColumn("_pid", F.spark_partition_id()))
