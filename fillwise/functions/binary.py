@@ -5,7 +5,7 @@ out-of-range read yields NULL instead of raising.  Offsets are 0-based byte
 offsets, given as int or Column.
 
 Never ``reverse()`` a BINARY: Spark reverses it as UTF-8 characters.  Byte
-order is flipped on the hex text instead.
+order is flipped on the bytes read as ISO-8859-1, one character each.
 """
 
 from __future__ import annotations
@@ -36,14 +36,19 @@ def hex_at(data: Column, offset, width) -> Column:
     return F.lower(F.hex(bytes_at(data, offset, width)))
 
 
+def flip_bytes(b: Column) -> Column:
+    """The bytes in reverse order."""
+    return F.encode(F.reverse(F.decode(b, "ISO-8859-1")), "ISO-8859-1")
+
+
 def flip_hex(h: Column) -> Column:
-    """Reverse the byte order of a hex string (``'0102'`` → ``'0201'``)."""
-    return F.concat_ws("", F.reverse(F.regexp_extract_all(h, F.lit("(..)"), 1)))
+    """Reverse the byte order of a hex string of whole bytes (``'0102'`` → ``'0201'``, in upper case); NULL gives ``''``."""
+    return F.coalesce(F.hex(flip_bytes(F.unhex(h))), F.lit(""))
 
 
 def le_hex(data: Column, offset, width: int) -> Column:
     """Big-endian hex text of a little-endian unsigned field (for conv / comparison)."""
-    return flip_hex(F.hex(bytes_at(data, offset, width)))
+    return F.coalesce(F.hex(flip_bytes(bytes_at(data, offset, width))), F.lit(""))
 
 
 def u_le(data: Column, offset, width: int) -> Column:
@@ -62,40 +67,52 @@ def u_le(data: Column, offset, width: int) -> Column:
     raise ValueError("widths above 16 bytes: use u_le_text")
 
 
-LIMB = 9                                  # decimal digits a limb holds
+LIMB = 8                                  # most decimal digits a limb holds
+
+
+def _limb_digits(words: int) -> int:
+    """Digits of a limb, so that ``words`` products of a limb and 32 bits, and a carry, add up to less than 2^63."""
+    return max(d for d in range(1, LIMB + 1) if (words + 1) << 32 < 2 ** 63 // 10 ** d)
 
 
 def u_le_text(data: Column, offset, width: int) -> Column:
     """Unsigned little-endian integer of any width as exact decimal text (u128, u256).
 
-    The number is read 32 bits at a time from the most significant end into
-    decimal limbs: each step multiplies all limbs by 2^32 and adds the next 32
-    bits.  Every product stays below 2^62, so only BIGINT arithmetic is used.
+    The number is the sum of its 32-bit words times powers of 2^32.  The
+    powers' decimal limbs are constants, so each limb of the result is a sum
+    of products that fits a BIGINT, and one carry runs through the limbs.
     """
     words = -(-width // 4)
-    limbs = -(-len(str(256 ** width - 1)) // LIMB)
+    digits = _limb_digits(words)
+    big = 10 ** digits
+    limbs = -(-len(str(256 ** width - 1)) // digits)
     hex_ = F.lpad(le_hex(data, offset, width), 8 * words, "0")
-    big = F.lit(10 ** LIMB).cast("bigint")
 
-    def step(acc: Column, word: Column) -> Column:
-        # acc: limbs, least significant first.  The carry runs through them.
-        first = F.struct(word.alias("carry"), F.array().cast("array<bigint>").alias("out"))
+    def word(h: Column, i: int) -> Column:
+        return F.conv(F.substring(h, 8 * (words - 1 - i) + 1, 8), 16, 10).cast("bigint")
 
-        def push(state: Column, limb: Column) -> Column:
-            t = limb * F.lit(1 << 32) + state["carry"]
-            return F.struct(F.call_function("div", t, big).alias("carry"), F.concat(state["out"], F.array(t % big)).alias("out"))
+    def sums(w: Column) -> Column:
+        at = [[(1 << 32 * i) // big ** j % big for i in range(words)] for j in range(limbs)]
+        return F.array(*[sum((w[i] * F.lit(c).cast("bigint") for i, c in enumerate(cs) if c), F.lit(0).cast("bigint")) for cs in at])
 
-        return F.aggregate(acc, first, push)["out"]
+    def push(state: Column, limb: Column) -> Column:
+        t = limb + state["carry"]
+        return F.struct(F.call_function("div", t, F.lit(big).cast("bigint")).alias("carry"),
+                        F.concat(F.lpad((t % big).cast("string"), digits, "0"), state["text"]).alias("text"))
 
-    digits = F.transform(F.sequence(F.lit(0), F.lit(words - 1)), lambda i: F.conv(F.substr(hex_, i * 8 + 1, F.lit(8)), 16, 10).cast("bigint"))
-    done = F.aggregate(digits, F.array_repeat(F.lit(0).cast("bigint"), limbs), step)
-    text = F.array_join(F.transform(F.reverse(done), lambda x: F.lpad(x.cast("string"), LIMB, "0")), "")
-    return F.when(has_bytes(data, offset, width), F.coalesce(F.nullif(F.regexp_replace(text, "^0+", ""), F.lit("")), F.lit("0")))
+    # One-element arrays bind the hex text and its words once.
+    bound = F.transform(F.transform(F.array(hex_), lambda h: F.array(*[word(h, i) for i in range(words)])), sums)
+    first = F.struct(F.lit(0).cast("bigint").alias("carry"), F.lit("").alias("text"))
+    text = F.aggregate(F.get(bound, 0), first, push, lambda state: F.regexp_replace(state["text"], "^0+(?=.)", ""))
+    return F.when(has_bytes(data, offset, width), text)
 
 
 def u_le_too_wide(data: Column, offset, width: int) -> Column:
     """Whether the field is there but has more than 38 digits."""
-    return has_bytes(data, offset, width) & (F.length(u_le_text(data, offset, width)) > 38)
+    least = f"{10 ** 38:0{2 * width}X}"                  # texts of equal length compare as their numbers
+    there = has_bytes(data, offset, width)
+    wide = le_hex(data, offset, width) >= least if len(least) <= 2 * width else F.lit(False)
+    return F.when(there.isNotNull(), there & wide)
 
 
 def u_le_hex(data: Column, offset, width: int) -> Column:

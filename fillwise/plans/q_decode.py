@@ -155,10 +155,10 @@ def q_borsh_columns(spark, sf):
         F.when(F.col("l_linestatus") == "O", F.lit("01")).otherwise(F.lit("00")),  # bool
         opt,                                                      # option tag
     )
-    b = F.unhex(hex_text)
-    flen = B.u_le_long(b, 39, 4)
-    after = F.lit(43) + flen
-    return li.select(
+    # Bytes and cursor are projected as columns first, so that each is worked out once a row.
+    b, after = F.col("bytes"), F.col("after")
+    staged = li.select(F.unhex(hex_text).alias("bytes")).select("bytes", (F.lit(43) + B.u_le_long(b, 39, 4)).alias("after"))
+    return staged.select(
         B.u_le_long(b, 0, 8).alias("l_orderkey"),
         B.u_le_long(b, 8, 1).cast("int").alias("l_linenumber"),
         B.u_le_long(b, 9, 4).alias("l_suppkey"),
@@ -231,8 +231,9 @@ def q_borsh_wide_numbers(spark, sf):
     k = F.col("o_orderkey")
     u128 = F.when(k % 5 == 0, F.lit("ff" * 16)).otherwise(F.concat(R.le_hex_of(k * 7919, 8), R.le_hex_of(k, 8)))
     u256 = F.when(k % 3 == 0, F.lit("ff" * 32)).otherwise(F.concat(u128, F.lit("00" * 16)))
-    b = F.unhex(F.concat(u128, u256))
-    return tpch.read_table(spark, sf, "orders").select(k.alias("slot"), B.u_le_text(b, 0, 16).alias("u128"),
+    b = F.col("bytes")
+    staged = tpch.read_table(spark, sf, "orders").select(k.alias("slot"), F.unhex(F.concat(u128, u256)).alias("bytes"))
+    return staged.select("slot", B.u_le_text(b, 0, 16).alias("u128"),
                                                        B.u_le_too_wide(b, 0, 16).alias("too_wide"), B.u_le_text(b, 16, 32).alias("u256"))
 
 
