@@ -29,3 +29,32 @@ def test_numbers_of_any_width(spark):
             n = int.from_bytes(v[:w], "little") if v is not None and len(v) >= w else None
             want = (None, None if v is None else False, "") if n is None else (str(n), len(str(n)) > 38, f"{n:0{2 * w}x}")
             assert (r[f"t{w}"], r[f"w{w}"], r[f"h{w}"]) == want
+
+
+def test_files_and_batches_follow_the_rows():
+    from fillwise.streaming import ingest as I
+    assert I.file_count(1000, 10) == 10 and I.files_per_batch(10, 10, 3) == 3
+    n = I.file_count(300_000_000, 10)
+    assert 300_000_000 / n <= I.ROWS_PER_FILE and I.files_per_batch(n, 10, 3) == I.FILES_PER_BATCH
+    assert I.files_per_batch(20, 10, 3) == 6
+
+
+def test_landed_documents_are_compressed(spark, sf, monkeypatch, tmp_path):
+    from fillwise.plans import q_decode, q_landing
+    from fillwise.streaming import ingest as I
+    monkeypatch.setattr(I, "scratch_dir", lambda s, name: str(tmp_path / name))
+    monkeypatch.setattr(q_decode, "scratch_dir", lambda s, name: str(tmp_path / name))
+    q_landing.q_scan_raw_tx(spark, sf)
+    q_decode.q_parse_stats(spark, sf)
+    for name in ("rawjson", "parsestats"):
+        landed = list((tmp_path / name).glob("part-*"))
+        assert landed and all(f.suffix == ".gz" for f in landed)
+
+
+def test_copies_are_made_after_the_shuffle(spark, tmp_path):
+    from fillwise.streaming import ingest as I
+    df = spark.sql("SELECT id, timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, id) AS block_time FROM range(100)")
+    I.land_files(df, str(tmp_path / "in"), 4, ["block_time"], copies=2, compression="gzip")
+    back = spark.read.schema(df.schema).json(str(tmp_path / "in"))
+    assert sorted(r.id for r in back.collect()) == sorted([*range(100)] * 2)
+    assert len(list((tmp_path / "in").glob("part-*.json.gz"))) == 4
