@@ -58,3 +58,28 @@ def test_copies_are_made_after_the_shuffle(spark, tmp_path):
     back = spark.read.schema(df.schema).json(str(tmp_path / "in"))
     assert sorted(r.id for r in back.collect()) == sorted([*range(100)] * 2)
     assert len(list((tmp_path / "in").glob("part-*.json.gz"))) == 4
+
+
+def test_wide_rows_are_made_in_bounded_pieces(spark, sf, monkeypatch):
+    from fillwise.sources import tpch
+    monkeypatch.setattr(tpch, "ROWS_PER_PIECE", 500)
+    plain, dealt = tpch.raw_order_events(spark, sf), tpch.raw_order_events(spark, sf, dealt=True)
+    assert dealt.rdd.getNumPartitions() >= plain.count() // 500 > plain.rdd.getNumPartitions()
+    assert plain.exceptAll(dealt).isEmpty() and dealt.exceptAll(plain).isEmpty()
+
+
+def test_recent_list_reads_its_batch_once(spark, sf, tmp_path):
+    from fillwise.streaming import live as L
+    from fillwise.sources import tpch
+    few = tpch.raw_order_events(spark, sf).limit(40)
+    seen, rows = spark.sparkContext.accumulator(0), few.collect()
+
+    def noted(r):
+        seen.add(1)
+        return r
+    batch = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2).map(noted), few.schema)
+    write = L.live_recent_sink(spark, str(tmp_path / "list"))
+    write(batch, 0)
+    write(batch, 1)
+    assert seen.value == 80
+    assert [r.position for r in L.read_recent_list(spark, str(tmp_path / "list")).orderBy("position").collect()] == [1, 2, 3, 4, 5]
