@@ -83,3 +83,20 @@ def test_recent_list_reads_its_batch_once(spark, sf, tmp_path):
     write(batch, 1)
     assert seen.value == 80
     assert [r.position for r in L.read_recent_list(spark, str(tmp_path / "list")).orderBy("position").collect()] == [1, 2, 3, 4, 5]
+
+
+def test_compaction_ranks_once(spark, sf, monkeypatch, tmp_path):
+    from fillwise.sources import io as IO
+    from fillwise.sources import snapshots as S
+    from fillwise.sources import tpch
+    raw, path, plans, write = tpch.raw_order_events(spark, sf), str(tmp_path / "t"), [], IO.write_batch
+    IO.append_events(raw.where("slot % 2 = 0"), path, 0)
+    IO.append_events(raw, path, 1)
+
+    def noted(rows, *a):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        return write(rows, *a)
+    monkeypatch.setattr(IO, "write_batch", noted)
+    table = S.Snapshots(spark, path)
+    assert table.compact() and "InMemoryTableScan" in plans[0]
+    assert table.read().count() == table.events().count()
