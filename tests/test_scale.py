@@ -85,6 +85,18 @@ def test_recent_list_reads_its_batch_once(spark, sf, tmp_path):
     assert [r.position for r in L.read_recent_list(spark, str(tmp_path / "list")).orderBy("position").collect()] == [1, 2, 3, 4, 5]
 
 
+def test_replayed_batches_are_computed_once(spark, sf, monkeypatch):
+    from fillwise.plans import q_streaming as Q
+    kept, store = [], Q.I.store_batch
+
+    def noted(s, events, *a, **kw):
+        kept.append(events.is_cached)
+        return store(s, events, *a, **kw)
+    monkeypatch.setattr(Q.I, "store_batch", noted)
+    r = Q.q_replayed_batch_progress(spark, sf).first()
+    assert kept == [True] * 4 and r.total_collected == r.stored
+
+
 def test_compaction_ranks_once(spark, sf, monkeypatch, tmp_path):
     from fillwise.sources import io as IO
     from fillwise.sources import snapshots as S
