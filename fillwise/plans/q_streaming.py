@@ -215,9 +215,10 @@ def _raw_backfill(spark, sf):
     key = ("raw", id(spark), sf)
     if key not in _RUNS:
         root = I.scratch_dir(spark, "rawstream")
-        lines = R.landed_lines(R.damaged(R.raw_transactions_from_tpch(spark, sf, "hex")))
-        files = I.file_count(_landed_rows(spark, sf), 8)
-        lines.repartitionByRange(files, "slot").select("value").write.option("compression", "gzip").text(f"{root}/landing")
+        dealt = tuple(I.file_count(tpch.read_table(spark, sf, t).count(), least) for t, least in (("orders", 2), ("lineitem", 6)))
+        files = sum(dealt)
+        lines = R.landed_lines(R.damaged(R.raw_transactions_from_tpch(spark, sf, "hex", dealt)))
+        lines.select("value").write.option("compression", "gzip").text(f"{root}/landing")
         paths = I.IngestPaths.under(root)
         report = I.run_ingest(spark, f"{root}/landing/*.txt.gz", paths, raw=True, encoding="hex",
                               max_files_per_trigger=I.files_per_batch(files, 8, 3))

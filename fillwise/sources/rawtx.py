@@ -109,12 +109,20 @@ def _balances(k: Column, amount: Column, party: Column, sol_path: Column, token_
     return pre_tb, post_tb, pre_sol, post_sol
 
 
-def created_transactions(spark: SparkSession, sf_dir: str, encoding: str = "base58") -> DataFrame:
+def _by_slot(rows: DataFrame, files: int | None, slot: Column) -> DataFrame:
+    """Narrow source rows dealt by slot into ``files`` pieces, before the documents are built of them.
+
+    Dealing the documents instead ships them through the shuffle and builds each twice: once to draw the bounds.
+    """
+    return rows.repartitionByRange(files, slot) if files else rows
+
+
+def created_transactions(spark: SparkSession, sf_dir: str, encoding: str = "base58", files: int | None = None) -> DataFrame:
     o = read_table(spark, sf_dir, "orders")
     c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name")
     k = F.col("o_orderkey")
     amount = (F.col("o_totalprice").cast("decimal(18,2)") * 100).cast("bigint")
-    df = (o.join(c, o.o_custkey == c.c_custkey, "left")
+    df = (_by_slot(o.join(c, o.o_custkey == c.c_custkey, "left"), files, k)
           .withColumn("tok_idx", (k % TOKEN_CYCLE).cast("int"))
           .join(F.broadcast(token_index(spark)), "tok_idx", "left")
           .withColumn("_amt", amount)
@@ -175,7 +183,7 @@ def created_transactions(spark: SparkSession, sf_dir: str, encoding: str = "base
     )
 
 
-def fulfilled_transactions(spark: SparkSession, sf_dir: str, encoding: str = "base58") -> DataFrame:
+def fulfilled_transactions(spark: SparkSession, sf_dir: str, encoding: str = "base58", files: int | None = None) -> DataFrame:
     li = read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_shipdate")
     s = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
@@ -183,7 +191,7 @@ def fulfilled_transactions(spark: SparkSession, sf_dir: str, encoding: str = "ba
     amount = (F.col("l_extendedprice").cast("decimal(18,2)") * 100).cast("bigint")
     toks = token_index(spark)
     other = toks.select(F.col("tok_idx").alias("o_idx"), F.col("tok_address").alias("o_address"))
-    df = (li.join(s, li.l_suppkey == s.s_suppkey, "left")
+    df = (_by_slot(li.join(s, li.l_suppkey == s.s_suppkey, "left"), files, k)
           .withColumn("tok_idx", (F.col("l_partkey") % TOKEN_CYCLE).cast("int"))
           .join(F.broadcast(toks), "tok_idx", "left")
           .withColumn("o_idx", ((F.col("tok_idx") + 1) % N_TOKENS).cast("int"))
@@ -217,10 +225,12 @@ def fulfilled_transactions(spark: SparkSession, sf_dir: str, encoding: str = "ba
     )
 
 
-def raw_transactions_from_tpch(spark: SparkSession, sf_dir: str, encoding: str = "base58") -> DataFrame:
-    """Both transaction kinds, in the RAW_TX shape."""
-    return created_transactions(spark, sf_dir, encoding).unionByName(
-        fulfilled_transactions(spark, sf_dir, encoding))
+def raw_transactions_from_tpch(spark: SparkSession, sf_dir: str, encoding: str = "base58",
+                               files: tuple[int, int] | None = None) -> DataFrame:
+    """Both transaction kinds, in the RAW_TX shape; with ``files``, in that many partitions of each by slot."""
+    of_created, of_fulfilled = files or (None, None)
+    return created_transactions(spark, sf_dir, encoding, of_created).unionByName(
+        fulfilled_transactions(spark, sf_dir, encoding, of_fulfilled))
 
 
 LOSE_EVERY, CUT_EVERY = 71, 83

@@ -85,6 +85,29 @@ def test_recent_list_reads_its_batch_once(spark, sf, tmp_path):
     assert [r.position for r in L.read_recent_list(spark, str(tmp_path / "list")).orderBy("position").collect()] == [1, 2, 3, 4, 5]
 
 
+def test_documents_are_built_after_the_shuffle(spark, sf):
+    from fillwise.sources import rawtx as R
+    plain, dealt = R.raw_transactions_from_tpch(spark, sf, "hex"), R.raw_transactions_from_tpch(spark, sf, "hex", (2, 3))
+    assert dealt.rdd.getNumPartitions() == 5
+    assert plain.exceptAll(dealt).isEmpty() and dealt.exceptAll(plain).isEmpty()
+
+
+def test_landed_raw_documents_are_not_shuffled(spark, sf, monkeypatch):
+    from fillwise.plans import q_streaming as Q
+    plans = []
+    monkeypatch.setattr(Q.I, "run_ingest", lambda *a, **kw: None)
+    text = type(spark.range(1).write).text
+
+    def noted(self, *a, **kw):
+        plans.append(self._df._jdf.queryExecution().optimizedPlan().toString())
+        return text(self, *a, **kw)
+    monkeypatch.setattr(type(spark.range(1).write), "text", noted)
+    monkeypatch.setattr(Q, "_RUNS", {})
+    Q._raw_backfill(spark, sf)
+    assert len(plans) == 1
+    assert plans[0].index("logMessages") < plans[0].index("RepartitionByExpression")
+
+
 def test_replayed_batches_are_computed_once(spark, sf, monkeypatch):
     from fillwise.plans import q_streaming as Q
     kept, store = [], Q.I.store_batch
