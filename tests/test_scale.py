@@ -108,6 +108,12 @@ def test_landed_raw_documents_are_not_shuffled(spark, sf, monkeypatch):
     assert plans[0].index("logMessages") < plans[0].index("RepartitionByExpression")
 
 
+def test_batches_stay_few_at_many_files():
+    from fillwise.streaming import ingest as I
+    n = I.file_count(270_000_000, 10)
+    assert n / I.files_per_batch(n, 10, 3) <= 10
+
+
 def test_replayed_batches_are_computed_once(spark, sf, monkeypatch):
     from fillwise.plans import q_streaming as Q
     kept, store = [], Q.I.store_batch
