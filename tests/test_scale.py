@@ -141,3 +141,50 @@ def test_compaction_ranks_once(spark, sf, monkeypatch, tmp_path):
     table = S.Snapshots(spark, path)
     assert table.compact() and "InMemoryTableScan" in plans[0]
     assert table.read().count() == table.events().count()
+
+
+def test_replay_files_hold_no_more_rows_than_the_others(spark, tmp_path):
+    from fillwise.streaming import ingest as I
+    ev = spark.sql("SELECT id AS slot, timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, id) AS block_time FROM range(2400)")
+    I.land_event_files(ev, str(tmp_path), parts=8, replay_part=1, replay_of=3)
+    rows = {kind: [len(f.read_text().splitlines()) for f in (tmp_path / kind).glob("part-*")] for kind in ("main", "replay")}
+    assert sum(rows["main"]) == 2400 and sum(rows["replay"]) == 800
+    assert len(rows["main"]) == 8 and max(rows["replay"]) <= 1.2 * max(rows["main"])
+
+
+def test_compaction_sorts_the_stored_rows_once_in_bounded_pieces(spark, sf, monkeypatch, tmp_path):
+    from fillwise.operators.dedup import latest
+    from fillwise.sources import io as IO
+    from fillwise.sources import tpch
+    raw, path, out, plans, write = tpch.raw_order_events(spark, sf), str(tmp_path / "t"), str(tmp_path / "new"), [], IO.write_batch
+    IO.append_events(raw, path)
+
+    def noted(rows, *a):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        return write(rows, *a)
+    monkeypatch.setattr(IO, "write_batch", noted)
+    monkeypatch.setattr(IO, "ROWS_PER_SORT", 500, raising=False)
+    IO.compact_events(spark, path, out)
+    pieces = -(-raw.count() // 500)
+    assert plans[0].count("Sort [") == 1 and f", {pieces}), REPARTITION_BY_NUM" in plans[0]
+    want, got = latest(IO.stored(spark, path).drop("batch_id")), IO.stored(spark, out).drop("batch_id")
+    assert want.exceptAll(got).isEmpty() and got.exceptAll(want).isEmpty()
+
+
+def test_hot_keys_are_limited_before_the_shuffle(spark, sf, monkeypatch, tmp_path):
+    from pyspark.sql import functions as F
+
+    from fillwise.operators.dedup import latest
+    from fillwise.sources import io as IO
+    from fillwise.sources import tpch
+    raw = IO.table_rows(tpch.raw_order_events(spark, sf))
+    key = lambda s: F.when(F.col("slot") % 3 == 0, F.lit("hot")).when(F.col("slot") % 3 == 1, F.lit(s)).otherwise(F.col("signature"))
+    monkeypatch.setattr(IO, "ROWS_PER_SORT", 500, raising=False)
+    for second in (None, "hot too"):
+        rows = raw.withColumn("signature", key(second))
+        assert {r.signature for r in IO.hot_keys(rows)} == {"hot", second}
+        got, want = IO.latest_of_table(rows), latest(rows)
+        text = got._jdf.queryExecution().executedPlan().toString()
+        assert "LeftAnti" in text and "LeftSemi" in text and "ENSURE_REQUIREMENTS" in text
+        assert want.exceptAll(got).isEmpty() and got.exceptAll(want).isEmpty()
+    assert not IO.hot_keys(raw)
