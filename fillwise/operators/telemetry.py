@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fillwise.operators.sequence import keyed_scan
+from fillwise.session import checkpoint_dir
 
 ORDER = ["ts", "request_id"]
 LAT = "decimal(28,6)"
@@ -124,17 +125,20 @@ def batch_outcomes(events: DataFrame, failed: DataFrame, batch_rows: int = 500)
     A row is inserted by the first batch that delivers its key; later
     deliveries count as duplicates.  ``failed``: (event_type, slot) of the
     documents that could not be read; a batch may hold nothing else.  Running
-    totals use the keyed scan.
+    totals use the keyed scan.  Deliveries are counted per batch and key, so
+    that both counts of a batch come from one pass over ``events``; the row a
+    batch that results is written down, since the scan reads it several times.
     """
     batch = F.floor(F.col("slot") / batch_rows).cast("bigint")
-    b = events.withColumn("batch_id", batch)
+    b = events.groupBy("event_type", "signature", batch.alias("batch_id")).agg(F.count(F.lit(1)).alias("n"))
     errors = failed.groupBy("event_type", batch.alias("batch_id")).agg(F.count(F.lit(1)).alias("errors"))
-    first = (b.groupBy("event_type", "signature").agg(F.min("batch_id").alias("batch_id"))
-             .groupBy("event_type", "batch_id").agg(F.count(F.lit(1)).alias("inserted")))
-    per = b.groupBy("event_type", "batch_id").agg(F.count(F.lit(1)).alias("processed"))
-    j = (per.join(first, ["event_type", "batch_id"], "left").join(errors, ["event_type", "batch_id"], "full")
+    first = F.min("batch_id").over(Window.partitionBy("event_type", "signature"))
+    per = (b.withColumn("first", F.when(F.col("batch_id") == first, 1).otherwise(0)).groupBy("event_type", "batch_id")
+           .agg(F.sum("n").alias("processed"), F.sum("first").alias("inserted")))
+    checkpoint_dir(events.sparkSession)
+    j = (per.join(errors, ["event_type", "batch_id"], "full")
          .na.fill(0, ["processed", "inserted", "errors"])
-         .withColumn("duplicates", F.col("processed") - F.col("inserted")))
+         .withColumn("duplicates", F.col("processed") - F.col("inserted"))).checkpoint(eager=True)
     s = keyed_scan(j, "event_type", ["batch_id"], sums=["inserted", "duplicates", "processed", "errors"])
     return s.select("event_type", "batch_id", "processed", "inserted", "duplicates", "errors",
                     F.col("_cum_inserted").alias("total_inserted"),

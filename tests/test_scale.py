@@ -188,3 +188,27 @@ def test_hot_keys_are_limited_before_the_shuffle(spark, sf, monkeypatch, tmp_pat
         assert "LeftAnti" in text and "LeftSemi" in text and "ENSURE_REQUIREMENTS" in text
         assert want.exceptAll(got).isEmpty() and got.exceptAll(want).isEmpty()
     assert not IO.hot_keys(raw)
+
+
+
+def test_batch_outcomes_read_the_events_once(spark):
+    from fillwise.operators import telemetry as T
+    seen, rows = spark.sparkContext.accumulator(0), [("a", f"s{i % 40}" if i % 9 else None, i if i % 7 else None) for i in range(200)]
+
+    def noted(r):
+        seen.add(1)
+        return r
+    schema = "event_type string, signature string, slot bigint"
+    events = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2).map(noted), schema)
+    failed = spark.createDataFrame([("a", 3), ("a", 3), ("b", 900), ("a", None)], "event_type string, slot bigint")
+    got = {(r.event_type, r.batch_id, r.processed): (r.inserted, r.duplicates, r.errors) for r in T.batch_outcomes(events, failed, 20).collect()}
+    assert seen.value == len(rows)
+    batch, first = lambda s: None if s is None else s // 20, {}
+    for t, g, s in rows:
+        if s is not None:
+            first[t, g] = min(first.get((t, g), 10 ** 9), batch(s))
+    want = {}
+    for b in {batch(s) for _, _, s in rows}:
+        n, new = sum(batch(s) == b for _, _, s in rows), sum(f == b for f in first.values())
+        want["a", b, n] = (new, n - new, 2 if b == 0 else 0)
+    assert got == want | {("b", 45, 0): (0, 0, 1), ("a", None, 0): (0, 0, 1)}
\ No newline at end of file
