@@ -211,4 +211,24 @@ def test_batch_outcomes_read_the_events_once(spark):
     for b in {batch(s) for _, _, s in rows}:
         n, new = sum(batch(s) == b for _, _, s in rows), sum(f == b for f in first.values())
         want["a", b, n] = (new, n - new, 2 if b == 0 else 0)
-    assert got == want | {("b", 45, 0): (0, 0, 1), ("a", None, 0): (0, 0, 1)}
\ No newline at end of file
+    assert got == want | {("b", 45, 0): (0, 0, 1), ("a", None, 0): (0, 0, 1)}
+
+
+def test_large_tables_are_compacted_in_passes(spark, sf, monkeypatch, tmp_path):
+    from fillwise.operators.dedup import latest
+    from fillwise.sources import io as IO
+    from fillwise.sources import tpch
+    raw, path, out, sizes, write = tpch.raw_order_events(spark, sf), str(tmp_path / "t"), str(tmp_path / "new"), [], IO.write_batch
+    raw = raw.unionByName(raw.where("slot % 50 = 0").selectExpr("* EXCEPT (signature)", "CAST(NULL AS STRING) AS signature"))
+    IO.append_events(raw, path)
+    IO.append_events(raw.where("slot < 50"), out)                      # left by an earlier attempt
+
+    def noted(rows, *a):
+        sizes.append(rows.count())
+        return write(rows, *a)
+    monkeypatch.setattr(IO, "write_batch", noted)
+    monkeypatch.setattr(IO, "ROWS_PER_PASS", raw.count() // 3, raising=False)
+    IO.compact_events(spark, path, out)
+    want, got = latest(IO.stored(spark, path).drop("batch_id")), IO.stored(spark, out).drop("batch_id")
+    assert len(sizes) == 4 and max(sizes) < sum(sizes) / 2
+    assert want.exceptAll(got).isEmpty() and got.exceptAll(want).isEmpty()
