@@ -232,3 +232,25 @@ def test_large_tables_are_compacted_in_passes(spark, sf, monkeypatch, tmp_path):
     want, got = latest(IO.stored(spark, path).drop("batch_id")), IO.stored(spark, out).drop("batch_id")
     assert len(sizes) == 4 and max(sizes) < sum(sizes) / 2
     assert want.exceptAll(got).isEmpty() and got.exceptAll(want).isEmpty()
+
+
+
+def test_tail_rows_are_dealt_by_key(spark, sf, monkeypatch):
+    from fillwise.plans.catalog import load_ev
+    from fillwise.sources import io as IO
+    from fillwise.sources import tpch
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    plain, dealt = load_ev(spark, sf), load_ev(spark, sf, dealt=True)
+    assert "hashpartitioning(signature#" not in plan(dealt) and plan(dealt).count("REPARTITION_BY_NUM") == 2
+    assert plain.exceptAll(dealt).isEmpty() and dealt.exceptAll(plain).isEmpty()
+    # A key that holds most rows is not dealt into one piece.
+    read = tpch.read_table
+
+    def repeated(s, d, name):
+        rows = read(s, d, name)
+        return rows.where("o_orderkey = 1").crossJoin(s.range(400)).drop("id").unionByName(rows) if name == "orders" else rows
+    monkeypatch.setattr(tpch, "read_table", repeated)
+    monkeypatch.setattr(IO, "ROWS_PER_SORT", 500)
+    hot = load_ev(spark, sf, dealt=True)
+    assert "ENSURE_REQUIREMENTS" in plan(hot)
+    assert plain.exceptAll(hot).isEmpty() and hot.exceptAll(plain).isEmpty()
\ No newline at end of file
