@@ -253,4 +253,39 @@ def test_tail_rows_are_dealt_by_key(spark, sf, monkeypatch):
     monkeypatch.setattr(IO, "ROWS_PER_SORT", 500)
     hot = load_ev(spark, sf, dealt=True)
     assert "ENSURE_REQUIREMENTS" in plan(hot)
-    assert plain.exceptAll(hot).isEmpty() and hot.exceptAll(plain).isEmpty()
\ No newline at end of file
+    assert plain.exceptAll(hot).isEmpty() and hot.exceptAll(plain).isEmpty()
+
+def test_documents_are_parsed_once_for_events_and_quarantine(spark, sf, tmp_path):
+    from fillwise.operators import decode as X
+    from fillwise.sources import rawtx as R
+    from fillwise.streaming import ingest as I
+    R.landed_lines(R.damaged(R.raw_transactions_from_tpch(spark, sf, "hex").where("slot < 900"))).select("value").write.text(str(tmp_path / "in"))
+    raw = R.read_raw_transactions(spark, str(tmp_path / "in"))
+    both = I.decoded_or_aside(spark, raw, "hex")
+    assert both._jdf.queryExecution().executedPlan().toString().count("FileScan json") == 1
+    rows = lambda df: sorted(map(str, df.collect()))
+    bad = both.where("reason IS NOT NULL").select(*I.UNREADABLE)
+    assert rows(bad) == rows(I.unreadable(raw)) and {r[0] for r in bad.select("reason").collect()} == {"malformed", "failed"}
+    want = X.decode_events(spark, raw.where("_corrupt_record IS NULL"), "hex").drop("ix_pos", "block_time")
+    assert rows(both.where("reason IS NULL").drop("reason", "line", "block_time")) == rows(want) != []
+
+
+def test_raw_files_hold_few_documents(spark):
+    from fillwise.streaming import ingest as I
+    assert I.file_count(1_000_000, 2, I.DOCS_PER_FILE) == 10
+    files = I.file_count(270_000_000, 8, I.DOCS_PER_FILE)
+    assert I.files_per_batch(files, 8, 3, I.DOC_FILES_PER_BATCH) * I.DOCS_PER_FILE <= 16_000_000
+
+
+def test_a_batch_keeps_no_wide_rows(spark, sf, monkeypatch, tmp_path):
+    from fillwise.sources import io as IO
+    from fillwise.sources import tpch
+    from fillwise.streaming import ingest as I
+    kept, freed, persist, release = [], [], type(spark.range(1)).persist, IO.release
+    monkeypatch.setattr(type(spark.range(1)), "persist", lambda self, *a: (kept.append(len(self.columns)), persist(self, *a))[1])
+    monkeypatch.setattr(IO, "release", lambda s: (freed.append(1), release(s))[1])
+    paths, report, raw = I.IngestPaths.under(str(tmp_path)), I.IngestReport(), tpch.raw_order_events(spark, sf)
+    I.store_batch(spark, raw, 0, paths, "p", report)
+    assert not kept and freed and report.inserted == IO.stored(spark, paths.table).count()
+    I.store_batch(spark, raw, 1, paths, "p", report)                   # a batch that inserts nothing
+    assert report.last["inserted"] == 0 and report.last["duplicates"] == report.last["batch_rows"] and report.total == report.inserted
\ No newline at end of file
